@@ -156,3 +156,35 @@ def strftime_pattern(fmt: str) -> str:
         else:
             out.append(part)
     return "".join(out)
+
+
+# Java letters and their strftime directives.
+JAVA_TO_STRFTIME = {
+    "yyyy": "%Y",
+    "yy": "%y",
+    "MM": "%m",
+    "M": "%-m",
+    "dd": "%d",
+    "d": "%-d",
+    "HH": "%H",
+    "H": "%-H",
+    "hh": "%I",
+    "h": "%-I",
+    "mm": "%M",
+    "ss": "%S",
+    "a": "%p",
+}
+
+
+@lru_cache(maxsize=None)
+def strftime_of(fmt: str) -> str:
+    """The strftime format of a specification format."""
+    out = []
+    for run in (m.group(0) for m in _RUN.finditer(java_pattern(fmt).replace("'T'", "\0"))):
+        if run[0] == "S":
+            out.append("%f")
+        elif run[0].isalpha():
+            out.append(JAVA_TO_STRFTIME[run])
+        else:
+            out.append(run.replace("\0", "T"))
+    return "".join(out)

@@ -60,7 +60,8 @@ def cast_numeric_dirty(t):
     return out.withColumns({c: F.col(c).cast("double") for c in ("price", "small")})
 
 
-FIVE_WAYS = F.pmod("o_orderkey", F.lit(5))
+def five_ways():
+    return F.pmod("o_orderkey", F.lit(5))
 
 
 def rendered_dates(t):
@@ -69,10 +70,10 @@ def rendered_dates(t):
 
     return t.orders.select(
         "o_orderkey",
-        F.when(FIVE_WAYS == 0, as_text("yyyy-MM-dd"))
-        .when(FIVE_WAYS == 1, as_text("MM/dd/yyyy"))
-        .when(FIVE_WAYS == 2, as_text("yyyyMMdd"))
-        .when(FIVE_WAYS == 3, as_text("M/d/yyyy"))
+        F.when(five_ways() == 0, as_text("yyyy-MM-dd"))
+        .when(five_ways() == 1, as_text("MM/dd/yyyy"))
+        .when(five_ways() == 2, as_text("yyyyMMdd"))
+        .when(five_ways() == 3, as_text("M/d/yyyy"))
         .otherwise(as_text("MM/dd/yyyy HH:mm:ss"))
         .alias("d"),
     )
@@ -229,13 +230,13 @@ def cast_flexible(t):
     micros = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
     raw = t.orders.select(
         "o_orderkey",
-        F.when(FIVE_WAYS == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
-        .when(FIVE_WAYS == 1, day.cast("string"))
-        .when(FIVE_WAYS == 2, F.date_format("o_orderdate", "M/d/yyyy  h:mm a"))
-        .when(FIVE_WAYS == 3, F.date_format("o_orderdate", " yyyy-MM-dd HH:mm:ss "))
+        F.when(five_ways() == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .when(five_ways() == 1, day.cast("string"))
+        .when(five_ways() == 2, F.date_format("o_orderdate", "M/d/yyyy  h:mm a"))
+        .when(five_ways() == 3, F.date_format("o_orderdate", " yyyy-MM-dd HH:mm:ss "))
         .otherwise("10:30:00")
         .alias("d"),
-        F.when(FIVE_WAYS == 1, (micros / 1000).cast("bigint").cast("string")).alias("ms"),
+        F.when(five_ways() == 1, (micros / 1000).cast("bigint").cast("string")).alias("ms"),
     )
     d = F.col("d")
     return raw.select(
