@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.functions import formats as fm
+from tidewright.operators.aggregates import facts_in_one_pass
 from tidewright.specs import TEXT_TYPES, ColumnSpec, TableSpec
 
 # Text shapes of epoch milliseconds and of spreadsheet serial numbers.
@@ -214,7 +215,7 @@ def format_hits(df: DataFrame, columns: list[str], fmts: list[str] | None = None
         for name in columns
         for rank, fmt in enumerate(fmts)
     ]
-    return df.agg(F.array(*counts).alias("rows")).select(F.inline("rows"))
+    return facts_in_one_pass(df, counts)
 
 
 def parse_candidates() -> list[str]:

@@ -6,9 +6,26 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+EXPRESSIONS_PER_PASS = 120
+
+
+def facts_in_one_pass(
+    df: DataFrame, rows: Sequence[Column], per_pass: int = EXPRESSIONS_PER_PASS
+) -> DataFrame:
+    """Aggregate structs as rows: one aggregation over ``df`` per ``per_pass`` of them.
+
+    The split keeps each aggregation small enough for generated code; every pass reads only the
+    columns its own expressions need.
+    """
+    parts = [
+        df.agg(F.array(*rows[i : i + per_pass]).alias("r")).select(F.inline("r"))
+        for i in range(0, len(rows), per_pass)
+    ]
+    return reduce(lambda a, b: a.unionAll(b), parts)
+
 
 @dataclass(frozen=True)
 class Measure:

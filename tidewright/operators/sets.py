@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.operators.aggregates import facts_in_one_pass
+
 
 def key_universe(sources: Sequence[tuple[DataFrame, str]], key: str) -> DataFrame:
     """Every distinct non-null key of any source.
@@ -38,10 +40,24 @@ def value_difference(baseline: DataFrame, current: DataFrame, column: str) -> Da
 
 
 def column_difference(df: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """Missing columns as errors, unexpected ones as warnings. Metadata only: no job."""
-    rows = [(c, "missing", "error") for c in expected if c not in df.columns]
-    rows += [(c, "unexpected", "warning") for c in df.columns if c not in expected]
+    """Missing columns as errors, unexpected ones as warnings with the values they hold."""
+    text = T.StringType()
     schema = T.StructType(
-        [T.StructField(n, T.StringType()) for n in ("column_name", "finding", "severity")]
+        [T.StructField(n, text) for n in ("column_name", "finding", "severity")]
+        + [T.StructField("value_count", T.LongType())]
     )
-    return df.sparkSession.createDataFrame(rows, schema)
+    missing = [(c, "missing", "error", None) for c in expected if c not in df.columns]
+    findings = df.sparkSession.createDataFrame(missing, schema)
+    unexpected = [c for c in df.columns if c not in expected]
+    if not unexpected:
+        return findings
+    rows = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.lit("unexpected").alias("finding"),
+            F.lit("warning").alias("severity"),
+            F.count(f"`{c}`").alias("value_count"),
+        )
+        for c in unexpected
+    ]
+    return findings.unionAll(facts_in_one_pass(df, rows))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.operators.aggregates import facts_in_one_pass
 from tidewright.operators.ranking import top_n
 
 EPSILON = 1e-10
@@ -108,7 +109,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         )
         for c in columns
     ]
-    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    return facts_in_one_pass(df, rows)
 
 
 def low_cardinality_columns(df: DataFrame, most: int = 100) -> list[str]:

@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.operators.aggregates import facts_in_one_pass
 from tidewright.operators.ranking import top_n
 from tidewright.quality import drift
 from tidewright.quality.predicates import ROW_RULES, RowRule, Unsupported, column_of, param
 from tidewright.specs import Check
 
 PENDING = "validation_rule_pending_implementation"
-EXPRESSIONS_PER_PASS = 120
 SAMPLE_SIZE = 10
 
 RESULT_SCHEMA = T.StructType(
@@ -467,12 +467,7 @@ def _pending(check: Check) -> Column:
 
 
 def _in_one_pass(df: DataFrame, results: Sequence[Column]) -> list[DataFrame]:
-    """Aggregate results in passes small enough for generated code."""
-    out = []
-    for i in range(0, len(results), EXPRESSIONS_PER_PASS):
-        chunk = results[i : i + EXPRESSIONS_PER_PASS]
-        out.append(df.agg(F.array(*chunk).alias("r")).select(F.inline("r")))
-    return out
+    return [facts_in_one_pass(df, results)] if results else []
 
 
 def run_suite(df: DataFrame, checks: Sequence[Check], context: Context | None = None) -> DataFrame:
