@@ -64,9 +64,8 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return cells(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def distribution(df: DataFrame, columns: Sequence[str], top: int = TOP_VALUES) -> DataFrame:
+def top_values(counts: DataFrame, top: int = TOP_VALUES) -> DataFrame:
     """The most frequent values per column; the rest is kept as one ``__OTHER__`` row."""
-    counts = value_counts(df, columns)
     order = [F.col("n").desc(), F.col("value").asc()]
     kept = top_n(counts, ["column_name"], order, top)
     totals = counts.groupBy("column_name").agg(F.sum("n").alias("total"))
@@ -76,14 +75,21 @@ def distribution(df: DataFrame, columns: Sequence[str], top: int = TOP_VALUES) -
         .agg(F.sum("n").alias("kept"))
         .join(totals, "column_name")
         .filter(F.col("total") > F.col("kept"))
-        .select("column_name", F.lit(OTHER_VALUE).alias("value"), (F.col("total") - F.col("kept")).alias("n"))
+        .select(
+            "column_name",
+            F.lit(OTHER_VALUE).alias("value"),
+            (F.col("total") - F.col("kept")).alias("n"),
+        )
     )
     return kept.select("column_name", "value", "n").unionAll(rest)
 
 
-def distribution_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def distribution(df: DataFrame, columns: Sequence[str], top: int = TOP_VALUES) -> DataFrame:
+    return top_values(value_counts(df, columns), top)
+
+
+def count_facts(counts: DataFrame) -> DataFrame:
     """Per column: rows, distinct non-null values and NULLs."""
-    counts = value_counts(df, columns)
     is_null = F.col("value") == NULL_VALUE
     return counts.groupBy("column_name").agg(
         F.sum("n").alias("total_count"),
@@ -92,6 +98,10 @@ def distribution_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def distribution_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return count_facts(value_counts(df, columns))
+
+
 def numeric_columns(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields if isinstance(f.dataType, T.NumericType)]
 
@@ -261,25 +271,45 @@ def record_summary(
 
 
 def capture_baseline(
-    df: DataFrame, path: str, table: str, pipeline: str, run_timestamp: str, run_id: str,
-    keys: Sequence[str] = (), columns: Sequence[str] | None = None,
+    df: DataFrame,
+    path: str,
+    table: str,
+    pipeline: str,
+    run_timestamp: str,
+    run_id: str,
+    keys: Sequence[str] = (),
+    columns: Sequence[str] | None = None,
 ) -> None:
-    """Write a run's baseline: distributions, numeric statistics and record checksums as rows."""
+    """Write a run's baseline as rows: sizes, numeric statistics, distributions, checksums.
+
+    The table is read once for each kind. Value counts are written first; the distribution and its
+    facts are derived from those few rows.
+    """
+    spark = df.sparkSession
     tags = {
         "table_name": F.lit(table),
         "pipeline": F.lit(pipeline),
         "run_id": F.lit(run_id),
         "run_timestamp": F.lit(run_timestamp).cast("timestamp_ntz"),
     }
-    tracked = list(columns or low_cardinality_columns(df))
-    parts = {"numeric": numeric_stats(df)}
-    if tracked:
-        parts["distribution"] = distribution(df, tracked)
-        parts["facts"] = distribution_facts(df, tracked)
-    if keys:
-        parts["records"] = record_checksums(df, keys)
-    parts["rows"] = df.agg(F.count(F.lit(1)).alias("row_count"))
-    for name, part in parts.items():
+
+    def keep(part: DataFrame, name: str) -> None:
         part.withColumns(tags).write.mode("append").partitionBy("table_name").parquet(
             f"{path}/{name}"
         )
+
+    tracked = list(columns or low_cardinality_columns(df))
+    numeric = numeric_columns(df.schema)
+    if numeric:
+        keep(numeric_stats(df, numeric), "numeric")
+    keep(df.agg(F.count(F.lit(1)).alias("row_count")), "rows")
+    if tracked:
+        keep(value_counts(df, tracked), "counts")
+        mine = spark.read.parquet(f"{path}/counts").filter(
+            (F.col("table_name") == table) & (F.col("pipeline") == pipeline) & (F.col("run_id") == run_id)
+        )
+        counts = mine.select("column_name", "value", "n")
+        keep(top_values(counts), "distribution")
+        keep(count_facts(counts), "facts")
+    if keys:
+        keep(record_checksums(df, keys), "records")
