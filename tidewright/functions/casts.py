@@ -29,20 +29,42 @@ def clean_number(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.trim(c), r"^\$", "")), F.lit(""))
 
 
+# Texts that the casts below can read. Anything else is turned into NULL before the cast: a failed
+# cast inside Spark costs an exception per row, a regular expression does not.
+WHOLE_NUMBER = r"^[+-]?\d+$"
+PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+ANY_NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?[df]?|inf(inity)?|nan)$"
+# Spark's spellings of truth values.
+TRUTH = ("t", "true", "y", "yes", "1", "f", "false", "n", "no", "0")
+
+
+def fitting(text: Column, pattern: str) -> Column:
+    return F.when(text.rlike(pattern), text)
+
+
+def whole(text: Column, to: T.DataType | str) -> Column:
+    return fitting(text, WHOLE_NUMBER).try_cast(to)
+
+
+def double(text: Column) -> Column:
+    return fitting(F.trim(text), ANY_NUMBER).try_cast("double")
+
+
 def to_integer(c: Column, bits: int = 32) -> Column:
-    return clean_number(c).try_cast("bigint" if bits == 64 else "int")
+    return whole(clean_number(c), "bigint" if bits == 64 else "int")
 
 
 def to_decimal(c: Column, precision: int, scale: int) -> Column:
-    return clean_number(c).try_cast(T.DecimalType(precision, scale))
+    return fitting(clean_number(c), PLAIN_NUMBER).try_cast(T.DecimalType(precision, scale))
 
 
 def to_double(c: Column) -> Column:
-    return clean_number(c).try_cast("double")
+    return double(clean_number(c))
 
 
 def to_boolean(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit("")).try_cast("boolean")
+    text = F.lower(F.trim(c))
+    return F.when(text.isin(*TRUTH), text).try_cast("boolean")
 
 
 def parse_with(c: Column, fmt: str) -> Column:
@@ -93,7 +115,7 @@ def looks_like_epoch_ms(c: Column) -> Column:
 
 def epoch_ms_value(c: Column, millis: bool = False) -> Column:
     """Epoch milliseconds to a timestamp, cut to whole seconds unless ``millis``."""
-    ms = c.try_cast("double")
+    ms = double(c)
     # the range test comes first: a double beyond a bigint would fail floor's result type
     ms = F.when(F.abs(ms) <= _LAST_SECOND * 1000.0, ms)
     seconds = ms.cast("bigint") / F.lit(1000).cast("decimal(4,0)") if millis else F.floor(ms / 1000)
@@ -108,12 +130,12 @@ def from_epoch_ms(c: Column, millis: bool = False) -> Column:
 
 
 def from_serial_date(c: Column) -> Column:
-    return F.date_add(F.lit(SERIAL_DAY_ZERO).cast("date"), F.trim(c).try_cast("int"))
+    return F.date_add(F.lit(SERIAL_DAY_ZERO).cast("date"), whole(F.trim(c), "int"))
 
 
 def from_serial_datetime(c: Column) -> Column:
     """Spreadsheet serial: whole days since day zero plus the fraction of a day."""
-    serial = F.trim(c).try_cast("decimal(18,10)")
+    serial = fitting(F.trim(c), PLAIN_NUMBER).try_cast("decimal(18,10)")
     days = F.floor(serial).cast("int")
     seconds = F.floor((serial - F.floor(serial)) * 86400).cast("decimal(18,6)")
     start = F.date_add(F.lit(SERIAL_DAY_ZERO).cast("date"), days).cast("timestamp_ntz")
@@ -158,7 +180,7 @@ def cast_text(c: Column, spec: ColumnSpec) -> Column:
     if kind in TEXT_TYPES:
         return c
     if kind in ("INTEGER", "BIGINT", "SMALLINT", "TINYINT"):
-        return clean_number(c).try_cast(spec.spark_type)
+        return whole(clean_number(c), spec.spark_type)
     if kind == "DECIMAL":
         return to_decimal(c, spec.precision, spec.scale)
     if kind in ("FLOAT", "DOUBLE"):

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+
+
 @dataclass(frozen=True)
 class Domain:
     """``names`` match column names, ``keywords`` match descriptions, ``sample`` matches values.
@@ -414,11 +418,11 @@ def breaks_domain(c: Column, dtype: T.DataType, domain: Domain) -> Column:
     if domain.length:
         broken = broken | ~F.length(text).between(*domain.length)
     if domain.bounds:
-        number = text.try_cast("double")
+        number = F.when(text.rlike(NUMBER), text).try_cast("double")
         broken = broken | ~F.coalesce(number.between(*domain.bounds), F.lit(False))
     if domain.base_type and not _type_rule(domain.base_type, dtype):
         if isinstance(dtype, T.StringType) and domain.base_type == "INTEGER":
-            broken = broken | text.try_cast("bigint").isNull()
+            broken = broken | ~text.rlike(INTEGER)
         else:
             broken = F.lit(True)
     return broken

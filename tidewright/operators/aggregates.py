@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXPRESSIONS_PER_PASS = 120
+# beyond some dozens of aggregates the generated code grows too large to be compiled well
+EXPRESSIONS_PER_PASS = 24
 
 
 def facts_in_one_pass(
@@ -17,8 +18,8 @@ def facts_in_one_pass(
 ) -> DataFrame:
     """Aggregate structs as rows: one aggregation over ``df`` per ``per_pass`` of them.
 
-    The split keeps each aggregation small enough for generated code; every pass reads only the
-    columns its own expressions need.
+    The split keeps the generated code of each aggregation small; every pass reads only the
+    columns its own expressions need, and all passes belong to the same action.
     """
     parts = [
         df.agg(F.array(*rows[i : i + per_pass]).alias("r")).select(F.inline("r"))

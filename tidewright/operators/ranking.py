@@ -85,8 +85,8 @@ def merge_winners(
         renamed = tops.select(
             *[F.col(k).alias(f"_tw_key_{k}") for k in keys], *[f"{m}_top" for m in marks]
         )
-        match = [F.col(k).eqNullSafe(F.col(f"_tw_key_{k}")) for k in keys]
-        staged = staged.join(renamed, match, "inner")
+        match = [F.col(k) == F.col(f"_tw_key_{k}") for k in keys]
+        staged = staged.join(renamed, match, "left")
         for m in marks:
             hit = F.coalesce(F.col(m) == F.col(f"{m}_top"), F.lit(False))
             score = score + hit.cast("int")

@@ -11,105 +11,147 @@ from pyspark.sql import types as T
 
 from tidewright.operators.aggregates import facts_in_one_pass
 from tidewright.operators.ranking import sample_rows, top_n
-from tidewright.quality.drift import NULL_VALUE, cells, numeric_columns
+from tidewright.quality.drift import NULL_VALUE, cells
 
 # Quantiles of a numeric profile and the accuracy of their sketch.
 QUANTILES = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 ACCURACY = 10000
 DISTINCT_LISTED = 50
 TOP_LISTED = 20
-COLUMNS_PER_PASS = 25
 
 
 def text_columns(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def _numeric_facts(c: Column, exact: bool) -> dict[str, Column]:
+# Facts of a column by the kind of aggregation that finds them. A kind is a pass of its own: simple
+# sums and extremes compile to tight code, which sketches in the same aggregation would prevent.
+COLUMNS_PER_PASS = {"plain": 4, "moments": 4, "quantiles": 4, "distinct": 16}
+FACT_TYPES = {
+    **dict.fromkeys(
+        ["minimum", "maximum", "mean", "stddev", "total", "skewness", "kurtosis", *QUANTILES],
+        "double",
+    ),
+    **dict.fromkeys(["min_length", "max_length", "mean_length"], "bigint"),
+    "median_length": "double",
+    **dict.fromkeys(["min_size", "max_size"], "bigint"),
+}
+
+
+def _plain(c: Column, dtype: T.DataType) -> dict[str, Column]:
+    out = {"row_count": F.count(F.lit(1)), "non_null": F.count(c)}
+    if isinstance(dtype, T.NumericType):
+        v = c.cast("double")
+        out |= {"minimum": F.min(v), "maximum": F.max(v), "mean": F.avg(v), "total": F.sum(v)}
+    elif isinstance(dtype, T.StringType):
+        n = F.length(c)
+        out |= {"min_length": F.min(n), "max_length": F.max(n), "mean_length": F.round(F.avg(n))}
+    elif isinstance(dtype, T.ArrayType):
+        out |= {"min_size": F.min(F.size(c)), "max_size": F.max(F.size(c))}
+    return out
+
+
+def _moments(c: Column, dtype: T.DataType) -> dict[str, Column]:
+    if not isinstance(dtype, T.NumericType):
+        return {}
     v = c.cast("double")
-    probabilities = list(QUANTILES.values())
-    found = F.percentile(v, probabilities) if exact else F.percentile_approx(v, probabilities, ACCURACY)
     return {
-        "minimum": F.min(v),
-        "maximum": F.max(v),
-        "mean": F.avg(v),
         "stddev": F.stddev_samp(v),
-        "total": F.sum(v),
         "skewness": F.round(F.skewness(v), 4),
         "kurtosis": F.round(F.kurtosis(v), 4),
-        **{name: F.get(found, i).cast("double") for i, name in enumerate(QUANTILES)},
     }
 
 
-def _text_facts(c: Column, exact: bool) -> dict[str, Column]:
-    n = F.length(c)
-    middle = F.percentile(n, 0.5) if exact else F.percentile_approx(n, 0.5, ACCURACY)
-    return {
-        "min_length": F.min(n),
-        "max_length": F.max(n),
-        "mean_length": F.round(F.avg(n)).cast("bigint"),
-        "median_length": middle.cast("double"),
-    }
+def _quantiles(c: Column, dtype: T.DataType, exact: bool) -> dict[str, Column]:
+    if isinstance(dtype, T.NumericType):
+        v, wanted = c.cast("double"), QUANTILES
+    elif isinstance(dtype, T.StringType):
+        v, wanted = F.length(c), {"median_length": 0.5}
+    else:
+        return {}
+    shares = list(wanted.values())
+    found = F.percentile(v, shares) if exact else F.percentile_approx(v, shares, ACCURACY)
+    return {name: F.get(found, i) for i, name in enumerate(wanted)}
 
 
-def _vector_facts(c: Column) -> dict[str, Column]:
-    return {"min_size": F.min(F.size(c)), "max_size": F.max(F.size(c))}
+def _groupable(dtype: T.DataType) -> bool:
+    return not isinstance(dtype, (T.ArrayType, T.MapType, T.StructType))
 
 
-FACT_TYPES = {
-    **dict.fromkeys(
-        ["minimum", "maximum", "mean", "stddev", "total", "skewness", "kurtosis", *QUANTILES],
-        "double",
-    ),
-    **dict.fromkeys(["min_length", "max_length", "mean_length"], "bigint"),
-    "median_length": "double",
-    **dict.fromkeys(["min_size", "max_size"], "bigint"),
-}
+def _passes(df: DataFrame, kind: str, facts: dict[str, dict[str, Column]]) -> list[DataFrame]:
+    """(column_name, fact, value) rows of one kind, a few columns per aggregation."""
+    names = [n for n, found in facts.items() if found]
+    size = COLUMNS_PER_PASS[kind]
+    out = []
+    for i in range(0, len(names), size):
+        rows = [
+            F.struct(
+                F.lit(n).alias("column_name"),
+                F.lit(fact).alias("fact"),
+                value.cast("double").alias("value"),
+            )
+            for n in names[i : i + size]
+            for fact, value in facts[n].items()
+        ]
+        out.append(facts_in_one_pass(df, rows, len(rows)))
+    return out
 
 
 def profile_columns(
     df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False
 ) -> DataFrame:
-    """One row per column, from one aggregate over the table.
+    """One row per column, in a single action with one aggregation per kind and few columns.
 
-    Sketches are used for distinct counts, quantiles and median lengths; ``exact=True`` uses the
-    exact functions, whose memory grows with the distinct values of a column.
+    Sketches are used for distinct counts, quantiles and median lengths. ``exact=True`` counts
+    distinct values by grouping, and takes exact quantiles, whose memory grows with the distinct
+    values of a column.
     """
     names = list(columns or df.columns)
-    numeric, text = set(numeric_columns(df.schema)), set(text_columns(df.schema))
-    rows = []
-    for name in names:
-        c, dtype = F.col(f"`{name}`"), df.schema[name].dataType
-        facts: dict[str, Column] = {}
-        if name in numeric:
-            facts = _numeric_facts(c, exact)
-        elif name in text:
-            facts = _text_facts(c, exact)
-        elif isinstance(dtype, T.ArrayType):
-            facts = _vector_facts(c)
-        distinct = (
-            F.lit(None)
-            if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType))
-            else F.count_distinct(c)
-            if exact
-            else F.approx_count_distinct(c)
-        )
-        n = F.count(F.lit(1))
-        rows.append(
-            F.struct(
-                F.lit(name).alias("column_name"),
-                F.lit(dtype.simpleString()).alias("data_type"),
-                n.alias("row_count"),
-                F.count(c).alias("non_null"),
-                F.coalesce(F.count(c) / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("completeness"),
-                distinct.cast("bigint").alias("distinct_count"),
-                *[
-                    facts.get(f, F.lit(None)).cast(kind).alias(f)
-                    for f, kind in FACT_TYPES.items()
-                ],
+    col = {n: F.col(f"`{n}`") for n in names}
+    dtype = {n: df.schema[n].dataType for n in names}
+    countable = [n for n in names if _groupable(dtype[n])]
+    parts = _passes(df, "plain", {n: _plain(col[n], dtype[n]) for n in names})
+    parts += _passes(df, "moments", {n: _moments(col[n], dtype[n]) for n in names})
+    parts += _passes(df, "quantiles", {n: _quantiles(col[n], dtype[n], exact) for n in names})
+    if exact:
+        for n in countable:
+            groups = df.filter(col[n].isNotNull()).select(col[n]).distinct()
+            count = F.count(F.lit(1)).cast("double").alias("value")
+            parts.append(
+                groups.agg(count).select(
+                    F.lit(n).alias("column_name"), F.lit("distinct_count").alias("fact"), "value"
+                )
             )
-        )
-    return facts_in_one_pass(df, rows, COLUMNS_PER_PASS)
+    else:
+        sketched = {n: {"distinct_count": F.approx_count_distinct(col[n])} for n in countable}
+        parts += _passes(df, "distinct", sketched)
+    facts = reduce(lambda a, b: a.unionAll(b), parts)
+
+    def fact(name: str) -> Column:
+        return F.max(F.when(F.col("fact") == name, F.col("value")))
+
+    kinds = F.create_map(*[F.lit(x) for n in names for x in (n, dtype[n].simpleString())])
+    gathered = facts.groupBy("column_name").agg(
+        *[
+            fact(name).cast(kind).alias(name)
+            for name, kind in {
+                "row_count": "bigint",
+                "non_null": "bigint",
+                "distinct_count": "bigint",
+                **FACT_TYPES,
+            }.items()
+        ]
+    )
+    complete = F.col("non_null") / F.nullif(F.col("row_count"), F.lit(0))
+    return gathered.select(
+        "column_name",
+        F.try_element_at(kinds, F.col("column_name")).alias("data_type"),
+        "row_count",
+        "non_null",
+        F.coalesce(complete, F.lit(0.0)).alias("completeness"),
+        "distinct_count",
+        *FACT_TYPES,
+    )
 
 
 def _counted_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:

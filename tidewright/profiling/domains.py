@@ -83,7 +83,7 @@ def infer_domains(
                     ).alias("matching"),
                 )
             )
-    facts = facts_in_one_pass(df, signals, 10 * len(domains))
+    facts = facts_in_one_pass(df, signals)
     has_values = F.col("has_pattern") & (F.col("non_null") > 0)
     by_value = has_values & (F.col("matching") >= F.col("non_null") * VALUE_SHARE)
 

@@ -93,7 +93,7 @@ def _between(check, schema):
 
     def bad(c: Column) -> Column:
         # text that is no number lies outside every numeric range
-        v = c.try_cast("double") if numeric and isinstance(dtype, T.StringType) else c
+        v = casts.double(c) if numeric and isinstance(dtype, T.StringType) else c
         inside = F.lit(True)
         strict_low, strict_high = check.params.get("strict_min"), check.params.get("strict_max")
         if low is not None:

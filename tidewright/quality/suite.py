@@ -1,8 +1,8 @@
 """A whole suite of checks as one DataFrame of results, one row per check.
 
-All row-level and column-statistic checks share one aggregation over the table; checks that need
-groups share one aggregation per tuple of columns; the parts are united lazily, so a suite is a
-single Spark action however many checks it holds. A check that cannot be evaluated is reported as
+Row-level and column-statistic checks share aggregations over the table, some dozens to a pass;
+checks that need groups share one aggregation per tuple of columns; the parts are united lazily,
+so a suite is a single Spark action however many checks it holds. A check that cannot be evaluated is reported as
 failed, a pending one as pending; none is dropped.
 """
 
@@ -188,6 +188,14 @@ SCALAR: dict[str, Callable[[Check, T.StructType], Column]] = {
 }
 
 
+SKETCHES = {
+    "column_median_to_be_between",
+    "column_quantile_values_to_be_between",
+    "column_skewness_to_be_between",
+    "column_stdev_to_be_between",
+}
+
+
 # --- checks on the schema alone: literals beside the aggregation -----------------------------
 
 
@@ -470,11 +478,34 @@ def _in_one_pass(df: DataFrame, results: Sequence[Column]) -> list[DataFrame]:
     return [facts_in_one_pass(df, results)] if results else []
 
 
+def _analysed(
+    df: DataFrame, evaluated: Sequence[tuple[Check, Column]]
+) -> list[tuple[Check, Column]]:
+    """Let Spark analyse the expressions; one that does not resolve fails its own check only."""
+
+    def resolves(results: Sequence[Column]) -> str | None:
+        try:
+            df.agg(*results)
+        except AnalysisException as problem:
+            return str(problem).splitlines()[0]
+        return None
+
+    if not evaluated or resolves([r for _, r in evaluated]) is None:
+        return list(evaluated)
+    out = []
+    for check, result in evaluated:
+        why = resolves([result])
+        out.append((check, result if why is None else _failed(check, why)))
+    return out
+
+
 def run_suite(df: DataFrame, checks: Sequence[Check], context: Context | None = None) -> DataFrame:
     """One result row per check (see the module's description)."""
     context = context or Context()
     schema = df.schema
     shared: list[Column] = []
+    sketched: list[Column] = []
+    evaluated: list[tuple[Check, Column]] = []
     grouped: dict[tuple[tuple[str, ...], str | None], list[Column]] = {}
     separate: list[DataFrame] = []
     for check in checks:
@@ -483,13 +514,9 @@ def run_suite(df: DataFrame, checks: Sequence[Check], context: Context | None =
             if kind == PENDING:
                 shared.append(_pending(check))
             elif kind in ROW_RULES:
-                result = _row_check(check, ROW_RULES[kind](check, schema))
-                df.agg(result)  # analysis only: a bad expression fails this check alone
-                shared.append(result)
+                evaluated.append((check, _row_check(check, ROW_RULES[kind](check, schema))))
             elif kind in SCALAR:
-                result = SCALAR[kind](check, schema)
-                df.agg(result)
-                shared.append(result)
+                evaluated.append((check, SCALAR[kind](check, schema)))
             elif kind in GROUPED:
                 columns = _group_columns(check, schema)
                 if check.where:
@@ -505,7 +532,10 @@ def run_suite(df: DataFrame, checks: Sequence[Check], context: Context | None =
                 shared.append(literal)
         except (Unsupported, AnalysisException, KeyError) as problem:
             shared.append(_failed(check, str(problem).splitlines()[0]))
-    parts = _in_one_pass(df, shared)
+    for check, result in _analysed(df, evaluated):
+        # sketches keep plain aggregates from compiled code, so they get their own pass
+        (sketched if bare_type(check) in SKETCHES else shared).append(result)
+    parts = _in_one_pass(df, shared) + _in_one_pass(df, sketched)
     for (columns, where), results in grouped.items():
         rows = df.filter(F.expr(where)) if where else df
         sizes = rows.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(

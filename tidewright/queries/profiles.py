@@ -73,7 +73,7 @@ def _topk_sql(table: str, columns: list[str]) -> str:
         f"from {table} where {c} is not null group by 2"
         for c in columns
     )
-    return f"""select column_name, value, row_count, round(row_count / total, 4) as fraction, rank
+    return f"""select column_name, value, row_count, ((row_count * 20000 + total) // (2 * total)) / 10000.0::double as fraction, rank
       from (select *, row_number() over (partition by column_name
               order by row_count desc, value) as rank from ({parts}))
       where rank <= case when d <= 50 then 50 else 20 end"""

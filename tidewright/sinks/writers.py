@@ -32,28 +32,35 @@ def sorted_by_all(df: DataFrame) -> DataFrame:
     return df.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in df.columns])
 
 
-def as_lines(
-    df: DataFrame, delimiter: str = "|", header: bool = True, row_count_footer: bool = False
-) -> DataFrame:
-    """The rows as delimited text lines, the header before and the row count after them.
-
-    The parts are united in order and written in order: the header and the footer are partitions
-    of their own, the rows keep their partitioning.
-    """
+def _ordered_lines(df: DataFrame, delimiter: str, header: bool, row_count_footer: bool) -> DataFrame:
+    """Delimited lines with their place: header 0, rows 1 in their given order, footer 2."""
     spark = df.sparkSession
     row = F.to_csv(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"sep": delimiter, "emptyValue": ""}
     )
-    out = df.select(row.alias("value"))
+    out = df.select(
+        F.lit(1).alias("_part"), F.monotonically_increasing_id().alias("_seq"), row.alias("value")
+    )
+    zero = F.lit(0).cast("bigint")
     if header:
-        names = spark.range(0, 1, 1, 1).select(F.lit(delimiter.join(df.columns)).alias("value"))
-        out = names.unionAll(out)
+        names = F.lit(delimiter.join(df.columns))
+        out = spark.range(0, 1, 1, 1).select(F.lit(0), zero, names).unionAll(out).toDF(*out.columns)
     if row_count_footer:
-        count = df.agg(F.count(F.lit(1)).cast("string").alias("value"))
-        out = out.unionAll(count)
+        out = out.unionAll(df.agg(F.count(F.lit(1)).cast("string").alias("v")).select(F.lit(2), zero, "v"))
     return out
 
 
+def as_lines(
+    df: DataFrame, delimiter: str = "|", header: bool = True, row_count_footer: bool = False
+) -> DataFrame:
+    """The rows as delimited text lines, the header before and the row count after them.
+
+    The header and the footer are partitions of their own, the rows keep their partitioning, so
+    the part files of a partitioned write are in order.
+    """
+    return _ordered_lines(df, delimiter, header, row_count_footer).select("value")
+
+
 def wants_footer(table: str) -> bool:
     """Disposition tables are delivered with a trailing row count."""
     return "disposition" in table.lower()
@@ -80,7 +87,10 @@ def write_single_file(
         raise ExportTooLarge(f"more than {most_rows} rows; use write_lines")
     spark = df.sparkSession
     staging = f"{path}.parts"
-    as_lines(df, delimiter, True, row_count_footer).coalesce(1).write.mode("overwrite").text(staging)
+    # merging partitions does not keep their order, so the lines carry their place
+    lines = _ordered_lines(df, delimiter, True, row_count_footer).coalesce(1)
+    ordered = lines.sortWithinPartitions("_part", "_seq").select("value")
+    ordered.write.mode("overwrite").text(staging)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(staging)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
