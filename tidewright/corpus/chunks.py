@@ -10,15 +10,27 @@ CHUNK_WORDS = 300
 CHUNK_OVERLAP = 30
 
 
+# The characters that separate words, beyond the space.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+BLANK_RUN = "[ " + BLANKS + "]+"
+
+
+def stripped(c: Column) -> Column:
+    return F.btrim(c, F.lit(" " + BLANKS))
+
+
 def html_to_text(c: Column) -> Column:
     """Tags become spaces, white space collapses."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), BLANK_RUN, " "))
 
 
 def words(c: Column) -> Column:
     """The words of a text; a blank text has none."""
-    text = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.when(text != "", F.split(text, r"\s+")).otherwise(F.array().cast("array<string>"))
+    text = stripped(c)
+    return F.when(text != "", F.split(text, BLANK_RUN)).otherwise(F.array().cast("array<string>"))
 
 
 def chunk_documents(
@@ -34,12 +46,14 @@ def chunk_documents(
     The rows are produced inside each document's own task: no shuffle.
     """
     step = max(1, words_per_chunk - overlap)
-    split = df.select(key, words(F.col(text)).alias("_w")).filter(F.size("_w") > 0)
+    split = df.filter(stripped(F.col(text)) != "").select(key, words(F.col(text)).alias("_w"))
     starts = F.sequence(F.lit(0), F.size("_w") - 1, F.lit(step))
     if max_chunks is not None:
         starts = F.slice(starts, 1, max_chunks)
+    # no array is empty here; the outer form keeps Spark from adding a filter on the array's size,
+    # which would split the text again for every window
     windows = split.select(
-        key, F.posexplode(F.transform(starts, lambda s: F.slice("_w", s + 1, words_per_chunk)))
+        key, F.posexplode_outer(F.transform(starts, lambda s: F.slice("_w", s + 1, words_per_chunk)))
     )
     return windows.select(
         key,

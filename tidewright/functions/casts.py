@@ -73,11 +73,30 @@ def parse_with(c: Column, fmt: str) -> Column:
     return F.try_to_timestamp(guarded, F.lit(fm.java_pattern(fmt))).cast("timestamp_ntz")
 
 
+# Characters that a text and the format that reads it have in common or both lack.
+MARKS = ("/", "-", ":")
+
+
 def first_format(c: Column, fmts: list[str]) -> Column:
-    """The first format that reads the text wins."""
+    """The first format that reads the text wins.
+
+    The formats are sorted into classes by the marks they contain, so a text is only tried against
+    formats of its own class; the order inside a class is kept.
+    """
     if not fmts:
         return F.lit(None).cast("timestamp_ntz")
-    return F.coalesce(*[parse_with(c, fmt) for fmt in fmts])
+    classes: dict[tuple[bool, ...], list[str]] = {}
+    for fmt in fmts:
+        classes.setdefault(tuple(m in fmt for m in MARKS), []).append(fmt)
+    out = None
+    for marks, members in classes.items():
+        alike = F.lit(True)
+        for mark, present in zip(MARKS, marks):
+            held = F.contains(c, F.lit(mark))
+            alike = alike & (held if present else ~held)
+        parsed = F.coalesce(*[parse_with(c, fmt) for fmt in members])
+        out = F.when(alike, parsed) if out is None else out.when(alike, parsed)
+    return out
 
 
 def parse_default(c: Column) -> Column:
@@ -142,7 +161,8 @@ def from_serial_datetime(c: Column) -> Column:
     return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
-def _single_spaced(c: Column) -> Column:
+def single_spaced(c: Column) -> Column:
+    """Trimmed, with every run of white space as one space."""
     return F.regexp_replace(F.trim(c), r"\s+", " ")
 
 
@@ -155,47 +175,68 @@ def flexible_timestamp(
     return F.when(looks_like_epoch_ms(text), epoch_ms_value(text)).otherwise(first_format(c, order))
 
 
-def auto_date(c: Column, fmt: str | None = None, serials: bool = True) -> Column:
-    """Any registry format, then date-time formats cut to the day; 4-6 digits may be serials."""
-    text = F.trim(c)
-    parsed = first_format(_single_spaced(c), fm.parse_order(fmt)).cast("date")
+def auto_date(
+    c: Column, fmt: str | None = None, serials: bool = True, spaced: bool = False
+) -> Column:
+    """Any registry format, then date-time formats cut to the day; 4-6 digits may be serials.
+
+    ``spaced`` says that the column already went through ``single_spaced``, in a projection of its
+    own: it is read once per format.
+    """
+    text = c if spaced else single_spaced(c)
+    parsed = first_format(text, fm.parse_order(fmt)).cast("date")
     if not serials:
         return parsed
     return F.when(text.rlike(SERIAL_DATE), from_serial_date(text)).otherwise(parsed)
 
 
-def auto_timestamp(c: Column, fmt: str | None = None) -> Column:
+def auto_timestamp(c: Column, fmt: str | None = None, spaced: bool = False) -> Column:
     """Epoch milliseconds, then spreadsheet serials, then the formats."""
-    text = F.trim(c)
+    text = c if spaced else single_spaced(c)
     return (
         F.when(looks_like_epoch_ms(text), epoch_ms_value(text))
         .when(text.rlike(SERIAL_DATETIME), from_serial_datetime(text))
-        .otherwise(first_format(_single_spaced(c), fm.parse_order(fmt)))
+        .otherwise(first_format(text, fm.parse_order(fmt)))
     )
 
 
-def cast_text(c: Column, spec: ColumnSpec) -> Column:
-    """One text column to the type its specification names."""
+NUMERIC_KINDS = ("INTEGER", "BIGINT", "SMALLINT", "TINYINT", "DECIMAL", "FLOAT", "DOUBLE")
+
+
+def prepared_text(c: Column, spec: ColumnSpec) -> Column:
+    """The text as the reading below wants it: numbers cleaned, truth values trimmed."""
+    if spec.kind in NUMERIC_KINDS:
+        return clean_number(c)
+    return F.lower(F.trim(c)) if spec.kind == "BOOLEAN" else c
+
+
+def read_text(text: Column, spec: ColumnSpec) -> Column:
+    """Prepared text to the type its specification names."""
     kind = spec.kind
     if kind in TEXT_TYPES:
-        return c
-    if kind in ("INTEGER", "BIGINT", "SMALLINT", "TINYINT"):
-        return whole(clean_number(c), spec.spark_type)
+        return text
     if kind == "DECIMAL":
-        return to_decimal(c, spec.precision, spec.scale)
+        return fitting(text, PLAIN_NUMBER).try_cast(spec.spark_type)
     if kind in ("FLOAT", "DOUBLE"):
-        return to_double(c)
+        return fitting(text, ANY_NUMBER).try_cast("double")
+    if kind in NUMERIC_KINDS:
+        return whole(text, spec.spark_type)
     if kind == "BOOLEAN":
-        return to_boolean(c)
+        return F.when(text.isin(*TRUTH), text).try_cast("boolean")
     if kind == "DATE":
-        return to_date(c, spec.format)
+        return to_date(text, spec.format)
     if kind in ("DATETIME", "TIMESTAMP"):
-        return to_timestamp(c, spec.format)
+        return to_timestamp(text, spec.format)
     if kind == "EMBEDDING":
-        return F.from_json(c, "array<float>")
+        return F.from_json(text, "array<float>")
     raise ValueError(f"unknown column type {spec.type!r}")
 
 
+def cast_text(c: Column, spec: ColumnSpec) -> Column:
+    """One text column to the type its specification names."""
+    return read_text(prepared_text(c, spec), spec)
+
+
 def cast_typed(c: Column, spec: ColumnSpec) -> Column:
     """A natively typed source column: type to type, without text cleaning."""
     return c.try_cast(spec.spark_type)
@@ -204,20 +245,27 @@ def cast_typed(c: Column, spec: ColumnSpec) -> Column:
 def cast_table(
     df: DataFrame, spec: TableSpec, keep: tuple[str, ...] = (), native: bool | None = None
 ) -> DataFrame:
-    """Every specified column in declared order, in one projection.
+    """Every specified column in declared order.
 
-    ``native=None`` decides per column: text columns are parsed, others are cast directly.
+    ``native=None`` decides per column: text columns are parsed, others are cast directly. Text is
+    prepared in a first projection and read in a second, so that each text is prepared once.
     """
-    out = []
+    names = {c.name for c in spec.columns}
+    first, second = [], []
     for column in spec.columns:
         if column.expression:
-            out.append(F.expr(column.expression).alias(column.name))
+            first.append(F.expr(column.expression).alias(column.name))
+            second.append(F.col(column.name))
             continue
         as_text = isinstance(df.schema[column.name].dataType, T.StringType)
-        typed = (not as_text) if native is None else native
-        cast = cast_typed if typed else cast_text
-        out.append(cast(F.col(column.name), column).alias(column.name))
-    return df.select(*out, *[F.col(k) for k in keep if k not in {c.name for c in spec.columns}])
+        if (not as_text) if native is None else native:
+            first.append(cast_typed(F.col(column.name), column).alias(column.name))
+            second.append(F.col(column.name))
+        else:
+            first.append(prepared_text(F.col(column.name), column).alias(column.name))
+            second.append(read_text(F.col(column.name), column).alias(column.name))
+    kept = [k for k in keep if k not in names]
+    return df.select(*first, *kept).select(*second, *kept)
 
 
 def format_hits(df: DataFrame, columns: list[str], fmts: list[str] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,33 +64,59 @@ def _result(
     element: Column | None = None,
     unexpected: Column | None = None,
     observed: Column | None = None,
-    detail: str | None = None,
-    status: Column | None = None,
 ) -> Column:
+    """What the data says about a check; its description is joined to it at the end."""
     null = F.lit(None)
-    element = (element if element is not None else null).cast("bigint")
-    unexpected = (unexpected if unexpected is not None else null).cast("bigint")
-    success = success.cast("boolean")
+    return F.struct(
+        F.lit(check.position).alias("position"),
+        success.cast("boolean").alias("success"),
+        (element if element is not None else null).cast("bigint").alias("element_count"),
+        (unexpected if unexpected is not None else null).cast("bigint").alias("unexpected_count"),
+        (observed if observed is not None else null).cast("string").alias("observed_value"),
+    )
+
+
+DESCRIPTION = (
+    "position int, check_id string, check_type string, column_name string, stage string, "
+    "severity string, blocking boolean, verdict string, detail string"
+)
+
+
+def _described(
+    spark: SparkSession,
+    checks: Sequence[Check],
+    verdicts: dict[int, tuple[str, str]],
+    found: DataFrame | None,
+) -> DataFrame:
+    """One row per check: its description with its result, or with its verdict if it has none.
+
+    Both sides hold one row per check of the suite.
+    """
+    rows = [
+        (c.position, c.check_id, bare_type(c), c.column, c.stage, c.severity, c.blocking,
+         *verdicts.get(c.position, (None, None)))
+        for c in checks
+    ]
+    described = spark.createDataFrame(rows, DESCRIPTION)
+    if found is None:
+        blank = [F.lit(None).cast(t) for t in ("boolean", "bigint", "bigint", "string")]
+        names = ("success", "element_count", "unexpected_count", "observed_value")
+        joined = described.select("*", *[b.alias(n) for b, n in zip(blank, names)])
+    else:
+        joined = described.join(found, "position", "left")
+    element, unexpected = F.col("element_count"), F.col("unexpected_count")
     percent = F.when(element > 0, F.round(unexpected * 100.0 / element, 6)).when(
         element == 0, F.lit(0.0)
     )
-    outcome = status if status is not None else F.when(success, "passed").otherwise("failed")
+    judged = F.when(F.col("success"), "passed").otherwise("failed")
     values = {
-        "check_id": F.lit(check.check_id),
-        "check_type": F.lit(bare_type(check)),
-        "column_name": F.lit(check.column),
-        "stage": F.lit(check.stage),
-        "severity": F.lit(check.severity),
-        "blocking": F.lit(check.blocking),
-        "status": outcome,
-        "success": success,
-        "element_count": element,
-        "unexpected_count": unexpected,
+        "status": F.coalesce("verdict", judged),
+        "success": F.when(F.col("verdict") == "failed", False).otherwise(F.col("success")),
         "unexpected_percent": percent,
-        "observed_value": observed if observed is not None else null,
-        "detail": F.lit(detail),
     }
-    return F.struct(*[values[f.name].cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA.fields])
+    return joined.select(
+        *[values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in RESULT_SCHEMA.fields]
+    )
 
 
 def _counted(check: Check, element: Column, unexpected: Column, observed: Column | None = None):
@@ -466,53 +492,34 @@ OWN_PLAN: dict[str, Callable[[DataFrame, Check, Context], DataFrame]] = {
 # --- running a suite -------------------------------------------------------------------------
 
 
-def _failed(check: Check, why: str) -> Column:
-    return _result(check, F.lit(False), detail=why)
-
-
-def _pending(check: Check) -> Column:
-    return _result(check, F.lit(None), status=F.lit("pending"), detail="not implemented yet")
-
-
 def _in_one_pass(df: DataFrame, results: Sequence[Column]) -> list[DataFrame]:
     return [facts_in_one_pass(df, results)] if results else []
 
 
-def _analysed(
-    df: DataFrame, evaluated: Sequence[tuple[Check, Column]]
-) -> list[tuple[Check, Column]]:
-    """Let Spark analyse the expressions; one that does not resolve fails its own check only."""
-
-    def resolves(results: Sequence[Column]) -> str | None:
-        try:
-            df.agg(*results)
-        except AnalysisException as problem:
-            return str(problem).splitlines()[0]
-        return None
-
-    if not evaluated or resolves([r for _, r in evaluated]) is None:
-        return list(evaluated)
-    out = []
-    for check, result in evaluated:
-        why = resolves([result])
-        out.append((check, result if why is None else _failed(check, why)))
-    return out
+def _why_unresolved(df: DataFrame, results: Sequence[Column]) -> str | None:
+    """Spark's complaint about the expressions, found by analysis alone."""
+    try:
+        df.agg(*results)
+    except AnalysisException as problem:
+        return str(problem).splitlines()[0]
+    return None
 
 
 def run_suite(df: DataFrame, checks: Sequence[Check], context: Context | None = None) -> DataFrame:
     """One result row per check (see the module's description)."""
     context = context or Context()
     schema = df.schema
-    shared: list[Column] = []
-    sketched: list[Column] = []
+    checks = [replace(c, position=i) for i, c in enumerate(checks)]
+    verdicts: dict[int, tuple[str, str]] = {}
     evaluated: list[tuple[Check, Column]] = []
+    literals: list[Column] = []
     grouped: dict[tuple[tuple[str, ...], str | None], list[Column]] = {}
-    separate: list[DataFrame] = []
+    parts: list[DataFrame] = []
     for check in checks:
         kind = bare_type(check)
         try:
             if kind == PENDING:
-                shared.append(_pending(check))
+                verdicts[check.position] = ("pending", "not implemented yet")
             elif kind in ROW_RULES:
                 evaluated.append((check, _row_check(check, ROW_RULES[kind](check, schema))))
             elif kind in SCALAR:
@@ -524,28 +531,31 @@ def run_suite(df: DataFrame, checks: Sequence[Check], context: Context | None =
                 grouped.setdefault((columns, check.where), []).append(_group_check(check, columns))
             elif kind in OWN_PLAN:
                 rows = df.filter(F.expr(check.where)) if check.where else df
-                separate.append(OWN_PLAN[kind](rows, check, context))
+                parts.append(OWN_PLAN[kind](rows, check, context))
             else:
                 literal = _schema_check(check, schema)
                 if literal is None:
                     raise Unsupported(f"unsupported check type {check.type!r}")
-                shared.append(literal)
+                literals.append(literal)
         except (Unsupported, AnalysisException, KeyError) as problem:
-            shared.append(_failed(check, str(problem).splitlines()[0]))
-    for check, result in _analysed(df, evaluated):
-        # sketches keep plain aggregates from compiled code, so they get their own pass
-        (sketched if bare_type(check) in SKETCHES else shared).append(result)
-    parts = _in_one_pass(df, shared) + _in_one_pass(df, sketched)
+            verdicts[check.position] = ("failed", str(problem).splitlines()[0])
+    if evaluated and _why_unresolved(df, [r for _, r in evaluated]) is not None:
+        # some expression does not resolve: it fails its own check and no other
+        why = {c.position: _why_unresolved(df, [r]) for c, r in evaluated}
+        verdicts |= {p: ("failed", w) for p, w in why.items() if w is not None}
+        evaluated = [(c, r) for c, r in evaluated if why[c.position] is None]
+    # sketches keep plain aggregates from compiled code, so they get their own pass
+    sketched = [r for c, r in evaluated if bare_type(c) in SKETCHES]
+    plain = [r for c, r in evaluated if bare_type(c) not in SKETCHES]
+    parts += _in_one_pass(df, [*literals, *plain]) + _in_one_pass(df, sketched)
     for (columns, where), results in grouped.items():
         rows = df.filter(F.expr(where)) if where else df
         sizes = rows.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(
             F.count(F.lit(1)).alias("_n")
         )
         parts += _in_one_pass(sizes, results)
-    parts += separate
-    if not parts:
-        return df.sparkSession.createDataFrame([], RESULT_SCHEMA)
-    return reduce(lambda a, b: a.unionAll(b), parts)
+    found = reduce(lambda a, b: a.unionAll(b), parts) if parts else None
+    return _described(df.sparkSession, checks, verdicts, found)
 
 
 # Check types that read raw text, and those that need typed data.
@@ -614,11 +624,11 @@ def run_staged(
     if routed.get("ingested"):
         parts.append(run_suite(typed, routed["ingested"], context))
     skipped = [
-        _result(c, F.lit(None), status=F.lit("skipped"), detail=f"{stage} check type")
-        for stage in ("redundant", "unknown")
-        for c in routed.get(stage, [])
+        replace(c, position=i)
+        for i, c in enumerate(routed.get("redundant", []) + routed.get("unknown", []))
     ]
-    parts += _in_one_pass(typed.limit(0), skipped)
+    verdicts = {c.position: ("skipped", f"{c.stage} check type") for c in skipped}
+    parts.append(_described(typed.sparkSession, skipped, verdicts, None))
     return reduce(lambda a, b: a.unionAll(b), parts)
 
 

@@ -57,6 +57,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
+        self.read: dict[str, DataFrame] = {}
 
     def path(self, table: str) -> str:
         return f"{self.dir}/{table}.parquet"
@@ -64,7 +65,9 @@ class Tables:
     def __getattr__(self, table: str) -> DataFrame:
         if table.startswith("_"):
             raise AttributeError(table)
-        return self.spark.read.parquet(self.path(table))
+        if table not in self.read:
+            self.read[table] = self.spark.read.parquet(self.path(table))
+        return self.read[table]
 
 
 def load_all() -> dict[str, Query]:

@@ -239,9 +239,15 @@ def cast_flexible(t):
         F.when(five_ways() == 1, (micros / 1000).cast("bigint").cast("string")).alias("ms"),
     )
     d = F.col("d")
-    return raw.select(
+    spaced = raw.select(
+        "o_orderkey",
+        "d",
+        casts.single_spaced(d).alias("s"),
+        casts.single_spaced(F.coalesce("ms", "d")).alias("m"),
+    )
+    return spaced.select(
         "o_orderkey",
-        casts.auto_date(d).cast("string").alias("day_found"),
-        casts.auto_timestamp(F.coalesce("ms", "d")).alias("time_found"),
+        casts.auto_date(F.col("s"), spaced=True).cast("string").alias("day_found"),
+        casts.auto_timestamp(F.col("m"), spaced=True).alias("time_found"),
         casts.parse_default(d).alias("iso_found"),
     )

@@ -5,7 +5,13 @@ from pyspark.sql import functions as F
 from tidewright.corpus.chunks import chunk_documents, html_to_text, unit_vector
 from tidewright.queries import query
 
-WORDS_SQL = r"""string_split_regex(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '\s+')"""
+BLANK = (
+    r"[ \t\n\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+WORDS_SQL = (
+    f"string_split_regex(regexp_replace({{c}}, '^{BLANK}+|{BLANK}+$', '', 'g'), '{BLANK}+')".replace(
+        "{", "{{").replace("}", "}}").replace("{{c}}", "{c}")
+)
 
 
 def chunk_sql(source: str, key: str, size: int = 300, step: int = 270) -> str:
@@ -20,7 +26,7 @@ def chunk_sql(source: str, key: str, size: int = 300, step: int = 270) -> str:
     "EMB-02 EMB-03",
     chunk_sql(
         f"select doc_id, {WORDS_SQL.format(c='text')} as w from documents "
-        r"where regexp_matches(text, '\S')",
+        + f"where regexp_replace(text, '{BLANK}+', '', 'g') <> ''",
         "doc_id",
     ),
 )
@@ -28,7 +34,7 @@ def corpus_chunks(t):
     return chunk_documents(t.documents, "doc_id", "text")
 
 
-PAGE_TEXT = r"trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+PAGE_TEXT = f"trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{BLANK}+', ' ', 'g'))"
 
 
 @query("page_text", "EMB-01", f"select page_id, {PAGE_TEXT} as text from pages")

@@ -140,6 +140,7 @@ class Check:
     where: str | None = None
     mostly: float = 1.0
     id: str | None = None
+    position: int = 0  # place in the suite that runs it
 
     @property
     def check_id(self) -> str:

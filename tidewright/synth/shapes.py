@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewright.synth.draws import choice, draw
 
 OPEN_ENDED = 3  # how far beyond its least count an unbounded repetition may go
+SPREAD = 2**26  # a draw is cut into characters only as far as they stay evenly spread
 _DIGITS = string.digits
 _WORD = string.ascii_letters + string.digits + "_"
 _ESCAPES = {"d": _DIGITS, "w": _WORD, "s": " "}
@@ -140,19 +141,31 @@ def _plain(option: tuple[Repeat, ...]) -> str | None:
     return out
 
 
+def _letters(row: Column, counter, alphabet: str, count: int) -> list[Column]:
+    """``count`` characters of the alphabet; one draw is cut into as many as it can hold."""
+    if len(alphabet) == 1:
+        return [F.lit(alphabet)] * count
+    size = len(alphabet)
+    per_draw = 1
+    while size ** (per_draw + 1) < SPREAD:
+        per_draw += 1
+    out: list[Column] = []
+    while len(out) < count:
+        drawn = draw(row, next(counter))
+        for i in range(min(per_draw, count - len(out))):
+            rest = F.floor(drawn / F.lit(size**i)) if i else drawn
+            out.append(F.substr(F.lit(alphabet), (rest % size + 1).cast("int"), F.lit(1)))
+    return out
+
+
 def _emit_sequence(row: Column, counter, option: tuple[Repeat, ...]) -> Column:
     pieces = [F.lit("")]
     for r in option:
-        size = draw(row, next(counter)) % (r.high - r.low + 1) + r.low
-        for i in range(r.high):
-            if isinstance(r.part, Chars):
-                letters = r.part.alphabet
-                if len(letters) == 1:
-                    text = F.lit(letters)
-                else:
-                    at = (draw(row, next(counter)) % len(letters) + 1).cast("int")
-                    text = F.substr(F.lit(letters), at, F.lit(1))
-            else:
-                text = _emit_choice(row, counter, r.part)
+        if isinstance(r.part, Chars):
+            texts = _letters(row, counter, r.part.alphabet, r.high)
+        else:
+            texts = [_emit_choice(row, counter, r.part) for _ in range(r.high)]
+        size = draw(row, next(counter)) % (r.high - r.low + 1) + r.low if r.high > r.low else None
+        for i, text in enumerate(texts):
             pieces.append(text if i < r.low else F.when(size > i, text).otherwise(F.lit("")))
     return F.concat(*pieces)
