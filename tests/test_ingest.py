@@ -101,10 +101,33 @@ def test_merge_prefers_score_then_source(spark, rows):
     )
     won = merge_winners(df, ["k"], {"t": F.col("t").cast("date")}, "src", "n", audit=True)
     assert rows(won, "k", "n", "merge_score") == [
-        ("j", "2", "0"), ("k", "1", "1"), (None, "4", "0")
+        ("j", "2", "0"), ("k", "1", "1"), (None, "4", "1")
     ]
 
 
 def test_all_blank_and_all_garbage_rows_stay(spark, rows):
     out = batch(spark, [("B", "", "", "1"), ("G", "x", "y", "1")])
     assert rows(out) == [("B", None, None), ("G", None, None)]
+
+
+def test_merge_matches_brute_force(spark):
+    """Several timestamps, many ties, one key with a third of the rows."""
+    data = [
+        ("hot" if i % 3 == 0 else f"k{i % 7}", i % 4, i, (i * 7) % 5, None if i % 11 == 0 else (i * 3) % 4,
+         (i * i) % 6)
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(data, "k string, src int, n int, a int, b int, c int")
+    stamps = {name: F.col(name) for name in "abc"}
+    won = merge_winners(df, ["k"], stamps, "src", "n", audit=True)
+    want = {}
+    for key in {d[0] for d in data}:
+        mine = [d for d in data if d[0] == key]
+        tops = [max((d[j] for d in mine if d[j] is not None), default=None) for j in (3, 4, 5)]
+        ranked = [
+            (-sum(d[j] is not None and d[j] == t for j, t in zip((3, 4, 5), tops)), d[1], d[2]) for d in mine
+        ]
+        want[key] = min(ranked)
+    assert {r.k: (-r.merge_score, r.src, r.n) for r in won.collect()} == want
+    plan = won._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
