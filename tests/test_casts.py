@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewright.functions import casts, formats
-from tidewright.specs import ColumnSpec, TableSpec
+from tidewright.specs import ColumnSpec, TableDef
 
 
 def cast_values(spark, values, spec):
@@ -99,7 +99,7 @@ def test_flexible_order(spark):
 
 
 def test_casts_do_not_depend_on_ansi(spark):
-    spec = TableSpec("t", (ColumnSpec("a", "INTEGER"), ColumnSpec("b", "DATE", format="YYYYMMDD")))
+    spec = TableDef("t", (ColumnSpec("a", "INTEGER"), ColumnSpec("b", "DATE", format="YYYYMMDD")))
     df = spark.createDataFrame([("x", "99999999"), ("3", "20240101")], "a string, b string")
     found = {}
     before = spark.conf.get("spark.sql.ansi.enabled")

@@ -8,7 +8,7 @@ from tidewright.operators.project import map_values, null_literals, override
 from tidewright.operators.reshape import pivot_ranked, unpivot_columns, unpivot_latest
 from tidewright.operators.sets import key_universe
 from tidewright.plans.derive import Joined, Newest, Summarised, derive
-from tidewright.specs import ColumnSpec, TableSpec
+from tidewright.specs import ColumnSpec, TableDef
 
 
 def test_left_join_keeps_orphans(spark, rows):
@@ -83,7 +83,7 @@ def test_window_aggregation_gold(spark, rows):
     )
     base = key_universe([(member, "member_id"), (claims, "member_id")], "member")
     on = {"member": "member_id"}
-    spec = TableSpec(
+    spec = TableDef(
         "stats",
         (ColumnSpec("member"), ColumnSpec("claims", "INTEGER"), ColumnSpec("status"),
          ColumnSpec("tier", default="std"), ColumnSpec("known", "BOOLEAN")),

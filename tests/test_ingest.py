@@ -11,9 +11,9 @@ from tidewright.plans.ingest import (
     upsert_last_batch,
     upsert_newest,
 )
-from tidewright.specs import ColumnSpec, TableSpec
+from tidewright.specs import ColumnSpec, TableDef
 
-CLAIMS = TableSpec(
+CLAIMS = TableDef(
     "claims",
     (
         ColumnSpec("claim_id"),

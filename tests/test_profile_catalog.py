@@ -12,7 +12,7 @@ from tidewright.operators.joins import KeyPair, measure_foreign_keys
 from tidewright.profiling.columns import pattern_regex, patterns, profile_columns
 from tidewright.profiling.domains import infer_domains
 from tidewright.profiling.keys import key_candidates, promote_key
-from tidewright.specs import ColumnSpec, TableSpec, spec_of_schema
+from tidewright.specs import ColumnSpec, TableDef, spec_of_schema
 
 
 def test_profile_error_bound(spark):
@@ -74,7 +74,7 @@ def test_foreign_key_measures(spark):
 
 def test_compatibility_rules(spark, rows):
     def spec(*columns):
-        return TableSpec("t", columns)
+        return TableDef("t", columns)
 
     old = spec(
         ColumnSpec("a", "INTEGER"), ColumnSpec("b", "VARCHAR", length=10), ColumnSpec("c", "DECIMAL", precision=10, scale=2),
@@ -89,7 +89,7 @@ def test_compatibility_rules(spark, rows):
     assert {(r.column_name, r.finding, r.severity) for r in found.collect()} == {
         ("a", "type_widened", "info"), ("b", "length_narrowed", "breaking"), ("c", "precision_widened", "info"),
         ("d", "dimension_changed", "breaking"), ("e", "nullable_tightened", "breaking"),
-        ("gone", "removed", "breaking"), ("now", "renamed", "warning"), ("opt", "added", "info"),
+        ("gone", "removed", "breaking"), ("now", "renamed", "info"), ("opt", "added", "info"),
         ("req", "added_required", "breaking"),
     }
     same = classify(schema_diff(column_facts(spark, [old]), column_facts(spark, [old])))

@@ -8,7 +8,7 @@ from tidewright.quality import drift, scoring
 from tidewright.quality.actions import action_of, row_constraints, split_rows
 from tidewright.quality.spec_checks import date_pairs, implied_checks
 from tidewright.quality.suite import Context, failure_samples, run_staged, run_suite, stage_of, value_of
-from tidewright.specs import Check, ColumnSpec, TableSpec
+from tidewright.specs import Check, ColumnSpec, TableDef
 
 
 def outcome(df, *checks, context=None):
@@ -111,7 +111,7 @@ def test_gate(tiers):
 def test_actions(tiers, rows):
     assert action_of(Check("x", severity="info")) == "WARN"
     assert action_of(Check("x", severity="info", blocking=True)) == "FAIL"
-    spec = TableSpec(
+    spec = TableDef(
         "t",
         (ColumnSpec("id", nullable=False), ColumnSpec("lob"), ColumnSpec("tier")),
         checks=(Check("accepted_values", "lob", {"value_set": ["MD", "ME"]}),),
@@ -145,7 +145,7 @@ def test_date_pairs_and_implied_checks():
     assert date_pairs(["start_day", "end_day", "begin_x", "to_x", "other"]) == [
         ("start_day", "end_day"), ("begin_x", "to_x")
     ]
-    spec = TableSpec(
+    spec = TableDef(
         "t",
         (ColumnSpec("a", "DATE", format="MM/DD/YYYY", nullable={"x": False, "y": True}),
          ColumnSpec("v", "EMBEDDING", dimension=64), ColumnSpec("z", domain="zip_code")),

@@ -8,7 +8,7 @@ from tidewright.sources.files import Delimited, MissingPath, charset, read_delim
 from tidewright.sources.headers import MissingColumns, header_mapping, resolve_headers
 from tidewright.sources.jdbc import Jdbc, UnresolvedSecret, jdbc_options, read_jdbc
 from tidewright.sources.provenance import META_COLUMNS, check_captures, with_provenance
-from tidewright.specs import ColumnSpec, TableSpec
+from tidewright.specs import ColumnSpec, TableDef
 
 
 def land(tmp_path, text, name="f.txt"):
@@ -68,7 +68,7 @@ def test_plain_csv_quotes(spark, rows, tmp_path):
 
 
 def test_headers(spark):
-    spec = TableSpec(
+    spec = TableDef(
         "t",
         (ColumnSpec("id", nullable=False, aliases=("key",)), ColumnSpec("name", canonical="Full Name"),
          ColumnSpec("note")),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewright.quality.suite import run_suite
 from tidewright.session import scratch_path
-from tidewright.specs import Check, ColumnSpec, TableSpec
+from tidewright.specs import Check, ColumnSpec, TableDef
 from tidewright.streaming.changes import (
     StreamHalted,
     apply_changes,
@@ -61,7 +61,7 @@ def test_dense_index(spark):
 
 
 def test_tables_conform_to_their_checks(spark):
-    spec = TableSpec(
+    spec = TableDef(
         "t",
         (ColumnSpec("id", nullable=False), ColumnSpec("lob", domain="lob"), ColumnSpec("n", "INTEGER"),
          ColumnSpec("day", "DATE"), ColumnSpec("parent")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.operators.aggregates import facts_in_one_pass
-from tidewright.specs import TableSpec
+from tidewright.specs import TableDef
 
 # Type changes that lose nothing, as (from, to).
 SAFE_WIDENINGS = (
@@ -42,7 +42,7 @@ FACT_SCHEMA = T.StructType(
 COMPARED = ("type", "length", "precision", "scale", "dimension", "nullable", "description")
 
 
-def column_facts(spark: SparkSession, specs: Sequence[TableSpec]) -> DataFrame:
+def column_facts(spark: SparkSession, specs: Sequence[TableDef]) -> DataFrame:
     """One row per column of every table."""
     rows = []
     for spec in specs:
@@ -174,7 +174,7 @@ def classify(diff: DataFrame) -> DataFrame:
         finding(c("change") == "removed", "removed", "breaking"),
         finding((c("change") == "added") & c("new_nullable"), "added", "info"),
         finding((c("change") == "added") & ~c("new_nullable"), "added_required", "breaking"),
-        finding(c("change") == "renamed", "renamed", "warning"),
+        finding(c("change") == "renamed", "renamed", "info"),
         finding(both & (old_type != new_type) & _is_safe(old_type, new_type), "type_widened", "info"),
         finding(
             both & (old_type != new_type) & ~_is_safe(old_type, new_type), "type_narrowed", "breaking"

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidewright.functions import formats as fm
 from tidewright.operators.aggregates import facts_in_one_pass
-from tidewright.specs import TEXT_TYPES, ColumnSpec, TableSpec
+from tidewright.specs import TEXT_TYPES, ColumnSpec, TableDef
 
 # Text shapes of epoch milliseconds and of spreadsheet serial numbers.
 EPOCH_MS_SCIENTIFIC = r"^\d+\.?\d*[Ee][+-]?\d+$"
@@ -243,7 +243,7 @@ def cast_typed(c: Column, spec: ColumnSpec) -> Column:
 
 
 def cast_table(
-    df: DataFrame, spec: TableSpec, keep: tuple[str, ...] = (), native: bool | None = None
+    df: DataFrame, spec: TableDef, keep: tuple[str, ...] = (), native: bool | None = None
 ) -> DataFrame:
     """Every specified column in declared order.
 

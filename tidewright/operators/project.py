@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.specs import TableSpec
+from tidewright.specs import TableDef
 
 
 def required_columns(df: DataFrame, used: Sequence[str], key: str | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def override(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
 
 def final_projection(
     df: DataFrame,
-    spec: TableSpec,
+    spec: TableDef,
     mapping: dict[str, Column],
     sort_names: bool = False,
 ) -> DataFrame:

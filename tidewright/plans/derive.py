@@ -12,7 +12,7 @@ from tidewright.operators.joins import enrich, first_record
 from tidewright.operators.project import final_projection
 from tidewright.operators.ranking import latest_row
 from tidewright.operators.reshape import pivot_join
-from tidewright.specs import TableSpec
+from tidewright.specs import TableDef
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def attach(base: DataFrame, step: Step) -> DataFrame:
 def derive(
     base: DataFrame,
     steps: Sequence[Step],
-    spec: TableSpec,
+    spec: TableDef,
     mapping: dict[str, Column],
     sort_names: bool = False,
 ) -> DataFrame:

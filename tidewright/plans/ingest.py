@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.casts import cast_table
 from tidewright.operators.ranking import latest
-from tidewright.specs import TableSpec
+from tidewright.specs import TableDef
 
 
-def typed_batch(raw: DataFrame, spec: TableSpec, native: bool | None = None) -> DataFrame:
+def typed_batch(raw: DataFrame, spec: TableDef, native: bool | None = None) -> DataFrame:
     """Cast one raw batch; a keyed incremental table also keeps only the newest row per key.
 
     Order columns that are not part of the table (such as the load time) are used and dropped.

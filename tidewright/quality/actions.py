@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.quality.suite import bare_type, row_rules
-from tidewright.specs import Check, TableSpec
+from tidewright.specs import Check, TableDef
 
 FAIL, DROP, WARN = "FAIL", "DROP", "WARN"
 
@@ -21,7 +21,7 @@ def action_of(check: Check) -> str:
     return DROP if check.severity in ("critical", "error", "warning") else WARN
 
 
-def row_constraints(spec: TableSpec) -> list[Check]:
+def row_constraints(spec: TableDef) -> list[Check]:
     """Row-local rules of a table: keys and required columns not null, plus its accepted values."""
     required = [
         Check("column_values_to_not_be_null", c.name, severity="critical", blocking=True,

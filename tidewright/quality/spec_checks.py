@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidewright.functions.formats import REGISTRY, strftime_of
 from tidewright.quality.suite import Context, failure_samples, run_suite
-from tidewright.specs import TEXT_TYPES, Check, ColumnSpec, TableSpec
+from tidewright.specs import TEXT_TYPES, Check, ColumnSpec, TableDef
 
 # Name prefixes that mark the two ends of a period.
 START_PREFIXES = ("start_", "begin_", "effective_", "from_")
@@ -30,7 +30,7 @@ def date_pairs(names: Sequence[str]) -> list[tuple[str, str]]:
     return pairs
 
 
-def pair_checks(spec: TableSpec) -> list[Check]:
+def pair_checks(spec: TableDef) -> list[Check]:
     temporal = [c.name for c in spec.columns if c.kind in ("DATE", "DATETIME", "TIMESTAMP")]
     return [
         Check(
@@ -96,7 +96,7 @@ def _column_checks(c: ColumnSpec, as_text: bool) -> list[Check]:
     return out
 
 
-def implied_checks(spec: TableSpec, native: Sequence[str] = ()) -> list[Check]:
+def implied_checks(spec: TableDef, native: Sequence[str] = ()) -> list[Check]:
     """All checks a specification implies.
 
     ``native`` names columns that land with their own type; checks of text shape are withheld there.
@@ -132,11 +132,11 @@ def native_columns(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields if not isinstance(f.dataType, T.StringType)]
 
 
-def check_table(df: DataFrame, spec: TableSpec, context: Context | None = None) -> DataFrame:
+def check_table(df: DataFrame, spec: TableDef, context: Context | None = None) -> DataFrame:
     return run_suite(df, implied_checks(spec, native_columns(df.schema)), context)
 
 
-def _schema_findings(df: DataFrame, spec: TableSpec) -> list[tuple]:
+def _schema_findings(df: DataFrame, spec: TableDef) -> list[tuple]:
     names, rows = df.columns, []
     for c in spec.columns:
         if c.name not in names:
@@ -158,7 +158,7 @@ def _schema_findings(df: DataFrame, spec: TableSpec) -> list[tuple]:
 ERROR_SCHEMA = "error_type string, severity string, column_name string, rule string, row_count bigint"
 
 
-def table_errors(df: DataFrame, spec: TableSpec, context: Context | None = None) -> DataFrame:
+def table_errors(df: DataFrame, spec: TableDef, context: Context | None = None) -> DataFrame:
     """One row per finding: schema differences, then every failed check with value samples."""
     schema_rows = df.sparkSession.createDataFrame(_schema_findings(df, spec), ERROR_SCHEMA)
     present = [

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import casts
 from tidewright.queries import query
-from tidewright.specs import ColumnSpec, TableSpec
+from tidewright.specs import ColumnSpec, TableDef
 
 LINE_NO = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
@@ -43,7 +43,7 @@ def cast_numeric_dirty(t):
         F.when(kind == 3, "notnum").otherwise(F.concat(qty, F.lit("E3"))).alias("weight"),
         F.concat(qty, F.lit(".00")).alias("small"),
     )
-    spec = TableSpec(
+    spec = TableDef(
         "dirty",
         (
             ColumnSpec("l_orderkey", "INTEGER", bits=64),
@@ -199,7 +199,7 @@ def cast_passthrough_typed_bool(t):
         F.col("l_tax").alias("tax"),
         F.col("l_shipdate").alias("ship_day"),
     )
-    spec = TableSpec(
+    spec = TableDef(
         "typed",
         (
             *[ColumnSpec(c, "INTEGER", bits=64) for c in ("l_orderkey", "l_partkey", "l_suppkey")],

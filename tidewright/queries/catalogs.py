@@ -44,7 +44,7 @@ def _two_states(t):
     "SCH-01 SCH-02",
     """select 'customer' as table_name, 'c_nationkey' as column_name, 'removed' as change,
          'removed' as finding, 'breaking' as severity, count(c_nationkey) as value_count from customer
-       union all select 'customer', 'c_fullname', 'renamed', 'renamed', 'warning', null
+       union all select 'customer', 'c_fullname', 'renamed', 'renamed', 'info', null
        union all select 'customer', 'c_acctbal', 'modified', 'type_narrowed', 'breaking',
          count(c_acctbal) from customer
        union all select 'customer', 'c_mktsegment', 'modified', 'type_widened', 'info',

@@ -7,7 +7,7 @@ from tidewright.quality.actions import split_rows, tag_violations
 from tidewright.quality.spec_checks import check_table, table_errors
 from tidewright.quality.suite import Context, failure_samples, run_staged, run_suite
 from tidewright.queries import query
-from tidewright.specs import Check, ColumnSpec, TableSpec
+from tidewright.specs import Check, ColumnSpec, TableDef
 
 FACTS = ["check_id", "status", "element_count", "unexpected_count"]
 
@@ -589,7 +589,7 @@ def dq_dates_and_domains(t):
         .otherwise("1234")
         .alias("zip"),
     )
-    spec = TableSpec("t", (ColumnSpec("start_day", "DATE"), ColumnSpec("end_day", "DATE")))
+    spec = TableDef("t", (ColumnSpec("start_day", "DATE"), ColumnSpec("end_day", "DATE")))
     domain = "column_values_to_match_domain_type"
     checks = [
         Check("column_date_to_be_in_current_year", "o_orderdate",
@@ -603,7 +603,7 @@ def dq_dates_and_domains(t):
     return run_suite(rows, checks).select(FACTS)
 
 
-LINE_SPEC = TableSpec(
+LINE_SPEC = TableDef(
     "lineitem",
     (
         ColumnSpec("l_orderkey", "INTEGER", bits=64, nullable=False),

@@ -19,7 +19,7 @@ from tidewright.sources.files import (
 )
 from tidewright.sources.headers import resolve_headers
 from tidewright.sources.provenance import capture_from_name, landing_columns, with_provenance
-from tidewright.specs import ColumnSpec, TableSpec
+from tidewright.specs import ColumnSpec, TableDef
 
 CUSTOMER_SQL = "select c_custkey::varchar as c_custkey, c_name, c_mktsegment from customer"
 
@@ -112,7 +112,7 @@ def dump_file_read(t):
         footer_rows=1,
         line_terminator="||",
     )
-    spec = TableSpec(
+    spec = TableDef(
         "customer",
         (
             ColumnSpec("c_custkey", nullable=False),
@@ -139,7 +139,7 @@ def header_resolution(t):
     )
     delivered.write.option("header", True).option("sep", ";").csv(path)
     raw = read_delimited(t.spark, path, Delimited(delimiter=";"))
-    spec = TableSpec(
+    spec = TableDef(
         "c",
         (
             ColumnSpec("customer_key", nullable=False, aliases=("customerkey",)),

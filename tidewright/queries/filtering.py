@@ -13,7 +13,7 @@ from tidewright.operators.filters import (
 from tidewright.operators.project import map_values, null_literals
 from tidewright.queries import query
 from tidewright.sinks.rendering import format_outputs, render_nulls
-from tidewright.specs import ColumnSpec, TableSpec
+from tidewright.specs import ColumnSpec, TableDef
 
 
 @query(
@@ -116,7 +116,7 @@ def output_format_nulls(t):
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus"),
         F.when(F.col("o_orderkey") % 6 != 0, F.col("o_orderdate").cast("date")).alias("ship_day"),
     )
-    spec = TableSpec(
+    spec = TableDef(
         "out",
         (
             ColumnSpec("o_orderkey", "INTEGER", bits=64),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewright.queries import query
-from tidewright.specs import Check, ColumnSpec, TableSpec
+from tidewright.specs import Check, ColumnSpec, TableDef
 from tidewright.synth import draws
 from tidewright.synth.tables import (
     Link,
@@ -31,7 +31,7 @@ def salt(column: str) -> int:
     return draws.salt_of("people", column)
 
 
-PEOPLE = TableSpec(
+PEOPLE = TableDef(
     "people",
     (
         ColumnSpec("person_id", "INTEGER", bits=64, nullable=False),
@@ -134,7 +134,7 @@ def synth_forced(t):
     )
 
 
-VISITS = TableSpec(
+VISITS = TableDef(
     "visits",
     (
         ColumnSpec("visit_no", "INTEGER", bits=64, nullable=False),
@@ -199,7 +199,7 @@ def synth_summary(t):
     made = {"people": people, "visits": _visits(t)}
     for name in generation_order(names, links):
         if name not in made:
-            spec = TableSpec(name, (ColumnSpec("id"), ColumnSpec("amount", "DOUBLE")), ("id",))
+            spec = TableDef(name, (ColumnSpec("id"), ColumnSpec("amount", "DOUBLE")), ("id",))
             made[name] = generate(numbered_rows(t.spark, sizes[name]), "row", Plan(spec))
     made["pool"] = t.customer
     keys = {"people": ["person_id"], "visits": ["visit_no", "line"], "cards": ["id"],

@@ -6,9 +6,9 @@ from tidewright.functions.casts import parse_with
 from tidewright.operators.ranking import merge_winners
 from tidewright.plans.ingest import apply_batches, typed_batch, upsert_last_batch, upsert_newest
 from tidewright.queries import query
-from tidewright.specs import ColumnSpec, TableSpec
+from tidewright.specs import ColumnSpec, TableDef
 
-ORDERS_SPEC = TableSpec(
+ORDERS_SPEC = TableDef(
     "orders_by_customer",
     (
         ColumnSpec("o_custkey", "INTEGER", bits=64, nullable=False),

@@ -23,7 +23,7 @@ from tidewright.operators.sets import key_universe
 from tidewright.operators.survivorship import Candidate, by_priority, default_only, greatest
 from tidewright.plans.derive import Joined, Newest, Summarised, derive
 from tidewright.queries import query
-from tidewright.specs import ColumnSpec, TableSpec
+from tidewright.specs import ColumnSpec, TableDef
 
 
 @query(
@@ -233,7 +233,7 @@ def fk_discovery(t):
     return measure_foreign_keys({name: getattr(t, name) for name in tables}, _PAIRS)
 
 
-CUSTOMER_GOLD = TableSpec(
+CUSTOMER_GOLD = TableDef(
     "customer_gold",
     (
         ColumnSpec("custkey", "INTEGER", bits=64, nullable=False),
@@ -342,7 +342,7 @@ def project_namespaced_gold(t):
     base = required_columns(base, ["o_custkey", "o_totalprice"], key="o_orderkey")
     base = override(base, {"o_totalprice": "o_totalprice * 2"})
     other = t.customer.withColumn("meta_load", F.col("c_custkey") % 3)
-    spec = TableSpec(
+    spec = TableDef(
         "gold",
         (
             ColumnSpec("orderkey", "INTEGER", bits=64),

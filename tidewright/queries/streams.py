@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidewright.queries import query
 from tidewright.session import scratch_path
 from tidewright.sources.files import Delimited, string_schema
-from tidewright.specs import Check, ColumnSpec, TableSpec
+from tidewright.specs import Check, ColumnSpec, TableDef
 from tidewright.streaming.changes import (
     apply_changes,
     compact,
@@ -15,7 +15,7 @@ from tidewright.streaming.changes import (
 )
 from tidewright.streaming.landing import append_stream, deduplicated, read_landing, typed_stream
 
-EVENTS = TableSpec(
+EVENTS = TableDef(
     "events",
     (
         ColumnSpec("event_id", "INTEGER", bits=64),

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.functions.formats import java_pattern
-from tidewright.specs import TableSpec
+from tidewright.specs import TableDef
 
 
-def format_outputs(df: DataFrame, spec: TableSpec) -> DataFrame:
+def format_outputs(df: DataFrame, spec: TableDef) -> DataFrame:
     """Date and time columns that declare a format become text in that format."""
     temporal = (T.DateType, T.TimestampType, T.TimestampNTZType)
     shown = {}
@@ -20,7 +20,7 @@ def format_outputs(df: DataFrame, spec: TableSpec) -> DataFrame:
     return df.withColumns(shown)
 
 
-def render_nulls(df: DataFrame, spec: TableSpec) -> DataFrame:
+def render_nulls(df: DataFrame, spec: TableDef) -> DataFrame:
     """NULL becomes the column's declared output text; runs after the formatting."""
     shown = {
         c.name: F.coalesce(F.col(c.name).cast("string"), F.lit(c.null_output))

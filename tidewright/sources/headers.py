@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.specs import TableSpec
+from tidewright.specs import TableDef
 
 
 class MissingColumns(ValueError):
@@ -18,7 +18,7 @@ def _fold(name: str) -> str:
     return name.strip().casefold()
 
 
-def known_names(spec: TableSpec) -> dict[str, str]:
+def known_names(spec: TableDef) -> dict[str, str]:
     """Folded name to column: names claim first, then canonical names, then aliases."""
     known: dict[str, str] = {}
     for c in spec.columns:
@@ -32,7 +32,7 @@ def known_names(spec: TableSpec) -> dict[str, str]:
     return known
 
 
-def header_mapping(headers: Sequence[str], spec: TableSpec) -> dict[str, str]:
+def header_mapping(headers: Sequence[str], spec: TableDef) -> dict[str, str]:
     """Column to the delivered header that supplies it; of two equal headers the first counts."""
     known, taken = known_names(spec), {}
     for header in headers:
@@ -42,7 +42,7 @@ def header_mapping(headers: Sequence[str], spec: TableSpec) -> dict[str, str]:
     return taken
 
 
-def resolve_headers(df: DataFrame, spec: TableSpec, keep: Sequence[str] = ()) -> DataFrame:
+def resolve_headers(df: DataFrame, spec: TableDef, keep: Sequence[str] = ()) -> DataFrame:
     """Declared columns in declared order; unknown headers are left out.
 
     A missing optional column becomes a NULL string, a missing required one is an error.

@@ -77,7 +77,7 @@ class ColumnSpec:
 
 
 @dataclass(frozen=True)
-class TableSpec:
+class TableDef:
     name: str
     columns: tuple[ColumnSpec, ...]
     primary_key: tuple[str, ...] = ()
@@ -99,7 +99,7 @@ class TableSpec:
         )
 
 
-def spec_of_schema(name: str, schema: T.StructType, **more: Any) -> TableSpec:
+def spec_of_schema(name: str, schema: T.StructType, **more: Any) -> TableDef:
     """Reflect a specification from a Spark schema; 64-bit integers stay 64-bit."""
     columns = []
     for f in schema.fields:
@@ -124,7 +124,7 @@ def spec_of_schema(name: str, schema: T.StructType, **more: Any) -> TableSpec:
         else:
             facts["type"] = "VARCHAR"
         columns.append(ColumnSpec(**facts))
-    return TableSpec(name=name, columns=tuple(columns), **more)
+    return TableDef(name=name, columns=tuple(columns), **more)
 
 
 @dataclass(frozen=True)

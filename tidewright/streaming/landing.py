@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewright.functions.casts import cast_table
 from tidewright.sources.files import Delimited
-from tidewright.specs import TableSpec
+from tidewright.specs import TableDef
 
 
 def read_landing(
@@ -37,7 +37,7 @@ def read_landing(
     )
 
 
-def typed_stream(stream: DataFrame, spec: TableSpec, keep: tuple[str, ...] = ()) -> DataFrame:
+def typed_stream(stream: DataFrame, spec: TableDef, keep: tuple[str, ...] = ()) -> DataFrame:
     """The batch cast projection on a stream: stateless, row by row."""
     return cast_table(stream, spec, keep)
 

@@ -16,7 +16,7 @@ from tidewright.functions.formats import java_pattern, strftime_pattern
 from tidewright.operators.joins import fk_coverage
 from tidewright.quality.suite import bare_type
 from tidewright.session import cut_lineage
-from tidewright.specs import TEXT_TYPES, Check, ColumnSpec, TableSpec
+from tidewright.specs import TEXT_TYPES, Check, ColumnSpec, TableDef
 from tidewright.synth.draws import (
     choice,
     draw,
@@ -110,7 +110,7 @@ class Reference:
 class Plan:
     """What is known about a table's values beside its specification."""
 
-    spec: TableSpec
+    spec: TableDef
     checks: Sequence[Check] = ()
     references: Sequence[Reference] = ()
     samples: dict[str, list] = field(default_factory=dict)
