@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewright.llm import line_dedup, quality_rules, source_mixing
+from tidewright.llm import (
+    chat_format,
+    html_extract,
+    language_id,
+    line_dedup,
+    piece_sampling,
+    projection_ann,
+    quality_rules,
+    source_mixing,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,16 +28,47 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate_lines(docs).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    found = language_id.identify(docs.select("doc_id", "text"), language_id.learn_dictionaries(labelled))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "confident")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_conversations(rows.unionByName(extra)))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents")).drop("host", "text_hash")
 
 
+def op8_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = piece_sampling.sample_pieces(docs, verify="lossless")
+    return found.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "lossless", "piece_ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op7_quality_rules, op9_source_mixing)
+    f.__name__: f for f in (
+        op1_line_dedup, op3_language_id, op5_chat_format, op6_html_extract, op7_quality_rules, op8_projection_ann,
+        op9_source_mixing, op10_piece_sampling,
+    )
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.QUERY_SQL,
