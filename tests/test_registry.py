@@ -51,7 +51,8 @@ def test_every_inventory_entry_has_a_query():
 
 def test_names_and_entry(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert not [n for n in contract.queries() if re.match(r"op\d|pipeline", n)]
+    assert set(load_all()) <= set(contract.queries())
+    assert not [n for n in load_all() if re.match(r"op\d|pipeline", n)]
     assert contract.entry(spark).limit(1).count() == 1
 
 
