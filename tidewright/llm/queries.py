@@ -12,6 +12,7 @@ from tidewright.llm import (
     html_extract,
     language_id,
     line_dedup,
+    ngram_join,
     piece_sampling,
     projection_ann,
     quality_rules,
@@ -28,6 +29,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate_lines(docs).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labelled = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -66,7 +71,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_line_dedup, op3_language_id, op5_chat_format, op6_html_extract, op7_quality_rules, op8_projection_ann,
+        op1_line_dedup, op2_ngram_join, op3_language_id, op5_chat_format, op6_html_extract, op7_quality_rules, op8_projection_ann,
         op9_source_mixing, op10_piece_sampling,
     )
 }
