@@ -17,6 +17,7 @@ from tidewright.llm import (
     projection_ann,
     quality_rules,
     source_mixing,
+    suffix_dedup,
 )
 
 
@@ -40,6 +41,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "confident")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_digests(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -71,7 +76,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_line_dedup, op2_ngram_join, op3_language_id, op5_chat_format, op6_html_extract, op7_quality_rules, op8_projection_ann,
+        op1_line_dedup, op2_ngram_join, op3_language_id, op4_suffix_dedup, op5_chat_format, op6_html_extract, op7_quality_rules, op8_projection_ann,
         op9_source_mixing, op10_piece_sampling,
     )
 }
