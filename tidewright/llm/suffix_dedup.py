@@ -39,7 +39,7 @@ GRAM = 40
 UNIT = 22
 SEGMENT = 1 << 19
 HOT_ROWS = 20_000
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1 << 20
 #: rows of (text key, list) that may be broadcast after they have been counted
 MOST_BROADCAST = 400_000
 BASE = 0x9E3779B97F4A7C15
