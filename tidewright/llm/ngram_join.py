@@ -38,7 +38,7 @@ from tidewright.session import scratch_path
 
 WORDS_PER_SHINGLE = 5
 PERCENT = 75
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 14
 #: shingles of this class or above are posted over SALTS salts
 HOT_CLASS = 3
@@ -138,7 +138,7 @@ def frequency_classes(blocks: DataFrame) -> np.ndarray:
     for r in summed.collect():
         sketch[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] += np.frombuffer(r["counts"], np.uint64)
     usual = float(np.median(sketch))
-    excess = (sketch.astype(np.float64) - usual) / (4 * np.sqrt(usual) + 4)
+    excess = (sketch.astype(np.float64) - usual) / (3 * np.sqrt(usual) + 3)
     return np.where(excess < 1, 0, 1 + np.floor(np.log2(np.maximum(excess, 1)))).astype(np.uint8)
 
 
