@@ -43,6 +43,8 @@ SKETCH_BLOCK = 1 << 14
 #: shingles of this class or above are posted over SALTS salts
 HOT_CLASS = 3
 SALTS = 64
+#: orders of members among which the second round of stars chooses by list
+STAR_ORDERS = 4
 #: (id, hash) rows that may be broadcast to pick texts; more are joined by a shuffle
 MOST_BROADCAST = 200_000
 ORDERS = (0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127, 0xB492B66FBE98F273)
@@ -291,11 +293,11 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def links_of(pairs: DataFrame) -> DataFrame:
         return stored(_verified(pairs, sets_of(pairs), percent), "links")
 
-    # one star per list around the same few sets, then, where components remain apart, stars around other sets per list
+    # one star per list around the same few sets, then, where components remain apart, around a few others
     stars = stored(star_pairs(shared, F.col("set_id")), "stars")
     links = links_of(stars)
     first = stored(open_lists(stored(connected(links, "a", "b"), "roots")), "open")
-    others = stored(star_pairs(first, F.xxhash64("token", "set_id")).join(stars, ["a", "b"], "left_anti"), "stars")
+    others = stored(star_pairs(first, F.xxhash64(F.pmod("token", F.lit(STAR_ORDERS)), "set_id")).join(stars, ["a", "b"], "left_anti"), "stars")
     links, stars = links.unionByName(links_of(others)), stars.unionByName(others)
     rest = open_lists(stored(connected(links, "a", "b"), "roots"))
     crossing = rest.select("token", F.col("label").alias("l"), posting.alias("x")).join(
