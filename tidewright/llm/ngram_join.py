@@ -221,23 +221,23 @@ def _possible(a, b, percent: int):
     return (100 * F.least(a["n"], b["n"]).cast("long") >= percent * F.greatest(a["n"], b["n"])) & ((100 + percent) * rest >= percent * both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among candidate pairs (a, b): sizes, the other orders, then whole sets."""
-    light = sets.select("set_id", "n", "prefix2", "prefix3")
-    left = light.select(*[F.col(c).alias(f"a_{c}") for c in light.columns])
-    right = light.select(*[F.col(c).alias(f"b_{c}") for c in light.columns])
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, stored) -> DataFrame:
+    """The links among candidate pairs (a, b): the other orders first, then whole sets."""
+
+    def both_sides(pairs: DataFrame, *columns: str) -> DataFrame:
+        """The pairs with columns of either set; the pairs go to the sets where their number allows it."""
+        near = F.broadcast(pairs) if pairs.count() <= MOST_BROADCAST else pairs
+        sides = [
+            sets.select("set_id", *columns).join(near, F.col("set_id") == F.col(end)).select("a", "b", *[F.col(c).alias(f"{end}_{c}") for c in columns])
+            for end in ("a", "b")
+        ]
+        return sides[0].join(sides[1], ["a", "b"])
+
     shared = F.arrays_overlap("a_prefix2", "b_prefix2") & F.arrays_overlap("a_prefix3", "b_prefix3")
-    passed = (
-        pairs.join(right, F.col("b") == F.col("b_set_id"))
-        .join(left, F.col("a") == F.col("a_set_id"))
-        .filter(shared)
-        .select("a", "b", "a_n", "b_n")
-    )
-    whole = sets.select("set_id", "tokens")
+    passed = stored(both_sides(pairs, "prefix2", "prefix3").filter(shared).select("a", "b"), "passed")
     common = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return (
-        passed.join(whole.select(F.col("set_id").alias("b"), F.col("tokens").alias("b_tokens")), "b")
-        .join(whole.select(F.col("set_id").alias("a"), F.col("tokens").alias("a_tokens")), "a")
+        both_sides(passed, "n", "tokens")
         .withColumn("common", common)
         .filter(100 * F.col("common") >= percent * (F.col("a_n") + F.col("b_n") - F.col("common")))
         .select("a", "b")
@@ -263,7 +263,8 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     posted = posted.repartition("token", "salt").sortWithinPartitions("token", "salt", "set_id")
     shared = stored(posted.mapInArrow(_shared_only, POSTING_TYPES), "postings").drop("salt")
 
-    posting = F.struct("set_id", "n", "place")
+    posting_columns = ("set_id", "n", "place")
+    posting = F.struct(*posting_columns)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """Whole sets of the paired names, made again from the text of one document each."""
@@ -273,33 +274,36 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if holders.count() <= MOST_BROADCAST:
             holders = F.broadcast(holders)
         texts = chosen.join(holders, chosen["doc_id"].eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
+        # rows that repeat an id and its text make the same set again: one row each
         sets = texts.select("set_id", "text").mapInArrow(_sets(classes, percent), SETS)
-        return stored(sets, "sets").dropDuplicates(["set_id"])
+        sets = stored(sets, "sets")
+        repeats = sets.groupBy("set_id").count().filter("count > 1").limit(1).count() > 0
+        return stored(sets.dropDuplicates(["set_id"]), "sets") if repeats else sets
 
     def star_pairs(postings: DataFrame, place) -> DataFrame:
         """Every member of a list with its first and its last one in the order of ``place``."""
-        member = F.struct(place.alias("order"), *[F.col(c) for c in ("set_id", "n", "place")])
+        member = F.struct(place.alias("order"), *[F.col(c) for c in posting_columns])
         ends = postings.groupBy("token").agg(F.min(member).alias("low"), F.max(member).alias("high"))
         pairs = postings.join(ends, "token").select(posting.alias("x"), F.explode(F.array("low", "high")).alias("y"))
         pairs = pairs.filter(F.col("x.set_id") != F.col("y.set_id")).filter(_possible(F.col("x"), F.col("y"), percent))
         return pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
-    def open_lists(roots: DataFrame) -> DataFrame:
+    def open_lists(postings: DataFrame, roots: DataFrame) -> DataFrame:
         """The postings, with labels, of lists whose members are in several components."""
-        labelled = shared.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "set_id"))
+        labelled = postings.select("token", *posting_columns).join(roots, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "set_id"))
         tokens = labelled.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("token")
-        return labelled.join(tokens, "token").select("token", "label", "set_id", "n", "place")
+        return labelled.join(tokens, "token").select("token", "label", *posting_columns)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return stored(_verified(pairs, sets_of(pairs), percent), "links")
+        return stored(_verified(pairs, sets_of(pairs), percent, stored), "links")
 
     # one star per list around the same few sets, then, where components remain apart, around a few others
     stars = stored(star_pairs(shared, F.col("set_id")), "stars")
     links = links_of(stars)
-    first = stored(open_lists(stored(connected(links, "a", "b"), "roots")), "open")
+    first = stored(open_lists(shared, stored(connected(links, "a", "b"), "roots")), "open")
     others = stored(star_pairs(first, F.xxhash64(F.pmod("token", F.lit(STAR_ORDERS)), "set_id")).join(stars, ["a", "b"], "left_anti"), "stars")
     links, stars = links.unionByName(links_of(others)), stars.unionByName(others)
-    rest = open_lists(stored(connected(links, "a", "b"), "roots"))
+    rest = open_lists(first, stored(connected(links, "a", "b"), "roots"))
     crossing = rest.select("token", F.col("label").alias("l"), posting.alias("x")).join(
         rest.select("token", F.col("label").alias("h"), posting.alias("y")), "token"
     )
