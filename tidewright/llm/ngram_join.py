@@ -245,7 +245,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, stored) -> DataFr
 
 
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, ``text_hash``, n_shingles and component_id (the smallest linked doc_id) of every row."""
+    """doc_id, ``text_hash``, n_shingles, component_id (the smallest linked doc_id) and class_key (null: empty set) of every row."""
     spark = docs.sparkSession
 
     def stored(df: DataFrame, label: str) -> DataFrame:
@@ -317,15 +317,18 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     firsts = classed.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("first"))
     return classed.join(firsts, "label", "left").select(
         "doc_id", F.col("digest").alias("text_hash"), F.col("n").alias("n_shingles"),
-        F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"),
+        F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"), F.col("label").alias("class_key"),
     )
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay when each class keeps one document, the one that names it."""
+    """The rows of ``docs`` that stay when each class keeps one document, the one that names it; repeated rows are one."""
     linked = link_documents(docs, doc_id, text, percent)
-    kept = linked.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("held"))
-    kept = kept.select(F.col("held.doc_id").alias("__id"), F.col("held.text_hash").alias("__digest"))
+    document = F.struct("doc_id", "text_hash")
+    named = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), document)), F.min(document))
+    kept = linked.filter("class_key is not null").groupBy("class_key").agg(named.alias("held")).select("held.doc_id", "held.text_hash")
+    alone = linked.filter("class_key is null").select("doc_id", "text_hash").distinct()
+    kept = kept.unionByName(alone).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__digest"))
     digest = F.xxhash64(F.coalesce(docs[text], F.lit("")))
     rows = docs.withColumn("__hash", digest)
     stay = rows.join(kept, rows[doc_id].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__digest")), "left_semi")

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
@@ -277,8 +277,9 @@ def sample_pieces(
     with open(model_path, "rb") as f:  # read once, by the driver; a vocabulary is of a fixed size
         pieces = Pieces(f.read(), alpha)
     rest = docs.drop("piece_ids", *([verify] if verify else []))
-    extra = [F.array(F.lit(0)).alias("piece_ids"), *([F.lit(True).alias(verify)] if verify else [])]
-    schema = rest.select("*", *extra).schema
+    schema = StructType([*rest.schema.fields, StructField("piece_ids", ArrayType(IntegerType()))])
+    if verify:
+        schema = schema.add(verify, BooleanType())
     key_at, text_at = rest.columns.index(key), rest.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
