@@ -145,3 +145,38 @@ def test_exclusions_flags_and_literals(spark, rows):
     assert rows(override(df, {"k": "k * 2", "w": "k + 1"}))[0] == ("2", "null", "2")
     loaded = df.withColumn("meta_load_dt", F.when(F.col("k") > 1, F.col("k")))
     assert rows(since(loaded, F.lit(2)), "k") == [("3",)]
+
+
+def test_filtered_measures_share_a_null_key(spark):
+    from tidewright.operators.aggregates import Measure, pre_aggregate
+
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (1, 5, "a"), (2, 7, "c")], "k int, v int, t string")
+    measures = [
+        Measure("a", "sum(v)", "t = 'a'"), Measure("b", "max(v)", "t = 'b'"), Measure("c", "sum(v) / count(v)", "t = 'b'"),
+    ]
+    found = {r.k: (r.a, r.b, r.c) for r in pre_aggregate(df, ["k"], measures).collect()}
+    assert found == {None: (1, 2, 2.0), 1: (5, None, None)}
+    simple = pre_aggregate(df, ["k"], measures[:2])
+    assert simple._jdf.queryExecution().executedPlan().toString().count("Scan") <= 1
+
+
+def test_merge_scores_any_number_of_stamps(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.operators.ranking import merge_winners
+
+    rows = [(1, 0, 0, *[i % 2 for i in range(9)]), (1, 1, 0, *[1] * 8, 0), (None, 0, 1, *[None] * 9)]
+    names = [f"t{i}" for i in range(9)]
+    df = spark.createDataFrame(rows, "k int, src int, n int, " + ", ".join(f"{x} int" for x in names))
+    won = merge_winners(df, ["k"], {x: F.col(x) for x in names}, "src", "n", audit=True).collect()
+    assert sorted(((r.k, r.src, r.merge_score) for r in won), key=repr) == [(1, 1, 9), (None, 0, 0)]
+
+
+def test_keys_stay_unique_beyond_a_billion_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.synth.draws import unique_key, unique_number
+
+    rows = spark.range(2000).select(F.explode(F.array("id", F.col("id") + 10**9, F.col("id") + 10**17)).alias("id"))
+    for key in (unique_number(F.col("id"), 77, 9), unique_key(F.col("id"), "K")):
+        assert rows.select(key.alias("k")).distinct().count() == 6000

@@ -123,8 +123,6 @@ def test_single_file_export(spark, tmp_path):
     writers.write_single_file(writers.sorted_by_all(df), target, row_count_footer=True)
     assert (tmp_path / "out.csv").read_text() == 'k|v\n1|"a|b"\n2|\n2\n'
     assert not (tmp_path / "out.csv.parts").exists()
-    with pytest.raises(writers.ExportTooLarge):
-        writers.write_single_file(df, target, most_rows=1)
     assert writers.wants_footer("Disposition_x") and not writers.wants_footer("claims")
 
 

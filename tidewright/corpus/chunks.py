@@ -39,17 +39,14 @@ def chunk_documents(
     text: str,
     words_per_chunk: int = CHUNK_WORDS,
     overlap: int = CHUNK_OVERLAP,
-    max_chunks: int | None = None,
 ) -> DataFrame:
-    """One row per window of the whole text; ``max_chunks`` keeps only the first windows.
+    """One row per window of the whole text.
 
     The rows are produced inside each document's own task: no shuffle.
     """
     step = max(1, words_per_chunk - overlap)
     split = df.filter(stripped(F.col(text)) != "").select(key, words(F.col(text)).alias("_w"))
     starts = F.sequence(F.lit(0), F.size("_w") - 1, F.lit(step))
-    if max_chunks is not None:
-        starts = F.slice(starts, 1, max_chunks)
     # no array is empty here; the outer form keeps Spark from adding a filter on the array's size,
     # which would split the text again for every window
     windows = split.select(

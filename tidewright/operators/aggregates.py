@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -37,19 +38,45 @@ class Measure:
     where: str | None = None
 
 
+SINGLE_CALL = re.compile(r"\s*\w+\s*\([^()]*(\([^()]*\)[^()]*)*\)\s*")
+
+
+def _filtered(m: Measure) -> Column:
+    """The measure over the rows its filter admits; NULL where a group has none."""
+    if m.where is None:
+        return F.expr(m.expression).alias(m.name)
+    admitted = F.expr(f"count_if({m.where})") > 0
+    return F.when(admitted, F.expr(f"{m.expression} FILTER (WHERE {m.where})")).alias(m.name)
+
+
 def pre_aggregate(df: DataFrame, keys: Sequence[str], measures: Sequence[Measure]) -> DataFrame:
-    """One row per key with every measure; measures with equal filters share one aggregation."""
-    by_filter: dict[str | None, list[Measure]] = {}
+    """One row per key (NULL keys are a group) that some filter admits, with every measure.
+
+    Filters belong to their measures, so the source is read and shuffled once. A measure made of
+    several calls cannot carry a filter; such measures are aggregated over their filtered rows and
+    the parts are brought together by a second grouping.
+    """
+    apart: dict[str, list[Measure]] = {}
+    plain = []
     for m in measures:
-        by_filter.setdefault(m.where, []).append(m)
+        if m.where is not None and not SINGLE_CALL.fullmatch(m.expression):
+            apart.setdefault(m.where, []).append(m)
+        else:
+            plain.append(m)
     parts = []
-    for where, group in by_filter.items():
-        rows = df.filter(F.expr(where)) if where else df
-        parts.append(
-            rows.groupBy(*keys).agg(*[F.expr(m.expression).alias(m.name) for m in group])
-        )
-    joined = reduce(lambda a, b: a.join(b, list(keys), "full_outer"), parts)
-    return joined.select(*keys, *[m.name for m in measures])
+    if plain:
+        rows = df
+        if all(m.where is not None for m in plain):
+            rows = df.filter(" OR ".join(f"({w})" for w in dict.fromkeys(m.where for m in plain)))
+        parts.append(rows.groupBy(*keys).agg(*[_filtered(m) for m in plain]))
+    for where, group in apart.items():
+        aggregates = [F.expr(m.expression).alias(m.name) for m in group]
+        parts.append(df.filter(F.expr(where)).groupBy(*keys).agg(*aggregates))
+    names = [m.name for m in measures]
+    if len(parts) == 1:
+        return parts[0].select(*keys, *names)
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return united.groupBy(*keys).agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
 
 
 def distinct_tuples(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ that holds a large share of the rows sends only ``n`` rows per input partition.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,9 +64,6 @@ def latest_row(
     return latest(rows, keys, order_by).select(*keys, *select)
 
 
-MOST_SUBSETS = 6  # timestamps beyond this make too many subsets to aggregate
-
-
 def merge_winners(
     df: DataFrame,
     keys: Sequence[str],
@@ -80,13 +77,10 @@ def merge_winners(
     A row scores one point for each timestamp that equals the key's maximum; the highest score
     wins, then the lowest source, then the lowest row.
 
-    For every set of timestamps one aggregate finds the row that is greatest in all of them, lowest
-    source and row first: if any row reaches every maximum of the set, that row does. The largest
-    set that is reached gives the score. All of this combines before the shuffle, and the winners
-    are joined back on (key, source, row), so a key with many rows is never gathered in one place.
+    One aggregate finds the maxima of a key, a second one the best row by (score, source, row); work
+    grows linearly with the timestamps. Both combine before the shuffle and what is joined back is
+    one row per key, so a key with many rows is never gathered in one place.
     """
-    if len(stamps) > MOST_SUBSETS:
-        raise ValueError(f"at most {MOST_SUBSETS} timestamps can be scored")
     marks = [f"_tw_ts_{i}" for i in range(len(stamps))]
     staged = df.select(
         *[F.col(k) for k in keys],
@@ -94,27 +88,18 @@ def merge_winners(
         F.col(row_index).alias("_tw_row"),
         *[c.alias(m) for c, m in zip(stamps.values(), marks)],
     )
-    first = F.struct((-F.col("_tw_src")).alias("s"), (-F.col("_tw_row")).alias("r"))
-    subsets = [s for n in range(1, len(marks) + 1) for s in combinations(marks, n)]
-    best = staged.groupBy(*keys).agg(
-        F.max(first).alias("_tw_any"),
-        *[F.max(m).alias(f"{m}_top") for m in marks],
-        *[
-            F.max(F.struct(*[F.col(m) for m in subset], first.alias("id"))).alias(f"_tw_best_{i}")
-            for i, subset in enumerate(subsets)
-        ],
-    )
-    entries = [F.struct(F.lit(0).alias("score"), F.col("_tw_any").alias("id"))]
-    for i, subset in enumerate(subsets):
-        reached = F.lit(True)
-        for m in subset:
-            reached = reached & F.coalesce(F.col(f"_tw_best_{i}")[m] == F.col(f"{m}_top"), F.lit(False))
-        entry = F.struct(F.lit(len(subset)).alias("score"), F.col(f"_tw_best_{i}")["id"].alias("id"))
-        entries.append(F.when(reached, entry))
-    won = best.select(*keys, F.array_max(F.array(*entries)).alias("w")).select(
-        *[F.col(k).alias(f"_tw_key_{k}") for k in keys],
-        (-F.col("w.id.s")).alias("_tw_src"),
-        (-F.col("w.id.r")).alias("_tw_row"),
+    named = [F.col(k).alias(f"_tw_key_{k}") for k in keys]
+    if marks:
+        tops = staged.groupBy(*named).agg(*[F.max(m).alias(f"{m}_top") for m in marks])
+        same = [F.col(k).eqNullSafe(F.col(f"_tw_key_{k}")) for k in keys]
+        staged = staged.join(tops, same, "inner").drop(*[f"_tw_key_{k}" for k in keys])
+    points = [F.coalesce((F.col(m) == F.col(f"{m}_top")).cast("int"), F.lit(0)) for m in marks]
+    score = reduce(lambda a, b: a + b, points, F.lit(0))
+    best = F.struct(score.alias("score"), (-F.col("_tw_src")).alias("s"), (-F.col("_tw_row")).alias("r"))
+    won = staged.groupBy(*named).agg(F.max(best).alias("w")).select(
+        *[f"_tw_key_{k}" for k in keys],
+        (-F.col("w.s")).alias("_tw_src"),
+        (-F.col("w.r")).alias("_tw_row"),
         F.col("w.score").alias("merge_score"),
     )
     match = [F.col(k).eqNullSafe(F.col(f"_tw_key_{k}")) for k in keys]

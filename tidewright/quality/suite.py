@@ -448,14 +448,17 @@ def _monotonic(df: DataFrame, check: Check, context: Context) -> DataFrame:
             return (value <= before) if strictly else (value < before)
         return (value >= before) if strictly else (value > before)
 
-    inside = Window.partitionBy("pid").orderBy("o")
+    # ties of the declared order stand in the direction that is checked, so reruns agree
+    tie = F.col("v").asc() if increasing else F.col("v").desc()
+    inside = Window.partitionBy("pid").orderBy("o", tie)
     stepped = rows.withColumn("bad", broken(F.col("v"), F.lag("v").over(inside)))
+    stepped = stepped.withColumn("place", F.row_number().over(inside))
     edges = stepped.groupBy("pid").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("bad").alias("bad"),
         F.min("o").alias("first"),
-        F.min_by("v", "o").alias("head"),
-        F.max_by("v", "o").alias("tail"),
+        F.min_by("v", "place").alias("head"),
+        F.max_by("v", "place").alias("tail"),
     )
     # as many rows as range partitions, whatever the size of the table
     across = Window.orderBy("first")

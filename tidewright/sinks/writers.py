@@ -9,12 +9,6 @@ from pyspark.sql import functions as F
 
 from tidewright.plans.ingest import snapshot_latest
 
-MOST_ROWS_IN_ONE_FILE = 5_000_000
-
-
-class ExportTooLarge(ValueError):
-    """A single-file export is for small results; write the table partitioned instead."""
-
 
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Keyless increments: rows are added, repeated rows accumulate."""
@@ -76,19 +70,17 @@ def write_single_file(
     path: str,
     delimiter: str = "|",
     row_count_footer: bool = False,
-    most_rows: int = MOST_ROWS_IN_ONE_FILE,
 ) -> None:
-    """One delimited file at exactly ``path``, for results small enough for one task.
+    """One delimited file at exactly ``path``, of any size.
 
-    The size is checked first. The file is written beside the target and then renamed.
+    The lines are made in parallel; behind a shuffle one last task sorts (with spilling) and writes
+    them, which a single file needs. It is written beside the target and then renamed. Tables
+    that need no single file are written faster by ``write_lines``.
     """
-    rows = df.limit(most_rows + 1).count()
-    if rows > most_rows:
-        raise ExportTooLarge(f"more than {most_rows} rows; use write_lines")
     spark = df.sparkSession
     staging = f"{path}.parts"
     # merging partitions does not keep their order, so the lines carry their place
-    lines = _ordered_lines(df, delimiter, True, row_count_footer).coalesce(1)
+    lines = _ordered_lines(df, delimiter, True, row_count_footer).repartition(1)
     ordered = lines.sortWithinPartitions("_part", "_seq").select("value")
     ordered.write.mode("overwrite").text(staging)
     jvm = spark.sparkContext._jvm

@@ -63,17 +63,21 @@ def skewed_index(
 
 
 def unique_number(row: Column, salt: int, digits: int) -> Column:
-    """A number of at most ``digits`` digits that differs for every row below ten to that power.
+    """A number that differs for every row; below ten to the power ``digits`` it has that many at most.
 
-    A multiplication by a factor without common divisor with ten permutes the numbers.
+    A multiplication by a factor without common divisor with ten permutes the numbers of the first
+    ten to that power rows; rows beyond keep their own number, which is larger than all of these.
     """
     if not 1 <= digits <= 9:
         raise ValueError("between 1 and 9 digits")
     size = 10**digits
     factor = (salt % (size // 10 + 1)) * 10 + 7
-    return F.pmod(row.cast("bigint") * (factor % size) + salt % size, F.lit(size).cast("bigint"))
+    number = row.cast("bigint")
+    permuted = F.pmod(number * (factor % size) + salt % size, F.lit(size).cast("bigint"))
+    return F.when(number < size, permuted).otherwise(number)
 
 
 def unique_key(row: Column, prefix: str, digits: int = 9) -> Column:
     number = unique_number(row, salt_of("key", prefix), digits)
-    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), digits, "0"))
+    text = number.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(text) > digits, text).otherwise(F.lpad(text, digits, "0")))
