@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.session import scratch_path
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -39,3 +41,26 @@ def join_by_key(
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     return left.join(right, on, how).drop(SALT, "__s", *[f"__k{i}" for i in range(len(keys))])
+
+
+class Scratch:
+    """Intermediate tables of one run in the shared folder; they go as soon as nothing needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[tuple[str, str]] = []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        """The table, written and read again: its lineage ends in the shared folder."""
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        self.paths.append((label, path))
+        return self.spark.read.parquet(path)
+
+    def discard(self, *labels: str) -> None:
+        """Delete the run's tables of these labels; only what later stored tables already contain."""
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for label, path in [x for x in self.paths if x[0] in labels]:
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+            self.paths.remove((label, path))

@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import Scratch
 from tidewright.llm.components import connected
-from tidewright.session import scratch_path
 
 WORDS_PER_SHINGLE = 5
 PERCENT = 75
@@ -248,10 +248,8 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, ``text_hash``, n_shingles, component_id (the smallest linked doc_id) and class_key (null: empty set) of every row."""
     spark = docs.sparkSession
 
-    def stored(df: DataFrame, label: str) -> DataFrame:
-        path = scratch_path(spark, label)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
+    scratch = Scratch(spark)
+    stored = scratch.stored
 
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
                          F.col(text).cast("string").alias("text"))
@@ -295,7 +293,9 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return labelled.join(tokens, "token").select("token", "label", *posting_columns)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return stored(_verified(pairs, sets_of(pairs), percent, stored), "links")
+        links = stored(_verified(pairs, sets_of(pairs), percent, stored), "links")
+        scratch.discard("sets", "holders", "passed")
+        return links
 
     # one star per list around the same few sets, then, where components remain apart, around a few others
     stars = stored(star_pairs(shared, F.col("set_id")), "stars")
@@ -311,6 +311,7 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     crossing = crossing.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
     crossing = stored(crossing.join(stars, ["a", "b"], "left_anti"), "crossing")
     roots = connected(links.unionByName(links_of(crossing)), "a", "b")
+    scratch.discard("postings", "open", "stars", "crossing", "links", "roots")
 
     classed = members.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "set_id"))
     classed = classed.select("doc_id", "digest", "n", "label")
