@@ -32,12 +32,16 @@ def local_session(cores: int | str = 8, app: str = "tidewright", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only a session that names none (a local test run) gets a temporary folder of its own.
+    Only a local session that names none gets a temporary folder of its own; on a cluster, where
+    executors could not read that, it is an error.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named is None:
         named = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if named is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors of {master} reach")
         named = tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set(CHECKPOINT_CONF, named)
     return named.rstrip("/")
