@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.catalog import lineage
+from tidewright.catalog.lineage import edges_of
 from tidewright.catalog.schemas import NotConformable, classify, column_facts, conform, schema_diff
 from tidewright.corpus.chunks import chunk_documents, html_to_text, unit_vector
 from tidewright.functions import canon
@@ -163,3 +164,15 @@ def test_canonical_forms(spark):
     same = canon.row_differences(df.union(df), df.union(df).repartition(3))
     assert same.isEmpty()
     assert canon.row_differences(df.union(df), df).first().surplus == 1
+
+
+def test_profile_of_an_empty_table(spark):
+    found = profile_columns(spark.createDataFrame([], "a int, b string, c array<int>")).collect()
+    assert [(r.row_count, r.non_null, r.completeness) for r in found] == [(0, 0, 0.0)] * 3
+
+
+def test_edges_of_lists_both_kinds(spark, rows):
+    found = edges_of(spark, [("raw", "x", "gold", "y")], [("child", "fk", "parent", "id")])
+    assert rows(found, "src", "dst", "kind") == [
+        ("parent.id", "child.fk", "foreign_key"), ("raw.x", "gold.y", "derivation"),
+    ]

@@ -125,6 +125,20 @@ def test_replay_and_late_rows(spark, rows):
     base = scratch_path(spark, "base")
     compact(spark, table, base, ["k"], ["seq"])
     assert rows(current_state(spark, base, ["k"], ["seq"]), "k", "v") == rows(newest, "k", "v")
+    # a change that lands after the base was written is read beside it
+    land(spark, landing, [("a", 9, "after"), ("d", 1, "d1")])
+    write_changes(spark.read.parquet(landing).filter("seq = 9 or k = 'd'"), 8, table, mark, ["k"], ["seq"])
+    both = current_state(spark, table, ["k"], ["seq"], base=base)
+    assert rows(both, "k", "v") == [("a", "after"), ("b", "b5"), ("c", "c1"), ("d", "d1")]
+
+
+def test_epochs_order_streams_without_a_clock(spark, rows):
+    table = scratch_path(spark, "table")
+    change = "k string, seq int, v string"
+    write_changes(spark.createDataFrame([("a", 1, "of the later stream")], change), 0, table, "two", ["k"], ["seq"], epoch=1)
+    write_changes(spark.createDataFrame([("a", 1, "written last")], change), 5, table, "one", ["k"], ["seq"])
+    last = current_state(spark, table, ["k"], ["seq"], guard="last_batch")
+    assert rows(last, "k", "v") == [("a", "of the later stream")]
 
 
 def test_append_counts_files_once(spark):

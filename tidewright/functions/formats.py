@@ -81,7 +81,16 @@ def width_regex(fmt: str) -> str:
     A text that fails it cannot parse, so it is a cheap guard in front of the parser, whose
     failures cost an exception per row.
     """
-    pattern = java_pattern(fmt)
+    return pattern_widths(java_pattern(fmt))
+
+
+def has_names(pattern: str) -> bool:
+    """Whether a Java pattern reads names of months or days, whose widths vary."""
+    return re.search("E|MMM|LLL|z|Z|V|x|X", re.sub("'[^']*'", "", pattern)) is not None
+
+
+def pattern_widths(pattern: str) -> str:
+    """The widths of a Java pattern without names, as an anchored regular expression."""
     out, i, last = [], 0, ""
     while i < len(pattern):
         c = pattern[i]

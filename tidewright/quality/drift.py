@@ -123,12 +123,15 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def low_cardinality_columns(df: DataFrame, most: int = 100) -> list[str]:
-    """Text columns with few distinct values, from one approximate pass (one row collected)."""
+    """Text columns with few distinct values, counted exactly (one row per column collected)."""
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not text:
         return []
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in text]).first()
-    return [c for c in text if row[c] <= most]
+    values = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for c in text])
+    distinct = df.select(F.inline(values)).filter("value is not null").distinct()
+    wide = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    excluded = {r["name"] for r in wide.collect()}
+    return [c for c in text if c not in excluded]
 
 
 def record_hash(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -174,7 +177,7 @@ def distribution_drift(
 
     A value missing on one side weighs ``EPSILON`` there and each side is then normalised, so the
     sums run over all values of a column with totals that are themselves sums: two passes over the
-    grouped counts, and a join with one row per column.
+    grouped counts, and a join with one row per column, broadcast as the schema bounds it.
     """
     pairs = paired_counts(baseline, current, columns)
     totals = pairs.groupBy("column_name").agg(
@@ -183,7 +186,7 @@ def distribution_drift(
         F.count_if(F.col("b") == 0).alias("b_missing"),
         F.count_if(F.col("c") == 0).alias("c_missing"),
     )
-    joined = pairs.join(totals, "column_name")
+    joined = pairs.join(F.broadcast(totals), "column_name")
 
     def share(n: str) -> Column:
         total, missing = F.col(f"{n}_total"), F.col(f"{n}_missing")

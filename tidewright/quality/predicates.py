@@ -178,9 +178,15 @@ def _length_equals(check, schema):
 @rule("column_values_to_match_strftime_format")
 def _strftime(check, schema):
     pattern = formats.strftime_pattern(param(check, "strftime_format"))
-    return on_values(
-        check, schema, lambda c: F.try_to_timestamp(c.cast("string"), F.lit(pattern)).isNull()
-    )
+    widths = None if formats.has_names(pattern) else formats.pattern_widths(pattern)
+
+    def bad(c):
+        text = c.cast("string")
+        failed = F.try_to_timestamp(text, F.lit(pattern)).isNull()
+        # a failed parse costs an exception, so the widths are tested first
+        return failed if widths is None else F.when(text.rlike(widths), failed).otherwise(True)
+
+    return on_values(check, schema, bad)
 
 
 @rule("column_values_to_cast_to_type")

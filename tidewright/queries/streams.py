@@ -79,9 +79,10 @@ def stream_apply_changes(t):
     path = scratch_path(t.spark, "changes")
     keys, order = ["user_id"], ["ts", "event_id"]
     first, again = _landed(t), _landed(t, part=1)
-    for source in (first, again):
+    for epoch, source in enumerate((first, again)):
         mark = scratch_path(t.spark, "mark")
-        apply_changes(_stream(t, source, files=1), path, mark, keys, order).awaitTermination()
+        rows = _stream(t, source, files=1)
+        apply_changes(rows, path, mark, keys, order, epoch=epoch).awaitTermination()
     state = current_state(t.spark, path, keys, order)
     return state.select("user_id", "event_id", "event_type", "ts")
 
@@ -110,12 +111,17 @@ def stream_last_batch(t):
 
 @query("stream_compacted", "STR-03 STR-06", NEWEST_SQL)
 def stream_compacted(t):
+    """Two deliveries are folded into a base; the third arrives after that."""
     path, mark = scratch_path(t.spark, "changes"), scratch_path(t.spark, "mark")
     target, view = scratch_path(t.spark, "base"), scratch_path(t.spark, "view")
     keys, order = ["user_id"], ["ts", "event_id"]
-    apply_changes(_stream(t, _landed(t), files=1), path, mark, keys, order).awaitTermination()
+    first, later = [_stream(t, _landed(t, part=part), files=1) for part in (0, 2)], _landed(t, part=1)
+    for rows, epoch in zip(first, (0, 1), strict=True):
+        apply_changes(rows, path, f"{mark}/{epoch}", keys, order, epoch=epoch).awaitTermination()
     compact(t.spark, path, target, keys, order)
-    refresh_view(lambda: current_state(t.spark, target, keys, order), view)
+    rows = _stream(t, later, files=1)
+    apply_changes(rows, path, f"{mark}/2", keys, order, epoch=2).awaitTermination()
+    refresh_view(lambda: current_state(t.spark, path, keys, order, base=target), view)
     return t.spark.read.parquet(view).select("user_id", "event_id", "event_type", "ts")
 
 

@@ -4,7 +4,10 @@ Every micro-batch is reduced to one row per key and written to a folder of its o
 stream and the batch number; a batch that is replayed after a failure overwrites its own folder.
 The table's state is the newest change per key, resolved when it is read, so a batch costs what
 it holds and never rewrites the table. ``compact`` folds the changes into a single base from time
-to time.
+to time; changes that arrive later are read beside it.
+
+Batches are ordered by the epoch of their stream, then by batch number, never by a clock. Streams
+that run side by side share an epoch; one that takes the place of another is given a higher one.
 """
 
 from __future__ import annotations
@@ -21,6 +24,9 @@ from tidewright.quality.actions import DROP, FAIL, tag_violations
 from tidewright.specs import Check
 
 GUARDS = ("newest", "last_batch")
+#: a base is older than every stream
+BASE_EPOCH = -1
+MARKS = ("_epoch", "_writer", "_batch")
 
 
 class StreamHalted(RuntimeError):
@@ -29,20 +35,22 @@ class StreamHalted(RuntimeError):
 
 def writer_name(checkpoint: str) -> str:
     """A stream is known by its checkpoint: batch numbers only mean something within it."""
-    return hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    return "w" + hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
 
-def _folder(path: str, checkpoint: str, batch_id: int) -> str:
-    return f"{path}/_writer={writer_name(checkpoint)}/_batch={batch_id}"
+def _folder(path: str, checkpoint: str, batch_id: int, epoch: int = 0) -> str:
+    return f"{path}/_epoch={epoch}/_writer={writer_name(checkpoint)}/_batch={batch_id}"
 
 
 def write_changes(
     batch: DataFrame, batch_id: int, path: str, checkpoint: str, keys: Sequence[str],
-    sequence_by: Sequence[str],
+    sequence_by: Sequence[str], epoch: int = 0,
 ) -> None:
     """One row per key of the batch, to the batch's own folder."""
-    rows = latest(batch, keys, sequence_by).withColumn("_applied", F.current_timestamp())
-    rows.write.mode("overwrite").parquet(_folder(path, checkpoint, batch_id))
+    if epoch <= BASE_EPOCH:
+        raise ValueError("an epoch starts at 0")
+    rows = latest(batch, keys, sequence_by)
+    rows.write.mode("overwrite").parquet(_folder(path, checkpoint, batch_id, epoch))
 
 
 def apply_changes(
@@ -52,12 +60,13 @@ def apply_changes(
     keys: Sequence[str],
     sequence_by: Sequence[str],
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    epoch: int = 0,
 ) -> StreamingQuery:
     """Run the available input through ``write_changes``; ``prepare`` may cast and check a batch."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         rows = prepare(batch) if prepare else batch
-        write_changes(rows, batch_id, path, checkpoint, keys, sequence_by)
+        write_changes(rows, batch_id, path, checkpoint, keys, sequence_by, epoch)
 
     return (
         stream.writeStream.foreachBatch(on_batch)
@@ -73,15 +82,35 @@ def current_state(
     keys: Sequence[str],
     sequence_by: Sequence[str],
     guard: str = "newest",
+    base: str | None = None,
+) -> DataFrame:
+    """The table: per key the newest change by sequence, or the change of the last batch.
+
+    With ``base``, what ``compact`` wrote there stands for the batches it has folded.
+    """
+    changes = spark.read.parquet(path)
+    if base is not None:
+        changes = _after(changes, base).unionByName(spark.read.parquet(base))
+    return _resolved(changes, keys, sequence_by, guard)
+
+
+def _resolved(
+    changes: DataFrame, keys: Sequence[str], sequence_by: Sequence[str], guard: str
 ) -> DataFrame:
-    """The table: per key the newest change by sequence, or the change of the last batch."""
     if guard not in GUARDS:
         raise ValueError(f"unknown guard {guard!r}")
-    changes = spark.read.parquet(path)
-    arrival = ["_applied", "_batch"]
+    arrival = ["_epoch", "_batch"]
     order = [*sequence_by, *arrival] if guard == "newest" else [*arrival, *sequence_by]
-    state = latest(changes, keys, order)
-    return state.drop("_applied", "_batch", "_writer")
+    return latest(changes, keys, order).drop(*MARKS)
+
+
+def _after(changes: DataFrame, base: str) -> DataFrame:
+    """The batches that the base has not folded; its positions are one row per stream."""
+    folded = changes.sparkSession.read.parquet(f"{base}/_positions")
+    later = changes.join(F.broadcast(folded), ["_epoch", "_writer"], "left").filter(
+        F.col("_folded").isNull() | (F.col("_batch") > F.col("_folded"))
+    )
+    return later.select(*changes.columns)
 
 
 def compact(
@@ -92,11 +121,16 @@ def compact(
     sequence_by: Sequence[str],
     guard: str = "newest",
 ) -> None:
-    """Write the current state as the single base of a new change folder."""
-    state = current_state(spark, path, keys, sequence_by, guard)
-    state.withColumn("_applied", F.current_timestamp()).write.mode("errorifexists").parquet(
-        f"{target}/_writer=base/_batch=0"
-    )
+    """Write the current state as the base of a new folder, with the last batch it has of each stream.
+
+    State and positions come from one listing of the files, so a batch that lands meanwhile is in
+    neither and ``current_state(..., base=target)`` reads it beside the base.
+    """
+    changes = spark.read.parquet(path)
+    state = _resolved(changes, keys, sequence_by, guard)
+    state.write.mode("errorifexists").parquet(f"{target}/_epoch={BASE_EPOCH}/_writer=base/_batch=0")
+    last = changes.groupBy("_epoch", "_writer").agg(F.max("_batch").alias("_folded"))
+    last.write.mode("errorifexists").parquet(f"{target}/_positions")
 
 
 def quarantine_stream(
@@ -108,15 +142,18 @@ def quarantine_stream(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        tagged = tag_violations(batch, checks)
-        fatal = tagged.filter(F.col("_action") == FAIL)
-        if not fatal.isEmpty():
-            raise StreamHalted(f"batch {batch_id} holds rows that break a blocking rule")
-        outcome = F.when(F.col("_action") == DROP, "quarantined").otherwise("clean")
-        rows = tagged.withColumn("_outcome", outcome).drop("_action")
-        rows.write.mode("overwrite").partitionBy("_outcome").parquet(
-            _folder(path, checkpoint, batch_id)
-        )
+        tagged = tag_violations(batch, checks).persist()
+        try:
+            fatal = tagged.filter(F.col("_action") == FAIL)
+            if fatal.count():  # reads, and so keeps, the whole batch: it is computed once
+                raise StreamHalted(f"batch {batch_id} holds rows that break a blocking rule")
+            outcome = F.when(F.col("_action") == DROP, "quarantined").otherwise("clean")
+            rows = tagged.withColumn("_outcome", outcome).drop("_action")
+            rows.write.mode("overwrite").partitionBy("_outcome").parquet(
+                _folder(path, checkpoint, batch_id)
+            )
+        finally:
+            tagged.unpersist()
 
     return (
         stream.writeStream.foreachBatch(on_batch)
