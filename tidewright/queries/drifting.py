@@ -95,14 +95,17 @@ def drift_changed_values(t):
     "value_set_difference",
     "SET-03",
     f"""with {HALVES_SQL}
-       select cast(user_id as bigint) as value, 'new' as change from n where value > 200
-         and user_id not in (select user_id from o where value > 200) group by 1
-       union all select cast(user_id as bigint), 'removed' from o where value > 200
-         and user_id not in (select user_id from n where value > 200) group by 1""",
+       , m as (select case when user_id % 10 = 0 then user_id + 1000000 else user_id end as user_id from n)
+       select cast(user_id as bigint) as value, 'new' as change from m
+         where user_id not in (select user_id from o) group by 1
+       union all select cast(user_id as bigint), 'removed' from o
+         where user_id not in (select user_id from m) group by 1""",
 )
 def value_set_difference(t):
+    """Both halves whole; every tenth user has another number in the second one."""
     old, new = halves(t)
-    return value_difference(old.filter("value > 200"), new.filter("value > 200"), "user_id")
+    moved = F.when(F.col("user_id") % 10 == 0, F.col("user_id") + 1000000).otherwise(F.col("user_id"))
+    return value_difference(old, new.withColumn("user_id", moved), "user_id")
 
 
 CHANGED_SQL = """old as (select o_orderkey, o_orderstatus, o_totalprice from orders
