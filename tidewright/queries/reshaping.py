@@ -26,15 +26,17 @@ def pivot_numbered(t):
     "pivot_join",
     "JN-08",
     f"""with p as (select o_custkey, {_SLOTS} from (select *, row_number() over (
-          partition by o_custkey order by o_orderpriority) rn from orders where o_custkey % 3 = 0)
+          partition by o_custkey order by o_orderpriority) rn from (
+            select * replace (o_custkey - o_custkey % 3 as o_custkey) from orders))
           where rn <= 4 group by o_custkey)
         select c_custkey, c_name, priority_1, priority_2, priority_3, priority_4
         from customer left join p on c_custkey = o_custkey""",
 )
 def pivot_join_query(t):
-    some = t.orders.filter("o_custkey % 3 = 0")
+    """Every order, given to a customer whose number three divides, so that the others have none."""
+    owned = t.orders.withColumn("o_custkey", F.col("o_custkey") - F.col("o_custkey") % 3)
     base = t.customer.select("c_custkey", "c_name")
-    return pivot_join(base, some, {"c_custkey": "o_custkey"}, "o_orderpriority", 4, "priority")
+    return pivot_join(base, owned, {"c_custkey": "o_custkey"}, "o_orderpriority", 4, "priority")
 
 
 _UNPIVOT_SQL = " union all ".join(
@@ -101,12 +103,15 @@ def unpivot_latest_wide(t):
 @query(
     "universe_union",
     "SET-01 FLT-07",
-    """select c_custkey as custkey from customer where c_custkey % 3 = 0
-       union select o_custkey from orders where o_orderkey % 2 = 0 and o_custkey % 5 <> 0""",
+    """select case when c_custkey % 3 = 0 then c_custkey + 10000000 else c_custkey end as custkey
+         from customer where c_custkey is not null
+       union select o_custkey from orders where o_custkey % 5 <> 0""",
 )
 def universe_union(t):
-    left = t.customer.filter("c_custkey % 3 = 0")
-    right = t.orders.filter("o_orderkey % 2 = 0").withColumn(
+    """Every customer, some under a number that no order names; every order, some without one."""
+    key = F.col("c_custkey")
+    left = t.customer.withColumn("c_custkey", F.when(key % 3 == 0, key + 10000000).otherwise(key))
+    right = t.orders.withColumn(
         "o_custkey", F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey"))
     )
     return key_universe([(left, "c_custkey"), (right, "o_custkey")], "custkey")
