@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import line_dedup, ngram_join, piece_sampling, quality_rules, source_mixing
-from tidewright.llm.common import word_count
 from tidewright.session import scratch_path
 
 
@@ -32,14 +31,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: once if it takes any of their words, twice if more than all."""
-    mixed = source_mixing.mix_sources(docs).filter("taken > 0")
-    mixed = mixed.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
-    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    mixed = mixed.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), times.alias("__times"))
+    """Whole documents, as often as the mix takes them, so that each source comes to its target in words."""
+    digest = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    keyed = docs.withColumn("__key", F.struct("doc_id", digest.alias("digest")))
+    mixed = source_mixing.take_documents(keyed, doc_id="__key").filter("times > 0")
+    mixed = mixed.groupBy("doc_id", "source").agg(F.max("times").alias("__times"))
+    mixed = mixed.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.digest").alias("__digest"), F.col("source").alias("__source"), "__times")
     same = (
         docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source"))
-        & (word_count(docs["text"]) == F.col("__size"))
+        & (digest == F.col("__digest"))
     )
     taken = docs.join(mixed, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return taken.select(*docs.columns)

@@ -2,9 +2,11 @@
 
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from tidewright.llm import line_dedup, ngram_join, quality_rules, source_mixing
-from tests.llm.test_operators import plain_classes
+from tests.llm.test_operators import plain_classes, plain_targets
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +40,26 @@ def test_stages_stand_empty_tables_and_nulls(spark):
 def test_near_duplicates_keep_the_named_document(spark):
     docs = spark.createDataFrame([(5, "a b c d e f g"), (3, "A B c d e f g"), (9, "x y")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in ngram_join.keep_one_of_each(docs).collect()) == [3, 9]
+
+
+@pytest.mark.parametrize("weights", [None, (1, 3, 9)])
+def test_mixture_brings_each_source_to_its_target(spark, monkeypatch, weights):
+    if weights:
+        plain = source_mixing.take_documents
+        monkeypatch.setattr(source_mixing, "take_documents", lambda *a, **k: plain(*a, **k, weights=weights))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before, longest, after = Counter(), Counter(), Counter()
+    texts = {}
+    for r in docs.collect():
+        size = len((r["text"] or "").split())
+        before[r["source"]] += size
+        longest[r["source"]] = max(longest[r["source"]], size)
+        texts[r["doc_id"]] = r["text"]
+    rows = corpus_pipeline.mixture(spark, docs, SF).collect()
+    for r in rows:
+        after[r["source"]] += len(r["text"].split())
+    assert all(r["text"] == texts[r["doc_id"]] for r in rows)
+    targets = plain_targets(before, weights or (5, 2, 1))
+    assert {round(t / before[s], 1) for s, t in targets.items()} - {0.0, 1.0, 2.0}
+    for s, target in targets.items():
+        assert abs(after[s] - target) <= longest[s] / 2 + 2 * source_mixing.BLOCK_WORDS, s

@@ -10,6 +10,10 @@
    Quota div blocks whole passes are taken, and of the rest a seeded, evenly spaced choice of exactly
    (quota mod blocks) blocks; a document takes the words of its part of the line.
 
+``take_documents`` fills the same quotas with whole documents: quota div shard size whole passes, then documents from
+the start of the line as long as their middle lies within the words still due. A shard misses its quota by at most half
+of the document on the edge; a shard whose first document is more than twice the words due takes none.
+
 Defined results: a null text has size 0; sources of size 0 have target 0; an empty table gives an empty
 table; repeated rows are rows of their own; ties of the seeded order end with id and size. The same rows
 give the same result in any partitioning. Columns of the input other than the three read do not pass.
@@ -103,11 +107,10 @@ def words_before(at: Column, block_words: int) -> Column:
     return F.col("__passes") * at + chosen(block) * block_words + part
 
 
-def mix_sources(
-    docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS,
-    share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = SEED,
+def placed_documents(
+    docs: DataFrame, doc_id: str, source: str, text: str, weights, share: float, most: int, block_words: int, shard_rows: int, seed: str,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: what the mix takes of each document, in words."""
+    """Every document with its place on the line of its shard, the shard's words, blocks and quota of blocks."""
     sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     targets = source_targets(sizes, weights, share, most)
     blocks = F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long")
@@ -121,11 +124,19 @@ def mix_sources(
     held = dealt.groupBy("place", "quota", "shard").agg(F.sum("size").alias("shard_size"))
     held = highest_quotients(held, ["place"], ["shard"], "shard_size", "quota", "shard_quota")
     n = F.greatest(F.ceil(F.col("shard_size") / block_words), F.lit(1)).cast("long")
-    held = held.select(F.col("place").alias("__p"), F.col("shard").alias("__sh"), n.alias("__blocks"),
+    held = held.select(F.col("place").alias("__p"), F.col("shard").alias("__sh"), F.col("shard_size").alias("__words"), n.alias("__blocks"),
                        F.least(F.col("shard_quota"), most * n).alias("__quota"))
     line = Window.partitionBy("place", "shard").orderBy("digest", "doc_id", "size")
     placed = dealt.withColumn("__end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.join(held, (F.col("place") == F.col("__p")) & (F.col("shard") == F.col("__sh")))
+    return placed.join(held, (F.col("place") == F.col("__p")) & (F.col("shard") == F.col("__sh")))
+
+
+def mix_sources(
+    docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS,
+    share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = SEED,
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: what the mix takes of each document, in words."""
+    placed = placed_documents(docs, doc_id, source, text, weights, share, most, block_words, shard_rows, seed)
     placed = (
         placed.withColumn("__passes", F.floor(F.col("__quota") / F.col("__blocks")).cast("long"))
         .withColumn("__rest", F.col("__quota") - F.col("__passes") * F.col("__blocks"))
@@ -135,6 +146,20 @@ def mix_sources(
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def take_documents(
+    docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS,
+    share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, seed: str = SEED,
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, times: how often the mix takes each document as a whole."""
+    placed = placed_documents(docs, doc_id, source, text, weights, share, most, block_words, shard_rows, seed)
+    placed = placed.withColumn("__due", F.least(F.col("__quota") * block_words, most * F.col("__words")))
+    passes = F.floor(F.col("__due") / F.col("__words")).cast("long")
+    rest = F.col("__due") - passes * F.col("__words")
+    times = passes + (2 * F.col("__end") - F.col("size") <= 2 * rest).cast("long")
+    times = F.when(F.col("size") > 0, times).otherwise(F.lit(0))
+    return placed.select("doc_id", "source", "size", "source_size", "target", times.cast("int").alias("times"))
+
+
 def _quotient_sql(rows: str, group: str, order: str, votes: str, seats: str, out: str) -> str:
     """DuckDB twin of highest_quotients over the relation ``rows`` whose key is (group, order)."""
     part = f"partition by {group}" if group else ""
