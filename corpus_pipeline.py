@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; ``n_chars`` follows the text."""
-    kept = line_dedup.drop_boilerplate_lines(docs)
+    """Boilerplate lines of a source go, counted over its distinct texts; ``n_chars`` follows the text."""
+    kept = line_dedup.drop_boilerplate_lines(docs, distinct_texts=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

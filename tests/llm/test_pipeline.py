@@ -63,3 +63,17 @@ def test_mixture_brings_each_source_to_its_target(spark, monkeypatch, weights):
     assert {round(t / before[s], 1) for s, t in targets.items()} - {0.0, 1.0, 2.0}
     for s, target in targets.items():
         assert abs(after[s] - target) <= longest[s] / 2 + 2 * source_mixing.BLOCK_WORDS, s
+
+
+def test_one_exact_copy_comes_through_with_its_text(spark):
+    """Copies that are a third of a source's rows; a line on every page still goes."""
+    words = "river stone window lamp garden paper cloud bridge market coat".split()
+    own = lambda i: " ".join(f"{w}{i * 31 + k}" for k, w in enumerate(words * 2))
+    copied = f"{own(1000)}\n{own(1001)}"
+    rows = [(i, copied, "en", "s", len(copied)) for i in range(20)]
+    rows += [(100 + i, f"the same line on all the other pages\n{own(i)}", "en", "s", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, SF).localCheckpoint()
+    found = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert found == {0: copied, **{100 + i: own(i) for i in range(40)}}

@@ -2,7 +2,9 @@
 
 A line is a ``\\n``-separated piece, compared without the blanks around it. ``pages`` of a line are the
 rows of its host that hold it at least once. A line goes, everywhere on its host, if its pages exceed
-``ratio`` of the host's pages and are ``min_pages`` or more (tiny hosts have no boilerplate).
+``ratio`` of the host's pages and are ``min_pages`` or more (tiny hosts have no boilerplate). With
+``distinct_texts`` pages are the distinct whole texts of the host instead of its rows, so a group of exact
+copies, which is deduplication's work, does not condemn its own lines.
 
 Defined results: a null text stays null and has 0 lines, but its row counts as a page; a null host is
 a host of its own; blank lines are never boilerplate and stay where they are; repeated rows count as
@@ -35,12 +37,15 @@ def fingerprint(line: Column) -> Column:
     return F.struct(F.xxhash64(bare(line)).alias("a"), F.xxhash64(F.lit(7), bare(line)).alias("b"))
 
 
-def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int, distinct_texts: bool = False) -> DataFrame:
     """One row per host that has boilerplate: ``__host``, ``__flagged`` (fingerprints)."""
     distinct = F.array_distinct(
         F.transform(F.filter(F.split(text, "\n"), lambda x: bare(x) != ""), fingerprint)
     )
-    pages = docs.select(F.col(host).alias("__host"), distinct.alias("__lines"))
+    pages = docs.select(F.col(host).alias("__host"), distinct.alias("__lines"), F.col(text).alias("__text"))
+    if distinct_texts:
+        whole = F.struct(F.col("__text").isNull(), F.xxhash64("__text"), F.xxhash64(F.lit(7), "__text"))
+        pages = pages.groupBy("__host", whole.alias("__digest")).agg(F.first("__lines").alias("__lines"))
     totals = pages.groupBy("__host").agg(F.count(F.lit(1)).alias("__total"))
     lines = (
         pages.select("__host", F.explode("__lines").alias("__line"))
@@ -57,10 +62,11 @@ def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages:
 
 
 def drop_boilerplate_lines(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    distinct_texts: bool = False,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``."""
-    flagged = boilerplate(docs, host, text, ratio, min_pages)
+    flagged = boilerplate(docs, host, text, ratio, min_pages, distinct_texts)
     spread = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
     joined = join_by_key(docs, flagged.withColumnRenamed("__host", host), [host], spread, "left")
     lines = F.split(text, "\n")
