@@ -309,6 +309,22 @@ def test_neighbours_reach_the_recall(spark):
     assert abs(projection_ann.chi_square_quantile(0.95, 8) - 15.507313) < 1e-5
 
 
+def test_ties_of_equal_vectors_go_to_the_smaller_ids(spark):
+    rng = np.random.default_rng(5)
+    data = rng.standard_normal((3000, 16))
+    copies = rng.permutation(3000)[:2000]
+    data[copies] = data[copies[0]]
+    smallest = sorted(copies.tolist())
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    for parts in (3, 5):
+        found = defaultdict(list)
+        for r in projection_ann.nearest(table.repartition(parts)).collect():
+            found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        for q in {*range(0, 3000, 100)} & set(smallest):
+            expected = [i for i in smallest if i != q][:10]
+            assert sorted(found[q]) == [(n + 1, i, 0.0) for n, i in enumerate(expected)]
+
+
 # --- mixing
 
 

@@ -66,6 +66,15 @@ def projection(width: int, dims: int = DIMS, seed: int = SEED) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([seed, width])).standard_normal((width, dims))
 
 
+def projected(data: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The projected rows of ``data``. Each is summed by itself in a fixed order, so equal vectors get equal points in any batch."""
+    columns = np.ascontiguousarray(data.T, np.float64)
+    points = np.zeros((matrix.shape[1], len(data)))
+    for values, weights in zip(columns, matrix, strict=True):
+        points += weights[:, None] * values
+    return np.ascontiguousarray(points.T)
+
+
 def split_tree(points: np.ndarray, cells: int) -> list[tuple]:
     """kd-tree over a sample: nodes (axis, value, left, right); a leaf is (-1, cell, 0, 0)."""
     nodes: list[tuple] = []
@@ -139,7 +148,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, bucket: int = BUCKET):
         order: list[np.ndarray] = []
-        stack = [np.arange(len(ids))]
+        stack = [np.lexsort((*points.T, ids))]  # whatever the order of the rows after a shuffle
         while stack:
             rows = stack.pop()
             if len(rows) <= bucket:
@@ -203,14 +212,14 @@ def nearest(
     matrix = projection(width, dims, seed)
     # a bounded sample in the order of a hash, so that reruns agree
     sample = vectors.select("vector").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id", "vector").limit(sample_rows)
-    sampled = np.array([r[0] for r in sample.collect()], np.float64).reshape(-1, width) @ matrix
-    nodes = split_tree(sampled, min(MOST_CELLS, max(1, math.ceil(total / block_rows))))
+    sampled = np.array([r[0] for r in sample.collect()], np.float64).reshape(-1, width)
+    nodes = split_tree(projected(sampled, matrix), min(MOST_CELLS, max(1, math.ceil(total / block_rows))))
     stop = chi_square_quantile(confidence, dims)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells_of(nodes, data @ matrix), pa.int32())], names=["vec_id", "vector", "cell"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells_of(nodes, projected(data, matrix)), pa.int32())], names=["vec_id", "vector", "cell"])
 
     placed = vectors.mapInArrow(locate, "vec_id long, vector array<double>, cell int")
     # cells over the block size are split by a hash of the id: one row per cell, at most MOST_CELLS
@@ -229,9 +238,10 @@ def nearest(
         out = []
         if len(asked) and len(held):
             data = np.stack(held["vector"].to_numpy())
-            block = Block(held["vec_id"].to_numpy(), data, data @ matrix)
-            for query_id, vector, bound in zip(asked["vec_id"], asked["vector"], asked["bound"], strict=True):
-                scores, ids = block.search(query_id, vector, vector @ matrix, k, bound, stop)
+            block = Block(held["vec_id"].to_numpy(), data, projected(data, matrix))
+            points = projected(np.stack(asked["vector"].to_numpy()), matrix)
+            for query_id, vector, point, bound in zip(asked["vec_id"], asked["vector"], points, asked["bound"], strict=True):
+                scores, ids = block.search(query_id, vector, point, k, bound, stop)
                 out.append(pd.DataFrame({"query_id": np.full(len(ids), query_id, np.int64), "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
@@ -252,7 +262,7 @@ def nearest(
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row per block that the query's stopping radius reaches, its own cell left out."""
         for b in batches:
-            points = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, width) @ matrix
+            points = projected(np.asarray(b.column(1).flatten(), np.float64).reshape(-1, width), matrix)
             rows_out, to = [], []
             for i, (cell, far) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
                 for c in reach(nodes, points[i], far * math.sqrt(stop) if far < math.inf else math.inf):
