@@ -170,6 +170,12 @@ def test_languages_are_told_apart(spark, hard, nothing):
     assert (only["lang_pred"], only["score"], only["confident"]) == ("en", 0.0, False)
 
 
+def test_copies_do_not_fill_the_sample(spark):
+    rows = [("en", t) for k in range(20) for t in [f"text {chr(97 + k) * 5} of its own"] * 5]
+    learned = language_id.learn_dictionaries(spark.createDataFrame(rows, "lang string, text string"), sample_rows=10)
+    assert learned["en"].count(b"of its own") == 10
+
+
 # --- repeated passages
 
 

@@ -1,7 +1,7 @@
 """Language identification by compression.
 
 Each language has a raw-content zstandard dictionary made of a bounded sample of its labelled texts
-(``sample_rows`` rows of at most ``sample_chars`` characters each, in the order of a hash of the text, joined
+(``sample_rows`` different texts of at most ``sample_chars`` characters each, in the order of a hash of the text, joined
 up to ``dictionary_bytes``). Whole texts, in lower case and with all but letters turned into single spaces, are
 encoded with every dictionary in chunks of ``chunk_bytes``; a text under ``SHORT_BYTES`` is repeated up to that length
 first, or the encoder would store it as it is. The language with the smallest total wins, ties going to the first in code-point order. The score is the relative margin
@@ -12,7 +12,7 @@ text at all every row gets ``und``; with one language its score is 0; a null id
 learned from; repeated rows get the same answer; an empty table gives an empty table.
 
 The fit brings at most sample_rows * sample_chars characters per language to the driver, whatever the size of
-the corpus (row limits per language run below the shuffle). Prediction is one pass without a shuffle; the
+the corpus; only hashes of the texts are shuffled to choose them. Prediction is one pass without a shuffle; the
 dictionaries are the only state.
 """
 
@@ -45,9 +45,12 @@ def learn_dictionaries(
     rows = labelled.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang).alias("lang"), F.substring(text, 1, sample_chars).alias("text"), F.xxhash64(text).alias("place")
     )
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = rows.select("lang", "place").distinct().withColumn("nth", nth).filter(F.col("nth") <= sample_rows)
+    # as few rows as the sample that is collected; whole copies are one text
+    texts = rows.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
     sample: dict[str, dict[str, None]] = {}
-    for r in rows.withColumn("nth", nth).filter(F.col("nth") <= sample_rows).orderBy("lang", "nth").collect():
+    for r in texts.orderBy("lang", "nth").collect():
         sample.setdefault(r["lang"], {})[letters(r["text"])] = None
     # what stands last is nearest to the text and cheapest to refer to; all that fits is used
     return {k: " ".join(v).encode()[:dictionary_bytes] for k, v in sorted(sample.items())}
