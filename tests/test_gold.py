@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators import survivorship as sv
@@ -8,6 +9,7 @@ from tidewright.operators.project import map_values, null_literals, override
 from tidewright.operators.reshape import pivot_ranked, unpivot_columns, unpivot_latest
 from tidewright.operators.sets import key_universe
 from tidewright.plans.derive import Joined, Newest, Summarised, derive
+from tidewright.queries import joining, load_all
 from tidewright.specs import ColumnSpec, TableDef
 
 
@@ -180,3 +182,21 @@ def test_keys_stay_unique_beyond_a_billion_rows(spark):
     rows = spark.range(2000).select(F.explode(F.array("id", F.col("id") + 10**9, F.col("id") + 10**17)).alias("id"))
     for key in (unique_number(F.col("id"), 77, 9), unique_key(F.col("id"), "K")):
         assert rows.select(key.alias("k")).distinct().count() == 6000
+
+
+@pytest.mark.parametrize(
+    "name, operator, table",
+    [("join_left_enrich", "enrich", "customer"), ("fk_orphans", "orphans", "orders"),
+     ("fk_coverage", "fk_coverage", "supplier"), ("preagg_gold", "key_universe", "customer")],
+)
+def test_gaps_come_from_changed_keys_over_whole_tables(spark, monkeypatch, name, operator, table):
+    plain, seen = getattr(joining, operator), []
+
+    def watched(first, *rest, **named):
+        seen.append(first[0][0] if operator == "key_universe" else rest[0])
+        return plain(first, *rest, **named)
+
+    monkeypatch.setattr(joining, operator, watched)
+    sf = "/root/testdata/sf0.001"
+    load_all()[name].run(spark, sf)
+    assert seen[0].count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
