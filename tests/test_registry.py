@@ -2,6 +2,7 @@
 
 import pathlib
 import re
+import sys
 
 import duckdb
 import pytest
@@ -56,6 +57,19 @@ def test_names_and_entry(spark):
     assert contract.entry(spark).limit(1).count() == 1
 
 
+@pytest.mark.parametrize("hidden", ["tidewright.llm", "tidewright.llm.queries", "corpus_pipeline"])
+def test_the_library_stands_without_the_corpus_operators(monkeypatch, hidden):
+    """A module that cannot be imported (deleted, or without a library it needs) takes only its own queries along."""
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("tidewright.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, hidden, None)
+    found = contract.queries()
+    assert set(load_all()) <= set(found) and "pipeline" not in found
+    assert set(contract.oracle_sql()) <= set(found)
+    if hidden != "corpus_pipeline":
+        assert set(found) == set(load_all())
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
