@@ -1,16 +1,43 @@
 """The pipeline against a plain rendering of its stages on a small corpus."""
 
-from collections import Counter
+import hashlib
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewright.llm import line_dedup, ngram_join, quality_rules, source_mixing
+from tidewright.session import cut_lineage
 from tests.llm.test_operators import plain_classes, plain_targets
 
 SF = "/root/testdata/sf0.001"
 
 
+def plain_times(rows):
+    """Copies of each document in the mix, for sources of one shard: quotas of blocks by highest quotients; then, on
+    the seeded line of a source, whole passes, and once more the documents whose middle lies in the words still due."""
+    block = source_mixing.BLOCK_WORDS
+    lines = defaultdict(list)
+    for doc, source, text, digest in rows:
+        name = hashlib.md5(f"{source_mixing.SEED}:{{{doc}, {digest}}}".encode()).hexdigest()
+        lines[source].append((name, doc, len((text or "").split())))
+    words = {s: sum(n for _, _, n in line) for s, line in lines.items()}
+    targets = plain_targets(words)
+    quota = Counter()
+    for _ in range(round(sum(targets.values()) / block)):
+        quota[max(sorted(targets), key=lambda s: targets[s] / (2 * quota[s] + 1))] += 1
+    times = Counter()
+    for source, line in lines.items():
+        due = min(quota[source] * block, 2 * words[source])
+        passes, rest = divmod(due, words[source])
+        start = 0
+        for _, doc, n in sorted(line):
+            times[doc] += (passes + (start + n / 2 <= rest)) if n else 0
+            start += n
+    return +times
+
+
 def test_stages_take_effect_and_pieces_decode(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = corpus_pipeline.run(spark, SF)
@@ -19,13 +46,12 @@ def test_stages_take_effect_and_pieces_decode(spark):
     assert rows and all(r["lossless"] for r in rows)
 
     kept = {r["doc_id"] for r in quality_rules.judge_documents(docs).collect() if r["kept"]}
-    lined = line_dedup.drop_boilerplate_lines(docs.filter(docs.doc_id.isin(*kept)))
+    lined = line_dedup.drop_boilerplate_lines(docs.filter(docs.doc_id.isin(*kept)), distinct_texts=True)
     texts = {r["doc_id"]: r["text"] for r in lined.collect()}
     classes = plain_classes(sorted(texts.items()))
     firsts = {c for _, _, c in classes}
-    remaining = lined.filter(lined.doc_id.isin(*firsts)).select(*docs.columns)
-    times = {r["doc_id"]: -(-r["taken"] // r["size"]) for r in source_mixing.mix_sources(remaining).collect() if r["taken"]}
-    assert Counter(r["doc_id"] for r in rows) == Counter(times)
+    remaining = lined.filter(lined.doc_id.isin(*firsts)).select("doc_id", "source", "text", F.xxhash64("text").alias("digest"))
+    assert Counter(r["doc_id"] for r in rows) == plain_times([tuple(r) for r in remaining.collect()])
     assert all(r["text"] == texts[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in rows)
 
 
@@ -74,6 +100,6 @@ def test_one_exact_copy_comes_through_with_its_text(spark):
     rows += [(100 + i, f"the same line on all the other pages\n{own(i)}", "en", "s", 0) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     for _, stage in corpus_pipeline.STAGES[:3]:
-        docs = stage(spark, docs, SF).localCheckpoint()
+        docs = cut_lineage(stage(spark, docs, SF))
     found = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert found == {0: copied, **{100 + i: own(i) for i in range(40)}}
