@@ -43,6 +43,18 @@ def join_by_key(
     return left.join(right, on, how).drop(SALT, "__s", *[f"__k{i}" for i in range(len(keys))])
 
 
+def unused(columns: Sequence[str], *labels: str) -> list[str]:
+    """The labels, with underscores in front of those that are names of ``columns``, in any spelling of case."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for label in labels:
+        while label.lower() in taken:
+            label = f"_{label}"
+        taken.add(label.lower())
+        found.append(label)
+    return found
+
+
 class Scratch:
     """Intermediate tables of one run in the shared folder; they go as soon as nothing needs them."""
 

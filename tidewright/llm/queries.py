@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import (
     chat_format,
+    exact_dedup,
     html_extract,
     language_id,
     line_dedup,
@@ -74,14 +75,19 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "lossless", "piece_ids")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_ngram_join, op3_language_id, op4_suffix_dedup, op5_chat_format, op6_html_extract, op7_quality_rules, op8_projection_ann,
-        op9_source_mixing, op10_piece_sampling,
+        op9_source_mixing, op10_piece_sampling, op13_exact_dedup,
     )
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.QUERY_SQL,
     "op7_quality_rules": quality_rules.QUERY_SQL,
     "op9_source_mixing": source_mixing.query_sql(),
+    "op13_exact_dedup": exact_dedup.QUERY_SQL,
 }
