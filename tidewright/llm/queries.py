@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import (
     chat_format,
+    conversation_trie,
     exact_dedup,
     html_extract,
     language_id,
+    lexical_search,
     line_dedup,
     ngram_join,
     piece_sampling,
@@ -75,6 +77,15 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "lossless", "piece_ids")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = conversation_trie.conversations(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie_nodes(conversation_trie.rebuilt(convs))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
@@ -82,12 +93,14 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_ngram_join, op3_language_id, op4_suffix_dedup, op5_chat_format, op6_html_extract, op7_quality_rules, op8_projection_ann,
-        op9_source_mixing, op10_piece_sampling, op13_exact_dedup,
+        op9_source_mixing, op10_piece_sampling, op11_conversation_trie, op12_lexical_search, op13_exact_dedup,
     )
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.QUERY_SQL,
     "op7_quality_rules": quality_rules.QUERY_SQL,
     "op9_source_mixing": source_mixing.query_sql(),
+    "op11_conversation_trie": conversation_trie.QUERY_SQL,
+    "op12_lexical_search": lexical_search.QUERY_SQL,
     "op13_exact_dedup": exact_dedup.QUERY_SQL,
 }
