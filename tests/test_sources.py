@@ -1,10 +1,16 @@
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.functions.naming import identifier
 from tidewright.sinks import writers
-from tidewright.sources.files import Delimited, MissingPath, charset, read_delimited, read_json
+from tidewright.sources.dialect import Delimited, charset
+from tidewright.sources.dumps import OpenQuote
+from tidewright.sources.files import MissingPath, read_delimited, read_json
 from tidewright.sources.headers import MissingColumns, header_mapping, resolve_headers
 from tidewright.sources.jdbc import Jdbc, UnresolvedSecret, jdbc_options, read_jdbc
 from tidewright.sources.provenance import META_COLUMNS, check_captures, with_provenance
@@ -60,6 +66,83 @@ def test_dump_blocks_of_one_file(spark, rows, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+@pytest.fixture()
+def small_blocks(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "300")
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quoted_line_ends_across_blocks(spark, small_blocks, tmp_path, seed):
+    """Cells with breaks, quotes and delimiters, against Python's own parser over the same lines."""
+    rng = random.Random(seed)
+    how = Delimited(delimiter=",", quote='"', skip_rows=1, footer_rows=1, comment="#", escape="\\" if seed % 2 else None)
+    pieces = ["a", " ", "x y", '"', '""', ",", "\n", "\n#no\n", "long " * 9, "\n\n", "|", "é"] + (["\\", "\\n"] if seed % 2 else [])
+    expected = []
+    for name in ("one.txt", "two.txt", "plain.txt"):
+        body = []
+        for i in range(150):
+            cells = [f"{name}{i}"]
+            for _ in range(rng.randrange(1, 5)):
+                text = "".join(rng.choice(pieces[:3] if name == "plain.txt" else pieces) for _ in range(rng.randrange(4)))
+                text = text.replace("\\", "\\\\") if seed % 2 else text
+                if any(c in text for c in '",\n') or rng.random() < 0.2:
+                    text = '"' + text.replace('"', '""') + '"' + rng.choice(["", "", 'tail"s'])
+                elif rng.random() < 0.1 and text:
+                    text += '"'
+                cells.append(text)
+            body.append(",".join(cells) + rng.choice(["", "", "\n# a comment", "\n"]))
+        text = '"not, a record\nid,v,w,"x y",\n' + "\n".join(body) + '\nfoot"er'
+        (tmp_path / name).write_text(text)
+        lines = [x for x in text.split("\n")[1:-1] if not x.startswith("#")]
+        extra = {"escapechar": "\\"} if seed % 2 else {}
+        for r in csv.DictReader(io.StringIO("\n".join(lines), newline=""), delimiter=",", quotechar='"', **extra):
+            expected.append(tuple(r[c] for c in ("id", "v", "w", "x y")))
+    out = read_delimited(spark, str(tmp_path), how)
+    assert out.columns == ["id", "v", "w", "x y"]
+    found = sorted(map(tuple, out.collect()), key=repr)
+    assert found == sorted(expected, key=repr) and any("\n" in c for r in found for c in r if c)
+
+
+def test_quotes_count_only_where_declared(spark, rows, tmp_path):
+    path = land(tmp_path, 'id|v\n1|"a\n2|5" pipe\n3|\n4\n5|x|y\n')
+    expected = [("1", '"a'), ("2", '5" pipe'), ("3", ""), ("4", None), ("5", "x")]
+    assert rows(read_delimited(spark, path, Delimited(null_escape=r"\N"))) == expected
+
+
+def test_a_quote_left_open_is_an_error(spark, small_blocks, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidewright.sources.dumps.MOST_RECORD_LINES", 50)
+    path = land(tmp_path, 'id|v\n1|"a\n' + "".join(f"{i}|x\n" for i in range(200)))
+    with pytest.raises(OpenQuote, match="f.txt"):
+        read_delimited(spark, path, Delimited(quote='"', null_escape=r"\N"))
+
+
+def test_dump_without_a_header_names_its_columns(spark, rows, tmp_path):
+    land(tmp_path, "pre\na1|x|1\na2|y|2|beyond\n", "a.txt")
+    land(tmp_path, "pre\n#c\n\nb1|z\n", "b.txt")
+    land(tmp_path, "pre\n", "none.txt")
+    out = read_delimited(spark, str(tmp_path), Delimited(header=False, skip_rows=1, comment="#"))
+    assert out.columns == ["column0", "column1", "column2"]
+    assert rows(out) == [("a1", "x", "1"), ("a2", "y", "2"), ("b1", "z", None)]
+    named = read_delimited(spark, str(tmp_path), Delimited(header=False, skip_rows=1, comment="#"), columns=["k", "v"])
+    assert rows(named) == [("a1", "x"), ("a2", "y"), ("b1", "z")]
+
+
+def test_dump_layouts_are_one_parse(spark, rows, tmp_path):
+    for i in range(12):
+        names = [f"c{(i + k) % 12}" for k in range(4)] + (["ID", ""] if i % 2 else ["id"])
+        land(tmp_path, "pre\n" + "|".join(names) + f"\n{i}a|{i}b|{i}c|{i}d|{i}\n", f"f{i:02}.txt")
+    out = read_delimited(spark, str(tmp_path), Delimited(skip_rows=1))
+    assert len(out.columns) == 13 and [c for c in out.columns if c.lower() == "id"] == ["ID"]
+    found = {r["ID"]: r.asDict() for r in out.collect()}
+    assert len(found) == 12 and found["11"]["c11"] == "11a" and found["11"]["c2"] == "11d" and found["11"]["c5"] is None
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan text") == 1 and "Union" not in plan
+
+
 def test_plain_csv_quotes(spark, rows, tmp_path):
     path = land(tmp_path, 'id|v\n1|"with| bar"\n2|\n')
     out = read_delimited(spark, path, Delimited(quote='"', escape="\\"))
@@ -103,6 +186,17 @@ def test_provenance_columns(spark, tmp_path):
     assert row.meta_source_name == "f.txt" and row.meta_pipeline_version == "7"
 
 
+def test_offsets_are_row_numbers_of_files_in_blocks(spark, small_blocks, tmp_path):
+    land(tmp_path, "id|v\n" + "".join(f"{i}|a\n" for i in range(500)), "a.txt")
+    land(tmp_path, "id|v\n" + "".join(f"{i}|{'b' * (i % 50)}\n" for i in range(300)), "b.txt")
+    read = read_delimited(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() > 5
+    found = with_provenance(read).select(F.col("id").cast("long"), "meta_source_offset", "meta_source_name").collect()
+    assert len(found) == 800 and all(r[0] == r[1] for r in found)
+    spark.range(0, 300, 1, 1).write.parquet(str(tmp_path / "p"))
+    assert with_provenance(spark.read.parquet(str(tmp_path / "p"))).filter("id <> meta_source_offset").count() == 0
+
+
 def test_jdbc_options_carry_no_secret(spark, monkeypatch):
     source = Jdbc("jdbc:x:y", table="t", user="u", password_env="TW_NO_SUCH", partition_column="id",
                   lower_bound=0, upper_bound=10, partitions=2, fetch_size=5)

@@ -9,8 +9,8 @@ from tidewright.quality.history import append_runs, latest_run, read_runs
 from tidewright.queries import query
 from tidewright.session import scratch_path
 from tidewright.sinks import writers
+from tidewright.sources.dialect import Delimited
 from tidewright.sources.files import (
-    Delimited,
     bare_name,
     read_delimited,
     read_json,
@@ -124,6 +124,83 @@ def dump_file_read(t):
     return resolve_headers(read_delimited(t.spark, path, how), spec)
 
 
+def _by_part(rows, fixed):
+    """Lines (part, nr, value) with the same ``fixed`` lines, by number, in every part."""
+    around = rows.select("part").distinct().select(
+        "part", F.explode(F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv])).alias("nr", "value")
+    )
+    return rows.unionByName(around).repartition("part").sortWithinPartitions("part", "nr").select("part", "value")
+
+
+@query(
+    "dump_quoted_read",
+    "SRC-02 SRC-03 SRC-09",
+    """select c_custkey::varchar as c_custkey,
+         c_name || ' said: "' || c_mktsegment || '~' || c_custkey || '"' || chr(10) || '#' || chr(10) || chr(10)
+           || repeat('and so on ', (c_custkey % 40)::int) as remark,
+         case when c_custkey % 7 = 0 then null when c_custkey % 7 = 1 then '' else c_mktsegment end as segment,
+         case when (c_custkey // 300) % 3 <> 1 then c_nationkey::varchar end as nation
+       from customer""",
+)
+def dump_quoted_read(t):
+    """Quoted cells with line breaks, delimiters and quotes, in files of three layouts; a third names fewer columns."""
+    path = scratch_path(t.spark, "customer-quoted")
+    key = F.col("c_custkey")
+    part = F.floor(key / 300)
+    said = F.concat("c_name", F.lit(' said: ""'), "c_mktsegment", F.lit("~"), key, F.lit('""\n # \n\n'), F.repeat(F.lit("and so on "), (key % 40).cast("int")))
+    remark = F.concat(F.lit('"'), F.replace(said, F.lit(" # "), F.lit("#")), F.lit('"'))
+    segment = F.when(key % 7 == 0, r"\N").when(key % 7 == 1, "").otherwise(F.col("c_mktsegment"))
+    key, nation = key.cast("string"), F.col("c_nationkey").cast("string")
+    rows = t.customer.select(
+        part.alias("part"), (F.col("c_custkey") + 10).alias("nr"),
+        F.when(part % 3 == 0, F.concat_ws("~", key, remark, segment, nation))
+        .when(part % 3 == 1, F.concat_ws("~", remark, segment, key))
+        .otherwise(F.concat_ws("~", nation, F.lit("unused"), key, segment, remark)).alias("value"),
+    )
+    header = F.when(F.col("part") % 3 == 0, "C_CustKey~remark~segment~nation").when(F.col("part") % 3 == 1, "Remark~SEGMENT~c_custkey")
+    lines = _by_part(rows, {0: 'a preamble with "one quote~"open', 1: "header", 2**62: "end of file"})
+    lines = lines.withColumn("value", F.when(F.col("value") == "header", header.otherwise("nation~unused~c_custkey~segment~remark")).otherwise(F.col("value")))
+    lines.write.partitionBy("part").text(path)
+    how = Delimited(delimiter="~", quote='"', skip_rows=1, footer_rows=1, comment="##")
+    return read_delimited(t.spark, path, how).select("c_custkey", "remark", "segment", "nation")
+
+
+@query(
+    "dump_without_header",
+    "SRC-02 SRC-03",
+    """select c_custkey::varchar as column0, c_name as column1, case when c_custkey % 5 = 0 then null else c_mktsegment end as column2
+       from customer""",
+)
+def dump_without_header(t):
+    """Files that name nothing: the columns are numbered as wide as the first record, further cells are dropped."""
+    path = scratch_path(t.spark, "customer-bare")
+    segment = F.when(F.col("c_custkey") % 5 == 0, "none").otherwise(F.col("c_mktsegment"))
+    rows = t.customer.select(
+        F.floor(F.col("c_custkey") / 400).alias("part"), (F.col("c_custkey") + 10).alias("nr"),
+        F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name", segment,
+                    F.when(F.col("c_custkey") % 400 == 200, F.lit("beyond"))).alias("value"),
+    )
+    _by_part(rows, {0: "no names follow", 2**62: "end of file"}).write.partitionBy("part").option("lineSep", "\r\n").text(path)
+    how = Delimited(delimiter=";", header=False, null_value="none", skip_rows=1, footer_rows=1, line_terminator="CRLF")
+    return read_delimited(t.spark, path, how)
+
+
+@query(
+    "scan_row_offsets",
+    "SRC-11",
+    """select c_custkey::varchar as c_custkey, row_number() over (partition by c_custkey // 700 order by c_custkey) - 1 as row_offset
+       from customer""",
+)
+def scan_row_offsets(t):
+    """The number of every row in its file, for text files whose rows stand in a known order."""
+    path = scratch_path(t.spark, "customer-offsets")
+    rows = _customers(t).withColumn("part", F.floor(F.col("c_custkey") / 700))
+    rows = rows.repartition("part").sortWithinPartitions("part", "c_custkey")
+    rows.write.partitionBy("part").option("header", True).option("sep", "|").csv(path)
+    read = read_delimited(t.spark, path, Delimited(delimiter="|"))
+    return with_provenance(read).select("c_custkey", F.col("meta_source_offset").alias("row_offset"))
+
+
 @query(
     "header_resolution",
     "SRC-09",

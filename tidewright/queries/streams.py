@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tidewright.queries import query
 from tidewright.session import scratch_path
-from tidewright.sources.files import Delimited, string_schema
+from tidewright.sources.dialect import Delimited
+from tidewright.sources.files import string_schema
 from tidewright.specs import Check, ColumnSpec, TableDef
 from tidewright.streaming.changes import (
     apply_changes,

@@ -3,85 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.operators.ranking import top_n
-
-# Charset names as people write them and as Java knows them.
-CHARSETS = {
-    "ascii": "US-ASCII",
-    "us-ascii": "US-ASCII",
-    "latin1": "ISO-8859-1",
-    "latin-1": "ISO-8859-1",
-    "latin_1": "ISO-8859-1",
-    "iso-8859-1": "ISO-8859-1",
-    "iso8859-1": "ISO-8859-1",
-    "iso_8859_1": "ISO-8859-1",
-    "cp1252": "windows-1252",
-    "windows1252": "windows-1252",
-    "windows-1252": "windows-1252",
-    "utf8": "UTF-8",
-    "utf-8": "UTF-8",
-    "utf_8": "UTF-8",
-    "utf16": "UTF-16",
-    "utf-16": "UTF-16",
-    "utf_16": "UTF-16",
-}
-NULL_MARK = r"\N"
-FILES_TO_BROADCAST = 20000  # a row of file bounds is a path and two positions
-
-
-def charset(name: str) -> str:
-    return CHARSETS.get(name.strip().casefold(), name)
-
-
-@dataclass(frozen=True)
-class Delimited:
-    """How a text source is written."""
-
-    delimiter: str = "|"
-    header: bool = True
-    encoding: str = "UTF-8"
-    null_value: str | None = None
-    null_escape: str | None = None
-    comment: str | None = None
-    quote: str | None = None
-    escape: str | None = None
-    skip_rows: int = 0
-    footer_rows: int = 0
-    line_terminator: str | None = None
-    multiline: bool = False
-
-    @property
-    def is_dump(self) -> bool:
-        """Preamble, footer, own line ends or null marks need the line-wise reader."""
-        return bool(
-            self.skip_rows or self.footer_rows or self.line_terminator or self.null_escape
-        )
-
-    def options(self) -> dict[str, str]:
-        out = {
-            "sep": self.delimiter,
-            "header": str(self.header).lower(),
-            "encoding": charset(self.encoding),
-            "inferSchema": "false",
-        }
-        if self.multiline:
-            out["multiLine"] = "true"
-        for name, value in (
-            ("nullValue", self.null_value),
-            ("comment", self.comment),
-            ("quote", self.quote),
-            ("escape", self.escape),
-        ):
-            if value is not None:
-                out[name] = value
-        return out
-
+from tidewright.sources.dialect import Delimited
+from tidewright.sources.dumps import read_dump
 
 def read_delimited(
     spark: SparkSession,
@@ -103,112 +31,6 @@ def string_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def null_tokens(df: DataFrame, tokens: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Cells equal to one of the tokens become NULL."""
-    chosen = list(columns or df.columns)
-    return df.withColumns({c: F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")) for c in chosen})
-
-
-def _lines(spark: SparkSession, path: str | Sequence[str], how: Delimited) -> DataFrame:
-    """Physical records with their file and a position that increases within the file.
-
-    A file is read in blocks; inside a block the generated id increases, so (block start, id)
-    orders the records of a file without sorting or numbering them.
-    """
-    reader = spark.read.option("encoding", charset(how.encoding))
-    terminators = {"CRLF": "\r\n", "LF": "\n", "CR": "\r"}
-    if how.line_terminator:
-        end = terminators.get(how.line_terminator, how.line_terminator)
-        reader = reader.option("lineSep", end)
-    return reader.text(path).select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("b"),
-            F.monotonically_increasing_id().alias("i"),
-        ).alias("_pos"),
-        "value",
-    )
-
-
-def _edge(lines: DataFrame, n: int, last: bool) -> DataFrame:
-    """Per file the position of the n-th record from one end."""
-    order = [F.col("_pos").desc() if last else F.col("_pos").asc()]
-    ends = top_n(lines.select("_file", "_pos"), ["_file"], order, n)
-    inner = F.min("_pos") if last else F.max("_pos")
-    return ends.groupBy("_file").agg(inner.alias("_edge"))
-
-
-def _join_files(lines: DataFrame, per_file: DataFrame, files: int, how: str = "left") -> DataFrame:
-    """Join one row per file; broadcast only when the number of files is small."""
-    side = F.broadcast(per_file) if files <= FILES_TO_BROADCAST else per_file
-    return lines.join(side, "_file", how)
-
-
-def read_dump(
-    spark: SparkSession,
-    path: str | Sequence[str],
-    how: Delimited,
-    columns: Sequence[str] | None = None,
-) -> DataFrame:
-    """Text files with preamble and footer records, own record ends, comments and null marks.
-
-    The first and last records of every file are found by position and cut off where the lines
-    are, so no file passes through one task. Quoted record ends are not supported here.
-    """
-    lines = _lines(spark, path, how)
-    files = len(lines.inputFiles())
-    body = lines
-    if how.skip_rows:
-        edge = _edge(lines, how.skip_rows, last=False).withColumnRenamed("_edge", "_skip")
-        body = _join_files(body, edge, files).filter(F.col("_pos") > F.col("_skip")).drop("_skip")
-    if how.footer_rows:
-        edge = _edge(lines, how.footer_rows, last=True).withColumnRenamed("_edge", "_foot")
-        body = _join_files(body, edge, files).filter(F.col("_pos") < F.col("_foot")).drop("_foot")
-    body = body.filter(F.trim("value") != "")
-    if how.comment:
-        body = body.filter(~F.startswith("value", F.lit(how.comment)))
-    parse = {"sep": how.delimiter, "mode": "PERMISSIVE"}
-    for name, value in (("quote", how.quote), ("escape", how.escape)):
-        if value is not None:
-            parse[name] = value
-    tokens = [NULL_MARK, *[x for x in (how.null_value, how.null_escape) if x is not None]]
-    if not how.header:
-        if columns is None:
-            raise ValueError("a source without a header needs column names")
-        return null_tokens(_split(body, columns, parse), tokens)
-    first = body.groupBy("_file").agg(
-        F.min("_pos").alias("_head"), F.min_by("value", "_pos").alias("_names")
-    )
-    rows = _join_files(body, first, files).filter(F.col("_pos") > F.col("_head"))
-    # one header text per layout, read by the driver; files of one layout are parsed together
-    layouts = [r[0] for r in first.select("_names").distinct().collect()]
-    parts = []
-    for layout in sorted(layouts):
-        names = _header_names(spark, layout, parse)
-        part = rows.filter(F.col("_names") == layout) if len(layouts) > 1 else rows
-        parts.append(_split(part, names, parse))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return null_tokens(out, tokens)
-
-
-def _header_names(spark: SparkSession, line: str, parse: dict[str, str]) -> list[str]:
-    """Names in a header line, split by the same parser as the rows."""
-    width = line.count(parse["sep"]) + 1
-    schema = string_schema([f"c{i}" for i in range(width)]).simpleString()
-    row = spark.range(1).select(F.from_csv(F.lit(line), schema[7:-1].replace(":", " "), parse)).first()[0]
-    names = [n.strip() if n is not None else f"_c{i}" for i, n in enumerate(row)]
-    while names and names[-1].startswith("_c"):
-        names.pop()
-    return names
-
-
-def _split(lines: DataFrame, names: Sequence[str], parse: dict[str, str]) -> DataFrame:
-    ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    return lines.select(F.from_csv(F.col("value"), ddl, parse).alias("_r")).select("_r.*")
-
-
 def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
     return spark.read.parquet(*paths)

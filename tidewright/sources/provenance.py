@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.quality.drift import record_hash
@@ -32,6 +32,24 @@ def landing_columns(df: DataFrame, load_time: Column | None = None) -> DataFrame
     )
 
 
+def _row_numbers(df: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` with what it needs, and the number of every row in its file, from 0.
+
+    Parquet knows it. Elsewhere rows are counted per block and summed along the file (one row per block); a row's number
+    is its block's sum and its place in the block, since generated ids are consecutive there. ``df`` must be as read.
+    """
+    if "row_index" in df.select("_metadata").schema["_metadata"].dataType.names:
+        return df, F.col("_metadata.row_index")
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    blocks = df.select(file.alias("__file"), block.alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    blocks = blocks.groupBy("__file", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).drop("__first", "__rows")
+    placed = df.select("*", "_metadata", F.monotonically_increasing_id().alias("__row"))
+    same = (placed["_metadata.file_path"] == blocks["__file"]) & (placed["_metadata.file_block_start"] == blocks["__block"])
+    return placed.join(blocks, same), F.col("__before") + F.col("__row")
+
+
 def with_provenance(
     df: DataFrame,
     load_time: Column | None = None,
@@ -40,11 +58,9 @@ def with_provenance(
     component: str | None = None,
     source_checksum: Column | None = None,
 ) -> DataFrame:
-    """Add the eight ``meta_*`` columns of a file source.
-
-    The offset is the byte position of the block and the row's number in it, so it needs no
-    numbering pass over the file.
-    """
+    """Add the eight ``meta_*`` columns of a file source; the offset is the row's number in its file, from 0."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    numbered, offset = _row_numbers(df)
     loaded = load_time if load_time is not None else F.current_timestamp()
     hashed = record_hash(df, df.columns)
     values = {
@@ -52,13 +68,12 @@ def with_provenance(
         "meta_source_checksum": source_checksum if source_checksum is not None else F.lit(None).cast("string"),
         "meta_load_dt": loaded,
         "meta_snapshot_dt": snapshot_time if snapshot_time is not None else loaded,
-        "meta_source_offset": F.col("_metadata.file_block_start")
-        + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
+        "meta_source_offset": offset,
         "meta_checksum": hashed,
         "meta_pipeline_version": F.lit(version).cast("string"),
         "meta_component": F.lit(component).cast("string"),
     }
-    return df.select("*", *[values[name].alias(name) for name in META_COLUMNS])
+    return numbered.select(*columns, *[values[name].alias(name) for name in META_COLUMNS])
 
 
 def check_captures(pattern: str, captures: dict[int, str], columns: Sequence[str] | None = None) -> None:
