@@ -1,4 +1,6 @@
+import random
 from dataclasses import replace
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +11,10 @@ from tidewright.catalog.schemas import NotConformable, classify, column_facts, c
 from tidewright.corpus.chunks import chunk_documents, html_to_text, unit_vector
 from tidewright.functions import canon
 from tidewright.functions.domains import BY_NAME, DOMAINS, name_matches, spellings, type_fits
-from tidewright.operators.joins import KeyPair, measure_foreign_keys
+from tidewright.operators.joins import KeyPair, discover_foreign_keys, likely_foreign_keys, measure_foreign_keys
 from tidewright.profiling.columns import pattern_regex, patterns, profile_columns
 from tidewright.profiling.domains import infer_domains
+from tidewright.profiling import keys
 from tidewright.profiling.keys import key_candidates, promote_key
 from tidewright.specs import ColumnSpec, TableDef, spec_of_schema
 
@@ -44,12 +47,64 @@ def test_keys_are_minimal_and_exact(spark):
     unique = [k for k, r in found.items() if r.is_unique]
     assert unique == ["a,b,c"] and found["a,b,c"].minimal is True
     assert "d" not in found
-    capped = {r.columns: r for r in key_candidates(df, max_per_level=1).collect()}
-    assert any(not r.verified for r in capped.values()) or len(capped) <= len(found)
+    counted = {r.columns: r for r in key_candidates(df, exact_counts=True).collect()}
+    assert [k for k, r in counted.items() if r.is_unique] == ["a,b,c"] and counted["c"].distinct_count == 3
     ids = spark.range(50).select("id", (F.col("id") % 5).alias("g"))
     assert promote_key(key_candidates(ids)).first().columns == "id"
 
 
+def test_key_search_agrees_with_counting_every_set(spark):
+    """Random tables: the same minimal keys as by counting, however near to unique the sets are."""
+    rng = random.Random(5)
+    for n, spreads in ((400, (3, 20, 30, 400, 2000)), (900, (30, 31, 5, 2, 900))):
+        rows = [tuple(rng.randrange(m) for m in spreads) for _ in range(n)]
+        rows += [rows[0][:2] + (rows[0][2] + 1,) + rows[0][3:]]
+        names = [f"`c.{i}`" for i in range(len(spreads))]
+        df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in names))
+        keys = []
+        for w in (1, 2, 3):
+            for s in combinations(range(len(spreads)), w):
+                if not any(set(k) <= set(s) for k in keys) and len({tuple(r[i] for i in s) for r in rows}) == len(rows):
+                    keys.append(s)
+        found = [r["columns"] for r in key_candidates(df).collect() if r["is_unique"]]
+        assert found == [",".join(f"c.{i}" for i in s) for s in keys]
+    assert key_candidates(df.filter("false")).count() == 0
+
+
+def test_a_level_of_keys_is_two_scans(spark, monkeypatch):
+    """However many sets a level has: one aggregate of sketches, one count of those that may be unique."""
+    calls = []
+    for name in ("_estimates", "_distinct"):
+        plain = getattr(keys, name)
+        monkeypatch.setattr(keys, name, lambda *a, plain=plain, name=name: calls.append((name, len(a[1]))) or plain(*a))
+    df = spark.range(300).select(*[(F.col("id") % (i + 2)).alias(f"c{i}") for i in range(12)], (F.col("id") % 150).alias("half"))
+    key_candidates(df)
+    assert [n for n, _ in calls].count("_estimates") <= 3 and len(calls) <= 6 and max(k for _, k in calls) > 50
+
+
+def test_foreign_keys_are_found_by_sketches_then_measured(spark):
+    ids = spark.range(30_000).select("id", (F.col("id") + 29_990).alias("late"), F.col("id").cast("string").alias("code"))
+    facts = spark.range(60_000).select(
+        (F.col("id") * 7 % 20_000).alias("ref"), (F.col("id") % 30_001).alias("beyond"), F.lit(None).cast("long").alias("none"),
+        (F.col("id") % 9).cast("string").alias("digit"), F.col("id").cast("double").alias("measure"))
+    frames = {"ids": ids, "facts": facts}
+    found = {(r["child_column"], r["parent_column"], r["cardinality"]) for r in discover_foreign_keys(frames).collect()}
+    assert found == {("ref", "id", "1:N"), ("digit", "code", "1:N")}
+    assert KeyPair("facts", "beyond", "ids", "id") in likely_foreign_keys(frames, 0.9)
+    loose = {(r["child_column"], r["parent_column"]) for r in discover_foreign_keys(frames, 0.9).collect()}
+    assert ("beyond", "id") in loose and ("id", "late") not in loose
+    assert discover_foreign_keys({"facts": facts.select("none", "measure")}).count() == 0
+
+
+def test_pairs_are_measured_with_one_scan_and_shuffle_per_table(spark, tmp_path):
+    for name in ("a", "b"):
+        spark.range(100).select("id", (F.col("id") % 7).alias("x"), (F.col("id") % 5).alias("y")).write.parquet(str(tmp_path / name))
+    frames = {n: spark.read.parquet(str(tmp_path / n)) for n in ("a", "b")}
+    found = measure_foreign_keys(frames, [KeyPair("a", c, "b", d) for c in ("id", "x", "y") for d in ("id", "x", "y")])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_domain_names():
     assert spellings("mbr_dt") == {"mbr_dt", "member_dt", "mbr_date", "member_date"}
     assert name_matches(BY_NAME["us_state_code"], "mbr_st")

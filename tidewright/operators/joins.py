@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.operators.ranking import newest_first, top_n
+from tidewright.session import cut_lineage
 
 
 def namespaced(df: DataFrame, alias: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -151,12 +154,18 @@ def name_likeness(pair: KeyPair) -> float:
     return 0.5 if child.endswith(parent) or parent.endswith(child) else 0.0
 
 
+PAIR_FACTS = (
+    "child_table string, child_column string, parent_table string, parent_column string, name_score double, child_values long, "
+    "parent_values long, shared_values long, inclusion double, cardinality string"
+)
+
+
 def measure_foreign_keys(frames: dict[str, DataFrame], pairs: Sequence[KeyPair]) -> DataFrame:
     """Measure every candidate pair on the data: inclusion, and how many children per parent.
 
-    All columns are reduced to (column, value, rows) and grouped once by value, where each value
-    knows which columns hold it; the pairs are then counted in a single aggregate. Work grows with
-    distinct values, not with pairs times rows.
+    Every table is read once, as (column, value) rows, and all are grouped once by value, with partial
+    counts before the shuffle; each value then knows which columns hold it, and the pairs are counted
+    in a single aggregate. Work grows with distinct values, not with pairs times rows.
     """
     columns = list(
         dict.fromkeys(
@@ -165,19 +174,14 @@ def measure_foreign_keys(frames: dict[str, DataFrame], pairs: Sequence[KeyPair])
         )
     )
     slot = {c: i for i, c in enumerate(columns)}
-    held = None
-    for table, column in columns:
-        part = (
-            frames[table]
-            .select(F.col(column).cast("string").alias("v"))
-            .filter(F.col("v").isNotNull())
-            .groupBy("v")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.lit(slot[table, column]).alias("slot"), "v", "n")
-        )
-        held = part if held is None else held.unionAll(part)
-    per_value = held.groupBy("v").agg(
-        *[F.max(F.when(F.col("slot") == i, F.col("n"))).alias(f"n{i}") for i in range(len(columns))]
+    held = []
+    for table in dict.fromkeys(t for t, _ in columns):
+        cells = [
+            F.struct(F.lit(slot[t, c]).alias("slot"), F.col(f"`{c}`").cast("string").alias("v")) for t, c in columns if t == table
+        ]
+        held.append(frames[table].select(F.inline(F.array(*cells))).filter(F.col("v").isNotNull()))
+    per_value = reduce(DataFrame.unionAll, held).groupBy("v").agg(
+        *[F.sum(F.when(F.col("slot") == i, F.lit(1))).alias(f"n{i}") for i in range(len(columns))]
     )
     rows = []
     for p in pairs:
@@ -217,3 +221,64 @@ def measure_foreign_keys(frames: dict[str, DataFrame], pairs: Sequence[KeyPair])
         F.coalesce(inclusion, F.lit(0.0)).alias("inclusion"),
         kind.alias("cardinality"),
     )
+
+
+#: sketches hold so many hashes (2 ** 12) of a column, exact for columns with fewer values
+FK_SKETCH = 12
+#: estimates may miss the truth by this share; twelve standard errors of the sketch
+FK_SLACK = 0.2
+
+
+def _key_family(dtype: T.DataType) -> str | None:
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return "integral"
+    return "text" if isinstance(dtype, T.StringType) else None
+
+
+def column_sketches(frames: dict[str, DataFrame]) -> DataFrame:
+    """table, column, family, rows, values, sketch: a sketch of the values of every column fit for a key, one scan per table."""
+    parts = []
+    for table, df in frames.items():
+        fit = [(f.name, family) for f in df.schema.fields if (family := _key_family(f.dataType))]
+        cells = [
+            F.struct(
+                F.lit(table).alias("table"), F.lit(c).alias("column"), F.lit(family).alias("family"), F.count(F.lit(1)).alias("rows"),
+                F.count(F.col(f"`{c}`")).alias("filled"), F.theta_sketch_agg(F.col(f"`{c}`").cast("string"), FK_SKETCH).alias("sketch"),
+            )
+            for c, family in fit
+        ]
+        if cells:
+            parts.append(df.agg(F.array(*cells).alias("cells")).select(F.inline("cells")))
+    return reduce(DataFrame.unionAll, parts).withColumn("values", F.theta_sketch_estimate("sketch"))
+
+
+def likely_foreign_keys(frames: dict[str, DataFrame], min_inclusion: float = 1.0) -> list[KeyPair]:
+    """Column pairs that their sketches do not rule out; they come to the driver as names.
+
+    The sketch of a subset never holds a hash that its superset's lacks below both thresholds, so for whole inclusion
+    one such hash is proof. Parents must be about as distinct as their rows.
+    """
+    sketches = cut_lineage(column_sketches(frames))
+    child, parent = sketches.alias("c"), sketches.alias("p")
+    other = (F.col("c.table") != F.col("p.table")) | (F.col("c.column") != F.col("p.column"))
+    missing = F.theta_sketch_estimate(F.theta_difference(F.col("c.sketch"), F.col("p.sketch")))
+    near = F.lit(0) if min_inclusion >= 1 else (1 - min_inclusion + FK_SLACK) * F.col("c.values")
+    found = (
+        child.join(parent, (F.col("c.family") == F.col("p.family")) & other)
+        .filter((F.col("c.values") > 0) & (F.col("p.values") >= (1 - FK_SLACK) * F.col("p.filled")))
+        .filter(missing <= near)
+        .select(*[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("c", "p") for c in ("table", "column")])
+    )
+    return [KeyPair(*r) for r in sorted(map(tuple, found.collect()))]
+
+
+def discover_foreign_keys(frames: dict[str, DataFrame], min_inclusion: float = 1.0) -> DataFrame:
+    """All column pairs of the tables where the child's values lie in a unique column, measured as in ``measure_foreign_keys``.
+
+    Two scans per table: one for sketches, one for the pairs that these leave.
+    """
+    pairs = likely_foreign_keys(frames, min_inclusion)
+    if not pairs:
+        return next(iter(frames.values())).sparkSession.createDataFrame([], PAIR_FACTS)
+    found = measure_foreign_keys(frames, pairs)
+    return found.filter((F.col("shared_values") >= min_inclusion * F.col("child_values")) & (F.col("cardinality") != "N:M"))

@@ -1,9 +1,8 @@
-"""Candidate keys, searched level by level and verified exactly."""
+"""Candidate keys, searched level by level: estimated by sketches, verified exactly where an estimate cannot tell."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 from math import prod
 
@@ -11,13 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.operators.aggregates import distinct_tuples
-
 WIDTH_BONUS = 0.05
 # The least score and the least lead over the next candidate for a promotion.
 MIN_SCORE = 0.9
 MIN_GAP = 0.05
 
+SKETCH_LG_K = 12
+#: an estimate this far below the row count rules a set out: over ten standard errors (1.04 / sqrt(2**12)) of the sketch
+SURE = 0.17
+#: sketches in one aggregate
+SKETCHES = 512
+
 KEY_SCHEMA = T.StructType(
     [
         T.StructField("columns", T.StringType()),
@@ -37,98 +40,97 @@ def _hashable(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.ArrayType, T.MapType, T.VariantType))
 
 
-def _verify(df: DataFrame, tuples: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
-    """Exact distinct counts of several column tuples in one job; one row per tuple comes back."""
-    parts = [
-        distinct_tuples(df.select(*cols), list(cols)).select(
-            F.lit(i).alias("i"), F.col("distinct_count").alias("d")
-        )
-        for i, cols in enumerate(tuples)
+def _hashed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Two 64-bit hashes of every column; sets of columns are hashed from these."""
+    return df.select(*[
+        h.alias(f"{side}{i}")
+        for i, c in enumerate(columns)
+        for side, h in (("a", F.xxhash64(F.col(f"`{c}`"))), ("b", F.xxhash64(F.lit("b"), F.col(f"`{c}`"))))
+    ])
+
+
+def _estimates(hashed: DataFrame, sets: Sequence[tuple[int, ...]]) -> dict[tuple[int, ...], int]:
+    """Distinct counts by one mergeable sketch per set, all in one wide aggregate (one more per ``SKETCHES`` sets)."""
+    found: dict[tuple[int, ...], int] = {}
+    for start in range(0, len(sets), SKETCHES):
+        part = sets[start : start + SKETCHES]
+        sketches = [F.hll_sketch_agg(F.xxhash64(*[F.col(f"a{i}") for i in s]), SKETCH_LG_K) for s in part]
+        row = hashed.agg(F.array(*[F.hll_sketch_estimate(k) for k in sketches])).first()
+        found.update(zip(part, row[0], strict=True))
+    return found
+
+
+def _distinct(hashed: DataFrame, sets: Sequence[tuple[int, ...]], rows: int) -> dict[tuple[int, ...], int]:
+    """Exact distinct counts of all sets in one scan and one shuffle of (set, 128-bit hash of the tuple)."""
+    each = [
+        F.struct(F.lit(k).alias("k"), F.xxhash64(*[F.col(f"a{i}") for i in s]).alias("a"), F.xxhash64(*[F.col(f"b{i}") for i in s]).alias("b"))
+        for k, s in enumerate(sets)
     ]
-    rows = reduce(lambda a, b: a.unionAll(b), parts).collect()
-    return {tuples[r["i"]]: r["d"] for r in rows}
+    groups = hashed.select(F.inline(F.array(*each))).groupBy("k", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    repeats = groups.groupBy("k").agg(F.sum(F.col("n") - 1).alias("repeats"))
+    return {sets[r["k"]]: rows - r["repeats"] for r in repeats.collect()}
 
 
 def key_candidates(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     max_width: int = 3,
-    max_per_level: int | None = None,
+    exact_counts: bool = False,
 ) -> DataFrame:
     """Column sets that identify a row, up to ``max_width`` columns, each marked minimal or not.
 
-    Only complete columns take part. A level is built from the sets of the level below that are
-    not unique, so every unique set found is minimal; sets whose distinct counts multiply to less
-    than the row count cannot be unique and are ruled out without a job. ``max_per_level`` verifies
-    only the best-scored sets of a level and reports the others as unverified.
+    Only complete columns take part. A level holds the sets without a unique subset, so every unique set found is minimal.
+    Sets whose parts cannot have enough combinations of values are ruled out by the counts of the levels below; the others
+    are estimated together, and only those within ``SURE`` of the row count are counted, together again. So a level is
+    two scans whatever its sets. ``distinct_count`` is exact for counted sets and an estimate for others;
+    ``exact_counts`` counts every set that is not ruled out.
     """
     names = [c for c in (columns or df.columns) if _hashable(df.schema[c].dataType)]
     facts = df.agg(
-        F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"c_{c}") for c in names]
+        F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c_{i}") for i, c in enumerate(names)]
     ).first()
-    rows_total = facts["n"]
-    complete = [c for c in names if facts[f"c_{c}"] == rows_total]
+    rows = facts["n"]
+    complete = [c for i, c in enumerate(names) if facts[f"c_{i}"] == rows]
+    hashed = _hashed(df, complete)
     found: list[tuple] = []
-    unique: list[tuple[str, ...]] = []
-    distinct: dict[tuple[str, ...], int] = {}
+    unique: list[tuple[int, ...]] = []
+    known: dict[tuple[int, ...], int] = {}
 
-    def score(cols: tuple[str, ...]) -> float:
-        ratio = sum(distinct[(c,)] / rows_total for c in cols if (c,) in distinct)
-        return round(ratio + WIDTH_BONUS * (len(cols) - 1), 6)
+    def score(s: tuple[int, ...]) -> float:
+        ratio = sum(known[i,] / rows for i in s if (i,) in known)
+        return round(ratio + WIDTH_BONUS * (len(s) - 1), 6)
+
+    def most(s: tuple[int, ...]) -> float:
+        """Combinations that the parts of a set allow; sketches may be off by ``SURE``."""
+        if len(s) == 1:
+            return rows
+        splits = [(t, tuple(i for i in s if i not in t)) for w in range(1, len(s) // 2 + 1) for t in combinations(s, w)]
+        slack = 1.0 if exact_counts else 1 / (1 - SURE)
+        return min([prod(known[i,] for i in s) * slack ** len(s), *[known[t] * known[r] * slack**2 for t, r in splits if t in known and r in known]])
 
-    open_sets: list[tuple[str, ...]] = []
     for width in range(1, max_width + 1):
-        if not rows_total or not complete:
-            break
-        if width == 1:
-            level = [(c,) for c in complete]
-        else:
-            pool = sorted({c for s in open_sets for c in s}, key=complete.index)
-            level = [
-                s
-                for s in combinations(pool, width)
-                if not any(set(u) <= set(s) for u in unique)
-            ]
-        possible = []
+        level = [s for s in combinations(range(len(complete)), width) if not any(set(u) <= set(s) for u in unique)] if rows else []
+        possible = [s for s in level if most(s) >= rows]
         for s in level:
-            bound = prod(distinct[(c,)] for c in s) if width > 1 else rows_total
-            if bound >= rows_total:
-                possible.append(s)
-            else:
-                found.append(
-                    (",".join(s), width, score(s), None, True, False, False, False,
-                     "too few combinations of values")
-                )
-        open_sets = [s for s in level if s not in possible]
-        possible.sort(key=lambda s: (-score(s), s))
-        checked = possible if max_per_level is None or width == 1 else possible[:max_per_level]
-        if checked:
-            distinct.update(_verify(df, checked))
-        for s in possible:
-            if s not in checked:
-                found.append(
-                    (",".join(s), width, score(s), None, False, None, None, False, "not verified")
-                )
-                continue
-            if distinct[s] == rows_total:
+            if s not in possible:
+                found.append((s, None, False, "too few combinations of values"))
+        near = possible
+        if not exact_counts and possible:
+            known.update(_estimates(hashed, possible))
+            near = [s for s in possible if known[s] >= (1 - SURE) * rows]
+            for s in possible:
+                if s not in near:
+                    found.append((s, known[s], False, "estimated far below the row count"))
+        if near:
+            known.update(_distinct(hashed, near, rows))
+        for s in near:
+            found.append((s, known[s], known[s] == rows, "no smaller unique set" if known[s] == rows else "duplicates found"))
+            if known[s] == rows:
                 unique.append(s)
-                every_subset_seen = all(
-                    sub in distinct or prod(distinct[(c,)] for c in sub) < rows_total
-                    for w in range(1, width)
-                    for sub in combinations(s, w)
-                )
-                found.append(
-                    (",".join(s), width, score(s), distinct[s], True, True,
-                     True if every_subset_seen else None, False,
-                     "no smaller unique set" if every_subset_seen else "smaller sets not verified")
-                )
-            else:
-                open_sets.append(s)
-                found.append(
-                    (",".join(s), width, score(s), distinct[s], True, False, False, False,
-                     "duplicates found")
-                )
-    return df.sparkSession.createDataFrame(found, KEY_SCHEMA)
+    return df.sparkSession.createDataFrame(
+        [(",".join(complete[i] for i in s), len(s), score(s), n, True, is_unique, is_unique, False, reason) for s, n, is_unique, reason in found],
+        KEY_SCHEMA,
+    )
 
 
 def promote_key(candidates: DataFrame, min_score: float = MIN_SCORE, min_gap: float = MIN_GAP) -> DataFrame:

@@ -15,6 +15,7 @@ from tidewright.operators.joins import (
     enrich,
     first_record,
     fk_coverage,
+    discover_foreign_keys,
     measure_foreign_keys,
     orphans,
 )
@@ -239,6 +240,42 @@ def fk_discovery(t):
     return measure_foreign_keys({name: getattr(t, name) for name in tables}, _PAIRS)
 
 
+_KEY_COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey",
+    "part": "p_partkey p_name p_brand p_type p_size",
+    "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_returnflag l_linestatus",
+}
+
+
+@query(
+    "fk_search",
+    "JN-16",
+    "with vals as ("
+    + " union all ".join(
+        f"""select '{t}' as tab, '{c}' as col, typeof(any_value({c})) = 'VARCHAR' as text, {c}::varchar as v, count(*) as n
+            from {t} where {c} is not null group by {c}"""
+        for t, names in _KEY_COLUMNS.items()
+        for c in names.split()
+    )
+    + """), facts as (select tab, col, count(*) as values, max(n) as most from vals group by all),
+       shared as (select a.tab as child_table, a.col as child_column, b.tab as parent_table, b.col as parent_column, count(*) as shared_values
+                  from vals a join vals b on a.v = b.v and a.text = b.text and (a.tab, a.col) <> (b.tab, b.col) group by all)
+       select child_table, child_column, parent_table, parent_column, c.values as child_values, p.values as parent_values, shared_values,
+              case when c.most > 1 then '1:N' when shared_values < p.values then '1:0..1' else '1:1' end as cardinality
+       from shared join facts c on c.tab = child_table and c.col = child_column join facts p on p.tab = parent_table and p.col = parent_column
+       where shared_values = c.values and p.most = 1""",
+)
+def fk_search(t):
+    """Every column whose values all lie in a unique column, among all whole-number and text columns of seven tables."""
+    found = discover_foreign_keys({name: getattr(t, name) for name in _KEY_COLUMNS})
+    return found.select(
+        "child_table", "child_column", "parent_table", "parent_column", "child_values", "parent_values", "shared_values", "cardinality")
+
+
 CUSTOMER_GOLD = TableDef(
     "customer_gold",
     (

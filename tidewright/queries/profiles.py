@@ -1,5 +1,7 @@
 """Profiles, key search and semantic types."""
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from tidewright.functions.domains import DOMAINS
@@ -182,10 +184,34 @@ def _key_rows(t):
        union all select 'o_orderkey,o_orderstatus', 2, k, true, false, false from n""",
 )
 def key_candidates_query(t):
-    found = key_candidates(_key_rows(t), max_width=3)
+    found = key_candidates(_key_rows(t), max_width=3, exact_counts=True)
     return found.select("columns", "width", "distinct_count", "verified", "is_unique", "minimal")
 
 
+LINEITEM = (
+    "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
+).split()
+_SETS = [s for w in (1, 2, 3) for s in combinations(LINEITEM, w)]
+
+
+@query(
+    "key_search",
+    "PRF-04 PRF-05",
+    "with n as (select count(*) as n from lineitem), sets as ("
+    + " union all ".join(
+        f"select '{','.join(s)}' as columns, {len(s)} as width, {list(s)!r} as members, (select count(*) from (select distinct {', '.join(s)} from lineitem)) as d"
+        for s in _SETS
+    )
+    + """), keys as (select sets.* from sets, n where d = n)
+       select k.columns, k.width, k.d as distinct_count, true as verified, true as minimal from keys k
+       where not exists (select 1 from keys s where s.width < k.width and list_has_all(k.members, s.members))""",
+)
+def key_search(t):
+    """Every minimal key of up to three of all columns of lineitem."""
+    found = key_candidates(t.lineitem, max_width=3).filter("is_unique")
+    return found.select("columns", "width", "distinct_count", "verified", "minimal")
+
+
 @query(
     "key_promotion",
     "PRF-06",
