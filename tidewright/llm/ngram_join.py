@@ -11,8 +11,12 @@ prefixes (the first n - ceil(t * n) + 1 shingles) share a shingle under *every*
    lowest and highest set as partners of all others (a star, not all pairs) where sizes and places still allow the
    similarity. Candidates must also share prefix shingles under the second and third order; what passes is verified on
    whole sets. Links join sets to components.
-4. Lists whose members are in one component are done. The others get a second star around members of their own choice,
-   and in those still open, pairs across components go through the same filters. Nothing is capped, so every component is exact.
+4. Lists whose members are in one component are done. The others get a second star around members of their own choice.
+5. Sets in lists still open are peeled: a token helps a set only where a set of another open component holds it too. A
+   set with fewer such tokens than any link of its size shares cannot link across, and leaves; so do then the tokens
+   that only it held, and so on until no set leaves. Members of a family that are too far from all others end here,
+   by counting tokens, without a pair. Pairs across components among the rest go through the filters of 3 with
+   these counts. Nothing is capped, so every component is exact.
 
 Lists of a shingle that the sketch shows as very common are dealt over salts, so no task gets a whole one; the others
 are bounded by their sketch count. Equal sets are one name, so groups of copies cost one member each. Defined results: a null text or one without words has
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import Scratch
+from tidewright.llm.common import Scratch, join_by_key
 from tidewright.llm.components import connected
 
 WORDS_PER_SHINGLE = 5
@@ -194,6 +198,7 @@ def _distinct_shared(table: pa.RecordBatch) -> pa.RecordBatch:
 
 
 SETS = "set_id long, n long, tokens array<long>, prefix2 array<int>, prefix3 array<int>"
+SET_COLUMNS = ("set_id", "n", "tokens", "prefix2", "prefix3")
 
 
 def _sets(classes, percent: int):
@@ -264,9 +269,8 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     posting_columns = ("set_id", "n", "place")
     posting = F.struct(*posting_columns)
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """Whole sets of the paired names, made again from the text of one document each."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Whole sets of the named ones, made again from the text of one document each."""
         holders = members.join(wanted, "set_id").groupBy("set_id").agg(F.min(F.struct("doc_id", "digest")).alias("held"))
         holders = stored(holders.select("set_id", F.col("held.doc_id").alias("__id"), F.col("held.digest").alias("__digest")), "holders")
         if holders.count() <= MOST_BROADCAST:
@@ -292,26 +296,48 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         tokens = labelled.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("token")
         return labelled.join(tokens, "token").select("token", "label", *posting_columns)
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        links = stored(_verified(pairs, sets_of(pairs), percent, stored), "links")
+    def links_of(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        if sets is None:
+            sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+        links = stored(_verified(pairs, sets, percent, stored), "links")
         scratch.discard("sets", "holders", "passed")
         return links
 
+    def peeled(sets: DataFrame) -> DataFrame:
+        """set_id, shared: the sets (set_id, label, n, tokens) that tokens of other components may link, and how many they hold."""
+        left = sets.select("set_id", "label", "n", "tokens")
+        before = left.count()
+        while True:
+            each = left.select("set_id", "label", "n", F.explode("tokens").alias("token"))
+            useful = each.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("token")
+            counts = join_by_key(each, useful, ["token"], ["set_id"], "inner", salts=8).groupBy("set_id", "n").agg(F.count(F.lit(1)).alias("shared"))
+            counts = stored(counts.filter(100 * F.col("shared") >= percent * F.col("n")).select("set_id", "shared"), "peeled")
+            now = counts.count()
+            if now == before or not now:
+                return counts
+            left, before = left.join(counts.select("set_id"), "set_id"), now
+
     # one star per list around the same few sets, then, where components remain apart, around a few others
     stars = stored(star_pairs(shared, F.col("set_id")), "stars")
     links = links_of(stars)
     first = stored(open_lists(shared, stored(connected(links, "a", "b"), "roots")), "open")
     others = stored(star_pairs(first, F.xxhash64(F.pmod("token", F.lit(STAR_ORDERS)), "set_id")).join(stars, ["a", "b"], "left_anti"), "stars")
     links, stars = links.unionByName(links_of(others)), stars.unionByName(others)
-    rest = open_lists(first, stored(connected(links, "a", "b"), "roots"))
+    rest = stored(open_lists(first, stored(connected(links, "a", "b"), "roots")), "rest")
+    owned = rest.select("set_id", "label").distinct()
+    wide = stored(sets_of(owned.select("set_id")).join(owned, "set_id"), "open-sets")
+    rest = stored(rest.join(peeled(wide), "set_id"), "rest")
+    posting = F.struct(*posting_columns, "shared")
     crossing = rest.select("token", F.col("label").alias("l"), posting.alias("x")).join(
         rest.select("token", F.col("label").alias("h"), posting.alias("y")), "token"
     )
-    crossing = crossing.filter("l < h").filter(_possible(F.col("x"), F.col("y"), percent))
+    both = F.col("x.n").cast("long") + F.col("y.n")
+    enough = (100 + percent) * F.least("x.shared", "y.shared") >= percent * both
+    crossing = crossing.filter("l < h").filter(_possible(F.col("x"), F.col("y"), percent) & enough)
     crossing = crossing.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
     crossing = stored(crossing.join(stars, ["a", "b"], "left_anti"), "crossing")
-    roots = connected(links.unionByName(links_of(crossing)), "a", "b")
-    scratch.discard("postings", "open", "stars", "crossing", "links", "roots")
+    roots = connected(links.unionByName(links_of(crossing, wide.select(*SET_COLUMNS))), "a", "b")
+    scratch.discard("postings", "open", "stars", "crossing", "links", "roots", "rest", "open-sets", "peeled")
 
     classed = members.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "set_id"))
     classed = classed.select("doc_id", "digest", "n", "label")
