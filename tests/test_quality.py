@@ -4,7 +4,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.quality import drift, scoring
+from tidewright.profiling.columns import frequent_values
+from tidewright.quality import drift, runs, scoring
 from tidewright.quality.actions import action_of, row_constraints, split_rows
 from tidewright.quality.spec_checks import date_pairs, implied_checks
 from tidewright.quality.suite import Context, failure_samples, run_staged, run_suite, stage_of, value_of
@@ -208,3 +209,53 @@ def test_run_over_run_default(spark):
     check = Check("row_count_change_within_percent", id="r")
     assert outcome(new, check, context=Context(baseline=old)) == {"r": "failed"}
     assert outcome(old, check, context=Context(baseline=old)) == {"r": "passed"}
+
+
+def test_real_texts_spelled_like_markers_survive(spark):
+    df = spark.createDataFrame([(v,) for v in ["__NULL__"] * 3 + [None] * 2 + ["__OTHER__"] + list("abcd")], "v string")
+    found = {(r.value, r.kind): r.n for r in drift.distribution(df, ["v"], top=3).collect()}
+    assert found == {("__NULL__", "value"): 3, ("__NULL__", "null"): 2, ("__OTHER__", "value"): 1, ("__OTHER__", "other"): 4}
+    facts = drift.distribution_facts(df, ["v"]).first()
+    assert (facts.total_count, facts.distinct_count, facts.null_count) == (10, 6, 2)
+    moved = drift.changed_values(df, df.filter("v is null or v <> '__NULL__'"), ["v"]).collect()
+    assert [(r.change, r.value) for r in moved] == [("removed", "__NULL__")]
+    assert [r.value for r in frequent_values(df).orderBy("rank").collect()][:2] == ["__NULL__", "__OTHER__"]
+
+
+def test_low_cardinality_is_told_exactly(spark):
+    df = spark.range(5000).select(*[(F.col("id") % n).cast("string").alias(f"c{n}") for n in (1, 99, 100, 101, 4000)], F.lit(None).cast("string").alias("empty"))
+    assert drift.low_cardinality_columns(df) == ["c1", "c99", "c100", "empty"]
+    assert drift.low_cardinality_columns(df, most=4000) == [*[f"c{n}" for n in (1, 99, 100, 101, 4000)], "empty"]
+    plan = df.agg(F.theta_sketch_agg("c4000", 8))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
+def test_default_check_and_skipped_ones(spark):
+    df = spark.range(10).select("id")
+    some = Check("column_values_to_not_be_null", "id")
+    assert [c.type for c in runs.with_defaults([some])] == ["row_count_change_within_percent", some.type]
+    assert runs.with_defaults([replace(some, tags=("skip_defaults",))])[0].type == some.type
+    own = Check("expect_row_count_change_within_percent", params={"max_change_percent": 1})
+    assert runs.with_defaults([own]) == [own]
+    skipped = replace(some, severity="skip", id="idle")
+    for before, status in ((spark.range(9), "passed"), (spark.range(2), "failed"), (None, "skipped")):
+        found = {r.check_id: r.status for r in runs.run_checks(df, [some, skipped], Context(baseline=before)).collect()}
+        assert found == {"row_count_change_within_percent": status, some.check_id: "passed", "idle": "skipped"}
+
+
+def test_history_has_its_columns_and_types(spark, tmp_path):
+    checks = [Check("column_values_to_not_be_null", "id", description="key", tags=("k",)), Check(runs.SKIP_DEFAULTS, tags=("skip_defaults",), id="odd")]
+    results = runs.run_checks(spark.range(3).select("id"), checks)
+    rows = runs.history_rows(results, runs.Run("r1", "2024-05-01 10:00:00", "p", "t"), checks)
+    assert rows.schema.names == runs.HISTORY_SCHEMA.names and len(rows.columns) == 28
+    runs.append_history(rows, str(tmp_path / "h"))
+    runs.append_history(rows.withColumns({"run_id": F.lit("r2"), "run_timestamp": F.lit("2024-05-02 10:00:00").cast("timestamp")}), str(tmp_path / "h"))
+    back = runs.read_history(spark, str(tmp_path / "h"), table="t")
+    assert back.schema.simpleString() == runs.HISTORY_SCHEMA.simpleString()
+    assert [r.run_id for r in back.collect()] == ["r2", "r2", "r1", "r1"]
+    assert {r.description for r in back.collect()} == {"key", None} and back.first().total_checks == 2
+    for wrong in (rows.drop("check_id"), rows.withColumn("more", F.lit(1)), rows.withColumn("success", F.lit("yes"))):
+        with pytest.raises(runs.HistoryMismatch):
+            runs.append_history(wrong, str(tmp_path / "h"))
+    with pytest.raises(Exception, match="run_id is NULL"):
+        runs.append_history(rows.withColumn("run_id", F.lit(None).cast("string")), str(tmp_path / "h"))

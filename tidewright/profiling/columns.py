@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidewright.operators.aggregates import facts_in_one_pass
 from tidewright.operators.ranking import sample_rows, top_n
-from tidewright.quality.drift import NULL_VALUE, cells
+from tidewright.quality.drift import cells
 
 # Quantiles of a numeric profile and the accuracy of their sketch.
 QUANTILES = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
@@ -78,6 +78,23 @@ def _groupable(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.ArrayType, T.MapType, T.StructType))
 
 
+def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, fact, value) rows: exact distinct counts of all columns by one scan and one shuffle of their values."""
+    floating = {c: isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) for c in columns}
+    held = [
+        F.struct(
+            F.lit(i).alias("i"),
+            (F.col(f"`{c}`").cast("double") if floating[c] else F.lit(None).cast("double")).alias("number"),
+            (F.lit(None).cast("string") if floating[c] else F.col(f"`{c}`").cast("string")).alias("text"),
+        )
+        for i, c in enumerate(columns)
+    ]
+    cells = df.select(F.inline(F.array(*held))).filter("number is not null or text is not null")
+    counts = cells.groupBy("i", "number", "text").agg(F.lit(1).alias("one")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return counts.select(F.get(names, "i").alias("column_name"), F.lit("distinct_count").alias("fact"), F.col("n").cast("double").alias("value"))
+
+
 def _passes(df: DataFrame, kind: str, facts: dict[str, dict[str, Column]]) -> list[DataFrame]:
     """(column_name, fact, value) rows of one kind, a few columns per aggregation."""
     names = [n for n, found in facts.items() if found]
@@ -102,9 +119,9 @@ def profile_columns(
 ) -> DataFrame:
     """One row per column, in a single action with one aggregation per kind and few columns.
 
-    Sketches are used for distinct counts, quantiles and median lengths. ``exact=True`` counts
-    distinct values by grouping, and takes exact quantiles, whose memory grows with the distinct
-    values of a column.
+    Sketches are used for distinct counts, quantiles and median lengths; distinct floating numbers are
+    always counted. ``exact=True`` counts all distinct values, in one grouping for all columns, and takes
+    exact quantiles, whose memory grows with the distinct values of a column.
     """
     names = list(columns or df.columns)
     col = {n: F.col(f"`{n}`") for n in names}
@@ -113,18 +130,12 @@ def profile_columns(
     parts = _passes(df, "plain", {n: _plain(col[n], dtype[n]) for n in names})
     parts += _passes(df, "moments", {n: _moments(col[n], dtype[n]) for n in names})
     parts += _passes(df, "quantiles", {n: _quantiles(col[n], dtype[n], exact) for n in names})
-    if exact:
-        for n in countable:
-            groups = df.filter(col[n].isNotNull()).select(col[n]).distinct()
-            count = F.count(F.lit(1)).cast("double").alias("value")
-            parts.append(
-                groups.agg(count).select(
-                    F.lit(n).alias("column_name"), F.lit("distinct_count").alias("fact"), "value"
-                )
-            )
-    else:
-        sketched = {n: {"distinct_count": F.approx_count_distinct(col[n])} for n in countable}
-        parts += _passes(df, "distinct", sketched)
+    # a sketch of floating numbers is not what the contract asks for: they are always counted
+    counted = [n for n in countable if exact or isinstance(dtype[n], (T.FloatType, T.DoubleType))]
+    if counted:
+        parts.append(_distinct_counts(df, counted))
+    sketched = {n: {"distinct_count": F.approx_count_distinct(col[n])} for n in countable if n not in counted}
+    parts += _passes(df, "distinct", sketched)
     facts = reduce(lambda a, b: a.unionAll(b), parts)
 
     def fact(name: str) -> Column:
@@ -149,7 +160,7 @@ def profile_columns(
         "row_count",
         "non_null",
         F.coalesce(complete, F.lit(0.0)).alias("completeness"),
-        "distinct_count",
+        F.when(F.col("column_name").isin(*countable), F.coalesce("distinct_count", F.lit(0))).alias("distinct_count"),
         *FACT_TYPES,
     )
 
@@ -157,7 +168,7 @@ def profile_columns(
 def _counted_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return (
         cells(df, columns)
-        .filter(F.col("value") != NULL_VALUE)
+        .filter(F.col("value").isNotNull())
         .groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )

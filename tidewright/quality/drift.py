@@ -52,10 +52,8 @@ def row_count_drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, value) of every cell, NULL spelled out."""
-    cast = df.select(
-        *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_VALUE)).alias(c) for c in columns]
-    )
+    """(column_name, value) of every cell; a NULL stays one, whatever texts the data holds."""
+    cast = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     return cast.unpivot([], list(columns), "column_name", "value")
 
 
@@ -65,7 +63,10 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def top_values(counts: DataFrame, top: int = TOP_VALUES) -> DataFrame:
-    """The most frequent values per column; the rest is kept as one ``__OTHER__`` row."""
+    """The most frequent values per column (kind ``value``, or ``null`` for NULLs); the rest is one row of kind ``other``.
+
+    NULLs show as ``__NULL__`` and the rest as ``__OTHER__``; the kind tells them from texts spelled so.
+    """
     order = [F.col("n").desc(), F.col("value").asc()]
     kept = top_n(counts, ["column_name"], order, top)
     totals = counts.groupBy("column_name").agg(F.sum("n").alias("total"))
@@ -79,9 +80,12 @@ def top_values(counts: DataFrame, top: int = TOP_VALUES) -> DataFrame:
             "column_name",
             F.lit(OTHER_VALUE).alias("value"),
             (F.col("total") - F.col("kept")).alias("n"),
+            F.lit("other").alias("kind"),
         )
     )
-    return kept.select("column_name", "value", "n").unionAll(rest)
+    kind = F.when(F.col("value").isNull(), "null").otherwise("value")
+    shown = F.coalesce("value", F.lit(NULL_VALUE))
+    return kept.select("column_name", shown.alias("value"), "n", kind.alias("kind")).unionAll(rest)
 
 
 def distribution(df: DataFrame, columns: Sequence[str], top: int = TOP_VALUES) -> DataFrame:
@@ -90,7 +94,7 @@ def distribution(df: DataFrame, columns: Sequence[str], top: int = TOP_VALUES) -
 
 def count_facts(counts: DataFrame) -> DataFrame:
     """Per column: rows, distinct non-null values and NULLs."""
-    is_null = F.col("value") == NULL_VALUE
+    is_null = F.col("value").isNull()
     return counts.groupBy("column_name").agg(
         F.sum("n").alias("total_count"),
         F.count_if(~is_null).alias("distinct_count"),
@@ -123,15 +127,17 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def low_cardinality_columns(df: DataFrame, most: int = 100) -> list[str]:
-    """Text columns with few distinct values, counted exactly (one row per column collected)."""
+    """Text columns with at most ``most`` distinct values, told exactly by one aggregate of bounded sketches.
+
+    A theta sketch keeps the smallest hashes of a column and is exact until it is full, so each column sends some
+    ``2 * most`` hashes per task at most, however many values it has.
+    """
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not text:
         return []
-    values = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for c in text])
-    distinct = df.select(F.inline(values)).filter("value is not null").distinct()
-    wide = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-    excluded = {r["name"] for r in wide.collect()}
-    return [c for c in text if c not in excluded]
+    size = max(8, (2 * most).bit_length())
+    counts = df.agg(F.array(*[F.theta_sketch_estimate(F.theta_sketch_agg(F.col(f"`{c}`"), size)) for c in text])).first()[0]
+    return [c for c, n in zip(text, counts, strict=True) if n <= most]
 
 
 def record_hash(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -198,7 +204,7 @@ def distribution_drift(
     m = (p + q) / 2
     term = p * F.ln(p / m) + q * F.ln(q / m)
     divergence = F.sum(term) / 2 / math.log(2)
-    not_null = F.col("value") != NULL_VALUE
+    not_null = F.col("value").isNotNull()
     return joined.groupBy("column_name").agg(
         F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), divergence)), 6).alias("js_divergence"),
         F.count_if((F.col("b") > 0) & not_null).alias("previous_distinct"),
@@ -212,7 +218,7 @@ def changed_values(
     baseline: DataFrame, current: DataFrame, columns: Sequence[str], n: int = 10
 ) -> DataFrame:
     """The most frequent new and removed values per column, at most ``n`` of each."""
-    pairs = paired_counts(baseline, current, columns).filter(F.col("value") != NULL_VALUE)
+    pairs = paired_counts(baseline, current, columns).filter(F.col("value").isNotNull())
     gone = pairs.filter((F.col("b") == 0) | (F.col("c") == 0)).select(
         "column_name",
         F.when(F.col("b") == 0, "new").otherwise("removed").alias("change"),

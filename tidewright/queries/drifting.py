@@ -1,11 +1,18 @@
 """Drift between two states of a table."""
 
+from dataclasses import replace
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators.sets import value_difference
+from tidewright.profiling.columns import frequent_values
 from tidewright.quality import drift
-from tidewright.quality.suite import Context, run_suite
+from tidewright.quality.runs import Run, append_history, history_rows, read_history, run_checks
+from tidewright.quality.suite import PENDING, Context, run_suite
 from tidewright.queries import query
+from tidewright.session import scratch_path
 from tidewright.specs import Check
 
 HALF = "timestamp '2024-01-16'"
@@ -167,7 +174,7 @@ def drift_records(t):
          group by column_name""",
 )
 def baseline_capture(t):
-    return drift.distribution(t.customer, ["c_mktsegment", "c_name"])
+    return drift.distribution(t.customer, ["c_mktsegment", "c_name"]).select("column_name", "value", "n")
 
 
 @query(
@@ -195,6 +202,45 @@ def baseline_numeric(t):
     return stats.withColumns({c: F.round(c, 4) for c in ("mean", "stddev")})
 
 
+def _spelled(t):
+    """Events whose types are the texts that stand for NULL and for the rest, beside real NULLs."""
+    spelled = (
+        F.when(F.col("event_type") == "click", drift.NULL_VALUE)
+        .when(F.col("event_type") == "signup", drift.OTHER_VALUE)
+        .when(F.col("event_type") != "error", F.col("event_type"))
+    )
+    return t.events.withColumn("event_type", spelled)
+
+
+SPELLED_SQL = """s as (select *, case event_type when 'click' then '__NULL__' when 'signup' then '__OTHER__' when 'error' then null
+     else event_type end as spelled from events)"""
+
+
+@query(
+    "baseline_marker_texts",
+    "AGG-11 QB-01",
+    f"""with {SPELLED_SQL}, c as (
+         select 'event_type' as column_name, spelled as v, count(*) as n from s group by 2
+         union all select 'user_id', user_id::varchar, count(*) from s group by 2),
+       r as (select *, row_number() over (partition by column_name order by n desc, v nulls first) as rn from c)
+       select column_name, coalesce(v, '__NULL__') as value, n, case when v is null then 'null' else 'value' end as kind from r where rn <= 100
+       union all select column_name, '__OTHER__', sum(n)::bigint, 'other' from r where rn > 100 group by 1""",
+)
+def baseline_marker_texts(t):
+    return drift.distribution(_spelled(t), ["event_type", "user_id"])
+
+
+@query(
+    "profile_marker_texts",
+    "TOP-01",
+    f"""with {SPELLED_SQL}, c as (select spelled as v, count(*) as n from s where spelled is not null group by 1)
+       select 'event_type' as column_name, v as value, n as row_count, round(n / (select sum(n) from c), 4) as fraction,
+              row_number() over (order by n desc, v) as rank from c""",
+)
+def profile_marker_texts(t):
+    return frequent_values(_spelled(t), ["event_type"])
+
+
 @query("baseline_checksums", "QB-01")
 def baseline_checksums(t):
     return drift.record_checksums(t.customer, ["c_custkey"])
@@ -230,3 +276,74 @@ def dq_run_over_run(t):
         ),
     ]
     return run_suite(new, checks, Context(baseline=old)).select("check_id", "status")
+
+
+_CHANGE = "(select (q - p) * 100.0 / p from (select (select count(*) from o) p, (select count(*) from n) q))"
+
+
+@query(
+    "quality_run_defaults",
+    "QB-06",
+    f"""with {HALVES_SQL}, grown as (select {_CHANGE} as change),
+         doubled as (select (select count(*) from events) * 100.0 / (select count(*) from o) - 100 as change),
+         filled as (select case when count(*) = count(event_type) then 'passed' else 'failed' end as status from n)
+       select 'default' as run, 'row_count_change_within_percent' as check_id, case when abs(change) <= 20 then 'passed' else 'failed' end as status from grown
+       union all select 'default', 'types', status from filled
+       union all select 'default', 'left out', 'skipped'
+       union all select 'default', 'later', 'pending'
+       union all select 'whole', 'row_count_change_within_percent', case when abs(change) <= 20 then 'passed' else 'failed' end from doubled
+       union all select 'whole', 'types', case when count(*) = count(event_type) then 'passed' else 'failed' end from events
+       union all select 'none', 'types', status from filled
+       union all select 'own', 'rows', case when change >= -1 then 'passed' else 'failed' end from grown
+       union all select 'first', 'row_count_change_within_percent', 'skipped'
+       union all select 'first', 'types', status from filled""",
+)
+def quality_run_defaults(t):
+    """The default check beside configured ones, with more rows, switched off, configured, and without an earlier run."""
+    old, new = halves(t)
+    filled = Check("column_values_to_not_be_null", "event_type", id="types")
+    idle = [Check("column_values_to_be_unique", "event_id", severity="skip", id="left out"), Check(PENDING, id="later")]
+    own = Check("expect_row_count_change_within_percent", params={"direction": "decrease", "max_change_percent": 1.0}, id="rows")
+    runs = {
+        "default": run_checks(new, [filled, *idle], Context(baseline=old)),
+        "whole": run_checks(t.events, [filled], Context(baseline=old)),
+        "none": run_checks(new, [replace(filled, tags=("skip_defaults",))], Context(baseline=old)),
+        "own": run_checks(new, [own], Context(baseline=old)),
+        "first": run_checks(new, [filled]),
+    }
+    parts = [rows.select(F.lit(name).alias("run"), "check_id", "status") for name, rows in runs.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query(
+    "quality_run_history",
+    "SNK-08 QB-08",
+    """with r as (
+         select 1 as i, count(*) as n, count(*) filter (where l_quantity > 45) as bad, max(l_tax) as tax from lineitem
+         union all select 2, count(*), count(*) filter (where l_quantity > 40), max(l_tax) from lineitem),
+       c as (
+         select i, 'quantity' as check_id, 'expect_column_values_to_be_between' as expectation_type, 'l_quantity' as column_name, bad = 0 as success,
+                'critical' as severity, true as blocking, bad as unexpected_count, round(bad * 100.0 / n, 6) as unexpected_percent, '["load"]' as tags, n from r
+         union all select i, 'tax', 'expect_column_max_to_be_between', 'l_tax', tax <= 1, 'warning', false, null, null, '[]', n from r)
+       select 'run-' || i as run_id, '2024-03-0' || i as run_date, check_id, expectation_type, column_name, success, severity, blocking, unexpected_count,
+              unexpected_percent, tags, 2 as total_checks, (count(*) filter (where success) over (partition by i))::int as passed_checks,
+              bool_or(blocking and not success) over (partition by i) as should_block, i = 2 as incremental_mode, n as validated_records, 28 as n_columns
+       from c""",
+)
+def quality_run_history(t):
+    """Two runs of a suite written to the typed history, a day each, and read back."""
+    path = scratch_path(t.spark, "quality-history")
+    for i, most in ((1, 45), (2, 40)):
+        checks = [
+            Check("column_values_to_be_between", "l_quantity", {"max_value": most}, severity="critical", blocking=True, id="quantity",
+                  tags=("load",), description="bounded"),
+            Check("column_max_to_be_between", "l_tax", {"max_value": 1}, id="tax"),
+            Check("column_values_to_be_unique", "l_orderkey", severity="skip", id="left out"),
+        ]
+        run = Run(f"run-{i}", f"2024-03-0{i} 06:00:00", "daily", "lineitem", since="2024-01-01 00:00:00" if i == 2 else None,
+                  validated_records=t.lineitem.count())
+        append_history(history_rows(run_checks(t.lineitem, checks), run, checks), path)
+    found = read_history(t.spark, path, table="lineitem", pipeline="daily", from_date="2024-03-01")
+    return found.select(
+        "run_id", "run_date", "check_id", "expectation_type", "column_name", "success", "severity", "blocking", "unexpected_count", "unexpected_percent",
+        "tags", "total_checks", "passed_checks", "should_block", "incremental_mode", "validated_records", F.lit(len(found.columns)).alias("n_columns"))

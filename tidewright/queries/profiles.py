@@ -188,6 +188,20 @@ def key_candidates_query(t):
     return found.select("columns", "width", "distinct_count", "verified", "is_unique", "minimal")
 
 
+@query(
+    "profile_float_distinct",
+    "AGG-05",
+    " union all ".join(
+        f"select '{c}' as column_name, count(distinct {c}) as distinct_count, count(*) as row_count from lineitem"
+        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    ),
+)
+def profile_float_distinct(t):
+    """Floating columns of a sketched profile: their distinct values are counted."""
+    found = pc.profile_columns(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return found.select("column_name", "distinct_count", "row_count")
+
+
 LINEITEM = (
     "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
 ).split()

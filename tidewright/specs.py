@@ -141,6 +141,8 @@ class Check:
     mostly: float = 1.0
     id: str | None = None
     position: int = 0  # place in the suite that runs it
+    tags: tuple[str, ...] = ()
+    description: str | None = None
 
     @property
     def check_id(self) -> str:
