@@ -231,3 +231,31 @@ def test_edges_of_lists_both_kinds(spark, rows):
     assert rows(found, "src", "dst", "kind") == [
         ("parent.id", "child.fk", "foreign_key"), ("raw.x", "gold.y", "derivation"),
     ]
+
+
+def test_lineage_rounds_write_the_result_once(spark, monkeypatch):
+    """A chain with a branch, a cycle and a tail behind it: rows over all rounds are the result's, each once."""
+    added = []
+    plain = lineage._Rounds.add
+    monkeypatch.setattr(lineage._Rounds, "add", lambda self, rows, k: added.append((self.number, plain(self, rows, k))) or added[-1][1])
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(12)] + [("n03", "b"), ("b", "n09"), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "n12")]
+    edges = spark.createDataFrame([*chain, chain[0], (None, "n00")], "src string, dst string")
+    expected = {}
+    for start in {s for s, _ in chain}:
+        near, depth = {start}, 0
+        while near:
+            depth += 1
+            near = {d for s, d in chain if s in near and (start, d) not in expected}
+            expected |= {(start, d): depth for d in near}
+    found = lineage.closure(edges)
+    assert {(r.ancestor, r.descendant): r.depth for r in found.collect()} == expected
+    assert sum(df.count() for _, df in added) == len(expected) == found.count()
+    added.clear()
+    levels = {r.node: r.level for r in lineage.levels(edges).collect()}
+    assert levels["n00"] == 0 and levels["n09"] == 9 and levels["b"] == 4 and levels["n11"] == 11
+    assert {n for n, v in levels.items() if v is None} == {"x", "y", "z", "n12"}
+    assert sum(df.count() for name, df in added if name == "level") == 13
+    added.clear()
+    hit = lineage.impacted(edges, spark.createDataFrame([("y",)], "node string"), spark.createDataFrame([("z",)], "node string"))
+    assert {r.node for r in hit.collect()} == {"x", "y", "n12"} and sum(df.count() for _, df in added) == 4
+    assert lineage.closure(edges.filter("false")).count() == 0 and lineage.levels(edges.filter("false")).count() == 0

@@ -1,7 +1,8 @@
 """Lineage as an edge list: closure, order, cycles, impact and connected groups.
 
-The loops run once per level of the graph, not per node. Each round is one Spark job whose result
-is checkpointed in the shared folder, so a lost executor costs one round, not the whole loop.
+The loops run once per level of the graph, not per node, and only what a round found new is joined in the next. Each
+round is written to a folder of its own in the shared folder and never again: what is written is the result, once, and
+a lost executor costs one round, not the whole loop.
 """
 
 from __future__ import annotations
@@ -11,7 +12,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.session import cut_lineage
+from tidewright.session import cut_lineage, delete_path, scratch_path
+
+
+class _Rounds:
+    """Rows found round by round: ``add`` writes a round's, ``found`` reads all with their round's number."""
+
+    def __init__(self, spark: SparkSession, label: str, number: str):
+        self.spark, self.path, self.number = spark, scratch_path(spark, label), number
+
+    def add(self, rows: DataFrame, number: int) -> DataFrame:
+        folder = f"{self.path}/{self.number}={number}"
+        rows.write.parquet(folder)
+        return self.spark.read.parquet(folder)
+
+    def found(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
 
 
 def edges_of(
@@ -30,57 +46,55 @@ def edges_of(
 
 
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """All (ancestor, descendant) pairs with the length of the shortest path between them."""
+    """All (ancestor, descendant) pairs with the length of the shortest path between them.
+
+    The pairs of all depths are what is asked, so this is for edges between tables or columns.
+    """
     step = cut_lineage(
         edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
     )
-    frontier = step.select(F.col("src").alias("ancestor"), F.col("dst").alias("descendant"))
-    reached = cut_lineage(frontier.withColumn("depth", F.lit(1)))
-    frontier, depth = reached, 1
-    while max_depth is None or depth < max_depth:
+    rounds = _Rounds(edges.sparkSession, "closure", "depth")
+    frontier = rounds.add(step.select(F.col("src").alias("ancestor"), F.col("dst").alias("descendant")), 1)
+    depth = 1
+    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
         onward = (
             frontier.join(step, F.col("descendant") == F.col("src"))
             .select("ancestor", F.col("dst").alias("descendant"))
             .distinct()
         )
-        fresh = onward.join(reached, ["ancestor", "descendant"], "left_anti")
-        frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        reached = cut_lineage(reached.unionAll(frontier))
-    return reached
+        frontier = rounds.add(onward.join(rounds.found(), ["ancestor", "descendant"], "left_anti"), depth)
+    return rounds.found()
 
 
 def levels(edges: DataFrame) -> DataFrame:
     """Nodes with the round in which all of their inputs were ready; NULL marks a cycle.
 
-    Nodes on a cycle, and everything behind one, never become ready.
+    Nodes on a cycle, and everything behind one, never become ready. An edge counts once, in the round after its
+    source became ready; a node is ready when as many edges have counted as lead to it.
     """
-    open_edges = cut_lineage(
+    spark = edges.sparkSession
+    step = cut_lineage(
         edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
     )
-    nodes = cut_lineage(
-        open_edges.select(F.col("src").alias("node"))
-        .unionAll(open_edges.select(F.col("dst").alias("node")))
-        .distinct()
+    inputs = cut_lineage(
+        step.select(F.col("src").alias("node"), F.lit(0).alias("n"))
+        .unionAll(step.select(F.col("dst").alias("node"), F.lit(1).alias("n")))
+        .groupBy("node").agg(F.sum("n").alias("inputs"))
     )
-    done: DataFrame | None = None
+    done, counted = _Rounds(spark, "levels", "level"), _Rounds(spark, "ready-inputs", "round")
+    ready = done.add(inputs.filter("inputs = 0").select("node"), 0)
     level = 0
-    while True:
-        waiting = open_edges.select(F.col("dst").alias("node")).distinct()
-        ready = cut_lineage(
-            nodes.join(waiting, "node", "left_anti").withColumn("level", F.lit(level))
-        )
-        if ready.isEmpty():
-            break
-        done = ready if done is None else cut_lineage(done.unionAll(ready))
-        nodes = cut_lineage(nodes.join(ready, "node", "left_anti"))
-        settled = ready.select(F.col("node").alias("src"))
-        open_edges = cut_lineage(open_edges.join(settled, "src", "left_anti"))
+    while not ready.isEmpty():
         level += 1
-    stuck = nodes.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionAll(stuck)
+        reached = step.join(ready, F.col("src") == F.col("node")).groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+        fresh = counted.add(reached.select(F.col("dst").alias("node"), "n"), level).select("node")
+        sums = counted.found().join(fresh, "node", "left_semi").groupBy("node").agg(F.sum("n").alias("n"))
+        ready = done.add(sums.join(inputs, "node").filter("n = inputs").select("node"), level)
+    found = done.found().select("node", "level")
+    stuck = cut_lineage(inputs.select("node").join(found, "node", "left_anti").withColumn("level", F.lit(None).cast("int")))
+    delete_path(spark, counted.path)
+    return found.unionAll(stuck)
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -103,18 +117,18 @@ def impacted(edges: DataFrame, changed: DataFrame, removed: DataFrame | None = N
     Only the reachable part is expanded: the frontier starts from the changed nodes.
     """
     step = cut_lineage(edges.select("src", "dst").distinct())
-    seen = cut_lineage(changed.select(F.col(changed.columns[0]).alias("node")).distinct())
-    frontier = seen
-    while True:
+    rounds = _Rounds(edges.sparkSession, "impact", "round")
+    frontier = rounds.add(changed.select(F.col(changed.columns[0]).alias("node")).distinct(), 0)
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
         onward = (
             frontier.join(step, F.col("node") == F.col("src"))
             .select(F.col("dst").alias("node"))
             .distinct()
         )
-        frontier = cut_lineage(onward.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = cut_lineage(seen.unionAll(frontier))
+        frontier = rounds.add(onward.join(rounds.found(), "node", "left_anti"), depth)
+    seen = rounds.found().select("node")
     if removed is not None:
         gone = removed.select(F.col(removed.columns[0]).alias("node"))
         seen = seen.join(gone, "node", "left_anti")

@@ -133,6 +133,31 @@ def lineage_closure(t):
     return lineage.closure(ownership(t))
 
 
+@query(
+    "lineage_column_edges",
+    "LIN-01 LIN-02",
+    """with recursive d(src, dst, kind) as (
+         select 'customer.' || c_mktsegment, 'gold.' || c_mktsegment || '_' || c_nationkey, 'derivation' from customer group by all
+         union all select 'nation.' || n_nationkey, 'customer.' || c_mktsegment, 'foreign_key'
+           from customer join nation on c_nationkey = n_nationkey group by all),
+       p(ancestor, descendant, depth) as (
+         select src, dst, 1 from d union all select p.ancestor, d.dst, p.depth + 1 from p join d on p.descendant = d.src)
+       select ancestor, descendant, min(depth) as depth, any_value(kinds) as kinds from p,
+         (select string_agg(kind || ':' || n, ',' order by kind) as kinds from (select kind, count(*) as n from d group by 1))
+       group by 1, 2""",
+)
+def lineage_column_edges(t):
+    """Edges from derivations and foreign keys that the rows name, and their closure."""
+    pairs = t.customer.select("c_mktsegment", F.col("c_nationkey").cast("string").alias("nation")).distinct().collect()
+    derived = sorted(("customer", r[0], "gold", f"{r[0]}_{r[1]}") for r in pairs)
+    keys = sorted(("customer", r[0], "nation", r[1]) for r in pairs)
+    edges = lineage.edges_of(t.spark, derived, keys)
+    kinds = edges.groupBy("kind").count().agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", "count"))), ",").alias("kinds"))
+    # one row on the right
+    return lineage.closure(edges).crossJoin(F.broadcast(kinds)).select("ancestor", "descendant", "depth", "kinds")
+
+
 @query(
     "lineage_levels",
     "LIN-02",
