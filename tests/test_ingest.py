@@ -1,8 +1,10 @@
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.operators import ranking
 from tidewright.operators.ranking import latest, merge_winners
 from tidewright.plans.ingest import (
     apply_batches,
@@ -110,8 +112,10 @@ def test_all_blank_and_all_garbage_rows_stay(spark, rows):
     assert rows(out) == [("B", None, None), ("G", None, None)]
 
 
-def test_merge_matches_brute_force(spark):
-    """Several timestamps, many ties, one key with a third of the rows."""
+@pytest.mark.parametrize("subsets", [4, 2])
+def test_merge_matches_brute_force(spark, monkeypatch, subsets):
+    """Several timestamps, many ties, one key with a third of the rows; by subsets, and by salted maxima."""
+    monkeypatch.setattr(ranking, "SUBSETS_UP_TO", subsets)
     data = [
         ("hot" if i % 3 == 0 else f"k{i % 7}", i % 4, i, (i * 7) % 5, None if i % 11 == 0 else (i * 3) % 4,
          (i * i) % 6)
@@ -129,5 +133,18 @@ def test_merge_matches_brute_force(spark):
         ]
         want[key] = min(ranked)
     assert {r.k: (-r.merge_score, r.src, r.n) for r in won.collect()} == want
-    plan = won._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan
+    plan = won._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Window" not in plan and "partial_max" in plan
+    # rows meet their key's facts by (key, source, row), or by (key, salt): a hot key is many join keys
+    joins = re.findall(r"Join \[(.*?)\], \[", plan)
+    assert len(joins) == (1 if subsets == 4 else 2) and all("src" in j or "pmod(xxhash64" in j for j in joins)
+
+
+def test_last_batch_is_one_ranking(spark, rows):
+    """Older and newer rows alike go, all rows of a key in the batch come, rows without a whole key stay."""
+    target = spark.createDataFrame([("a", 1, 9), ("a", 1, 8), ("b", 1, 7), (None, 1, 6), ("c", None, 5)], "k string, l int, v int")
+    batch = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), (None, 1, 3), ("d", 1, 4)], "k string, l int, v int")
+    out = upsert_last_batch(target, batch, ["k", "l"])
+    assert rows(out, "v") == [(str(v),) for v in (1, 2, 3, 4, 5, 6, 7)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Partial" in plan

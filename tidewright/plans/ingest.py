@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.casts import cast_table
@@ -30,12 +30,17 @@ def typed_batch(raw: DataFrame, spec: TableDef, native: bool | None = None) -> D
 
 
 def upsert_last_batch(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The batch replaces target rows with the same key, whatever their age."""
-    incoming = batch.select(*[F.col(k).alias(f"_tw_{k}") for k in keys])
-    kept = target.join(
-        incoming, [F.col(k) == F.col(f"_tw_{k}") for k in keys], "left_anti"
-    )
-    return kept.unionByName(batch)
+    """The batch replaces target rows with the same key, whatever their age; all rows of the batch come in.
+
+    Both sides are read once and resolved by one ranking per key, whose limit lies below the shuffle. Rows with a NULL in
+    their key replace nothing and are not replaced.
+    """
+    sides = [df.withColumn("_tw_side", F.lit(i)) for i, df in enumerate((target, batch))]
+    rows = sides[0].unionByName(sides[1])
+    keyless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    own = F.when(keyless, F.col("_tw_side"))
+    newest = F.rank().over(Window.partitionBy(*keys, own).orderBy(F.col("_tw_side").desc()))
+    return rows.withColumn("_tw_rank", newest).filter("_tw_rank = 1").drop("_tw_rank", "_tw_side")
 
 
 def upsert_newest(
