@@ -4,7 +4,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.profiling.columns import frequent_values
+from tidewright.profiling.columns import frequent_values, profile_columns
 from tidewright.quality import drift, runs, scoring
 from tidewright.quality.actions import action_of, row_constraints, split_rows
 from tidewright.quality.spec_checks import date_pairs, implied_checks
@@ -230,6 +230,54 @@ def test_low_cardinality_is_told_exactly(spark):
     assert "hashpartitioning" not in plan
 
 
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("FileScan")
+
+
+def test_scans_do_not_grow_with_the_suite(spark, tmp_path):
+    """Ten checks and over four hundred of all shared kinds: three scans, and the same verdicts."""
+    names = [f"c{i}" for i in range(40)]
+    spark.range(2000).select(*[(F.col("id") % (i + 3)).alias(c) for i, c in enumerate(names)]).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+
+    def suite(columns):
+        found = []
+        for c in columns:
+            found += [
+                Check("column_values_to_not_be_null", c), Check("column_values_to_be_between", c, {"min_value": 0, "max_value": 20}),
+                Check("column_values_to_be_in_set", c, {"value_set": list(range(10))}, mostly=0.2), Check("column_max_to_be_between", c, {"max_value": 30}),
+                Check("column_mean_to_be_between", c, {"min_value": 1}), Check("column_stdev_to_be_between", c, {"max_value": 99}),
+                Check("column_median_to_be_between", c, {"max_value": 99}), Check("column_values_to_be_unique", c),
+                Check("column_unique_value_count_to_be_between", c, {"max_value": 25}),
+                Check("column_most_common_value_to_be_in_set", c, {"value_set": [0, 1]}, where=f"{c} < 2"),
+            ]
+        pairs = zip(columns, columns[1:])
+        return found + [Check("compound_columns_to_be_unique", params={"column_list": [a, b]}, id=f"{a}+{b}") for a, b in pairs]
+
+    few, many = run_suite(df, suite(names[:1])), run_suite(df, suite(names))
+    assert scans(few) == scans(many) == 3
+    found = {r.check_id: r.status for r in many.collect()}
+    assert len(found) == 439 and all(found[r.check_id] == r.status for r in few.collect())
+    for i, c in enumerate(names):
+        assert found[f"column_values_to_be_unique:{c}"] == "failed" and found[f"column_most_common_value_to_be_in_set:{c}"] == "passed"
+        assert found[f"column_values_to_be_between:{c}"] == ("passed" if i + 3 <= 21 else "failed")
+        assert found[f"column_unique_value_count_to_be_between:{c}"] == ("passed" if i + 3 <= 25 else "failed")
+        if i:
+            n = math.lcm(i + 2, i + 3)
+            assert found[f"c{i - 1}+{c}"] == ("passed" if n >= 2000 else "failed")
+    assert scans(profile_columns(df.select(names[:2]))) == scans(profile_columns(df)) == 2
+    assert scans(profile_columns(df.select(*[F.col(c).cast("double") for c in names]))) == 3
+
+
+def test_groups_tell_missing_parts_apart(spark):
+    df = spark.createDataFrame([("x", None), (None, "x"), (None, None), (None, None), ("y", "z"), ("y", "z")], "a string, b string")
+    def unexpected(how):
+        check = Check("compound_columns_to_be_unique", params={"column_list": ["a", "b"], "ignore_row_if": how})
+        row = run_suite(df, [check]).first()
+        return row.element_count, row.unexpected_count
+    assert unexpected("never") == (6, 4) and unexpected("all_values_are_missing") == (4, 2) and unexpected("any_value_is_missing") == (2, 2)
+
+
 def test_default_check_and_skipped_ones(spark):
     df = spark.range(10).select("id")
     some = Check("column_values_to_not_be_null", "id")

@@ -10,23 +10,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# beyond some dozens of aggregates the generated code grows too large to be compiled well
-EXPRESSIONS_PER_PASS = 24
+def facts_in_one_pass(df: DataFrame, rows: Sequence[Column]) -> DataFrame:
+    """Aggregate structs as rows, by a single aggregation over ``df`` however many they are.
 
-
-def facts_in_one_pass(
-    df: DataFrame, rows: Sequence[Column], per_pass: int = EXPRESSIONS_PER_PASS
-) -> DataFrame:
-    """Aggregate structs as rows: one aggregation over ``df`` per ``per_pass`` of them.
-
-    The split keeps the generated code of each aggregation small; every pass reads only the
-    columns its own expressions need, and all passes belong to the same action.
+    Code generated for very many aggregates is too long to be compiled well; sessions should set
+    ``spark.sql.codegen.hugeMethodLimit`` to 8000, so that Spark takes its split form of such code instead.
     """
-    parts = [
-        df.agg(F.array(*rows[i : i + per_pass]).alias("r")).select(F.inline("r"))
-        for i in range(0, len(rows), per_pass)
-    ]
-    return reduce(lambda a, b: a.unionAll(b), parts)
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 @dataclass(frozen=True)

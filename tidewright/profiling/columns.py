@@ -1,4 +1,4 @@
-"""Column profiles in two passes: one aggregate for statistics, one grouped pass for values."""
+"""Column profiles in a fixed number of passes: plain statistics, sketches, and counted values."""
 
 from __future__ import annotations
 
@@ -24,9 +24,6 @@ def text_columns(schema: T.StructType) -> list[str]:
     return [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-# Facts of a column by the kind of aggregation that finds them. A kind is a pass of its own: simple
-# sums and extremes compile to tight code, which sketches in the same aggregation would prevent.
-COLUMNS_PER_PASS = {"plain": 4, "moments": 4, "quantiles": 4, "distinct": 16}
 FACT_TYPES = {
     **dict.fromkeys(
         ["minimum", "maximum", "mean", "stddev", "total", "skewness", "kurtosis", *QUANTILES],
@@ -95,29 +92,20 @@ def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.select(F.get(names, "i").alias("column_name"), F.lit("distinct_count").alias("fact"), F.col("n").cast("double").alias("value"))
 
 
-def _passes(df: DataFrame, kind: str, facts: dict[str, dict[str, Column]]) -> list[DataFrame]:
-    """(column_name, fact, value) rows of one kind, a few columns per aggregation."""
-    names = [n for n, found in facts.items() if found]
-    size = COLUMNS_PER_PASS[kind]
-    out = []
-    for i in range(0, len(names), size):
-        rows = [
-            F.struct(
-                F.lit(n).alias("column_name"),
-                F.lit(fact).alias("fact"),
-                value.cast("double").alias("value"),
-            )
-            for n in names[i : i + size]
-            for fact, value in facts[n].items()
-        ]
-        out.append(facts_in_one_pass(df, rows, len(rows)))
-    return out
+def _facts(df: DataFrame, facts: dict[str, dict[str, Column]]) -> list[DataFrame]:
+    """(column_name, fact, value) rows of all columns, by one aggregation."""
+    rows = [
+        F.struct(F.lit(n).alias("column_name"), F.lit(fact).alias("fact"), value.cast("double").alias("value"))
+        for n, found in facts.items()
+        for fact, value in found.items()
+    ]
+    return [facts_in_one_pass(df, rows)] if rows else []
 
 
 def profile_columns(
     df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False
 ) -> DataFrame:
-    """One row per column, in a single action with one aggregation per kind and few columns.
+    """One row per column, in a single action of three scans at most, whatever the number of columns.
 
     Sketches are used for distinct counts, quantiles and median lengths; distinct floating numbers are
     always counted. ``exact=True`` counts all distinct values, in one grouping for all columns, and takes
@@ -127,15 +115,14 @@ def profile_columns(
     col = {n: F.col(f"`{n}`") for n in names}
     dtype = {n: df.schema[n].dataType for n in names}
     countable = [n for n in names if _groupable(dtype[n])]
-    parts = _passes(df, "plain", {n: _plain(col[n], dtype[n]) for n in names})
-    parts += _passes(df, "moments", {n: _moments(col[n], dtype[n]) for n in names})
-    parts += _passes(df, "quantiles", {n: _quantiles(col[n], dtype[n], exact) for n in names})
+    parts = _facts(df, {n: _plain(col[n], dtype[n]) | _moments(col[n], dtype[n]) for n in names})
     # a sketch of floating numbers is not what the contract asks for: they are always counted
     counted = [n for n in countable if exact or isinstance(dtype[n], (T.FloatType, T.DoubleType))]
     if counted:
         parts.append(_distinct_counts(df, counted))
     sketched = {n: {"distinct_count": F.approx_count_distinct(col[n])} for n in countable if n not in counted}
-    parts += _passes(df, "distinct", sketched)
+    # sketches are not compiled with the plain aggregates, so they get a pass of their own
+    parts += _facts(df, {n: _quantiles(col[n], dtype[n], exact) | sketched.get(n, {}) for n in names})
     facts = reduce(lambda a, b: a.unionAll(b), parts)
 
     def fact(name: str) -> Column:

@@ -1,8 +1,8 @@
 """A whole suite of checks as one DataFrame of results, one row per check.
 
-Row-level and column-statistic checks share aggregations over the table, some dozens to a pass;
-checks that need groups share one aggregation per tuple of columns; the parts are united lazily,
-so a suite is a single Spark action however many checks it holds. A check that cannot be evaluated is reported as
+Row-level and column-statistic checks share one aggregation over the table, those by sketches a second
+one, and checks that need groups one grouping of all their columns' values; only checks of distributions, other
+tables and orders have plans of their own. So a suite is a single Spark action, of three scans, however many checks it holds. A check that cannot be evaluated is reported as
 failed, a pending one as pending; none is dropped.
 """
 
@@ -266,8 +266,9 @@ def _schema_check(check: Check, schema: T.StructType) -> Column | None:
     return None
 
 
-# --- checks on groups: one aggregation per tuple of columns ----------------------------------
+# --- checks on groups: one grouping for all tuples of columns ---------------------------------
 
+TEXT_GROUPS = {"column_most_common_value_to_be_in_set", "column_kl_divergence_to_be_less_than"}
 GROUPED = {
     "column_values_to_be_unique",
     "compound_columns_to_be_unique",
@@ -290,23 +291,37 @@ def _group_columns(check: Check, schema: T.StructType) -> tuple[str, ...]:
     return columns
 
 
-def _group_check(check: Check, columns: tuple[str, ...]) -> Column:
-    """Aggregate over one row per group: the group's columns and its size ``_n``."""
-    kind, n = bare_type(check), F.col("_n")
-    held = [F.col(f"`{c}`") for c in columns]
+def _group_cells(slots: dict[tuple, int]) -> Column:
+    """Structs of a row, one for each (columns, filter, with text) whose filter admits it: the values by their hashes."""
+    cells = []
+    for (columns, where, texts), slot in slots.items():
+        held = [F.col(f"`{c}`") for c in columns]
+        missing = [h.isNull() for h in held]
+        cell = F.struct(
+            F.lit(slot).alias("slot"), F.xxhash64(*held).alias("a"), F.xxhash64(F.lit("b"), *held).alias("b"),
+            reduce(lambda x, y: x | y, missing).alias("some_missing"), reduce(lambda x, y: x & y, missing).alias("all_missing"),
+            # NULLs leave no trace in a hash of several columns
+            F.concat(*[m.cast("int").cast("string") for m in missing]).alias("which"),
+            (held[0].cast("string") if texts else F.lit(None).cast("string")).alias("text"),
+        )
+        cells.append(F.when(F.expr(where), cell) if where else cell)
+    return F.array_compact(F.array(*cells))
+
+
+def _group_check(check: Check, slot: int) -> Column:
+    """Aggregate over one row per group of any slot: its size ``_n``, its value's text, what is missing in it."""
+    kind, n, text = bare_type(check), F.col("_n"), F.col("text")
+    scope = F.col("slot") == slot
     if kind == "compound_columns_to_be_unique":
         ignore = check.params.get("ignore_row_if", "never")
-        missing = [h.isNull() for h in held]
         if ignore == "any_value_is_missing":
-            scope = ~reduce(lambda a, b: a | b, missing)
+            scope = scope & ~F.col("some_missing")
         elif ignore == "all_values_are_missing":
-            scope = ~reduce(lambda a, b: a & b, missing)
-        elif ignore == "never":
-            scope = F.lit(True)
-        else:
+            scope = scope & ~F.col("all_missing")
+        elif ignore != "never":
             raise Unsupported(f"ignore_row_if {ignore!r}")
     else:
-        scope = held[0].isNotNull()
+        scope = scope & ~F.col("some_missing")
     rows = F.coalesce(F.sum(F.when(scope, n)), F.lit(0))
     if kind in ("column_values_to_be_unique", "compound_columns_to_be_unique"):
         repeated = F.coalesce(F.sum(F.when(scope & (n > 1), n)), F.lit(0))
@@ -318,14 +333,13 @@ def _group_check(check: Check, columns: tuple[str, ...]) -> Column:
         share = distinct / F.nullif(rows, F.lit(0))
         return _result(check, _within(share, check), observed=_shown(share))
     if kind == "column_most_common_value_to_be_in_set":
-        text = held[0].cast("string")
         # the smallest value among equally common ones
         least = F.min_by(text, F.when(scope, F.struct(-n, text)))
         wanted = [str(v) for v in param(check, "value_set")]
         return _result(check, F.coalesce(least.isin(*wanted), F.lit(False)), observed=least)
     expected = param(check, "partition")
     pairs = [F.lit(x) for kv in expected.items() for x in (str(kv[0]), float(kv[1]))]
-    weight = F.try_element_at(F.create_map(*pairs), held[0].cast("string"))
+    weight = F.try_element_at(F.create_map(*pairs), text)
     # sum p ln(p/w) over observed values = (sum n ln(n/w)) / N - ln N
     outside = F.count_if(scope & weight.isNull())
     terms = F.sum(F.when(scope, n * F.ln(n / weight)))
@@ -516,7 +530,8 @@ def run_suite(df: DataFrame, checks: Sequence[Check], context: Context | None =
     verdicts: dict[int, tuple[str, str]] = {}
     evaluated: list[tuple[Check, Column]] = []
     literals: list[Column] = []
-    grouped: dict[tuple[tuple[str, ...], str | None], list[Column]] = {}
+    slots: dict[tuple, int] = {}
+    grouped: list[Column] = []
     parts: list[DataFrame] = []
     for check in checks:
         kind = bare_type(check)
@@ -531,7 +546,10 @@ def run_suite(df: DataFrame, checks: Sequence[Check], context: Context | None =
                 columns = _group_columns(check, schema)
                 if check.where:
                     df.filter(F.expr(check.where))
-                grouped.setdefault((columns, check.where), []).append(_group_check(check, columns))
+                place = (columns, check.where, kind in TEXT_GROUPS)
+                result = _group_check(check, slots.get(place, len(slots)))
+                slots.setdefault(place, len(slots))
+                grouped.append(result)
             elif kind in OWN_PLAN:
                 rows = df.filter(F.expr(check.where)) if check.where else df
                 parts.append(OWN_PLAN[kind](rows, check, context))
@@ -551,12 +569,10 @@ def run_suite(df: DataFrame, checks: Sequence[Check], context: Context | None =
     sketched = [r for c, r in evaluated if bare_type(c) in SKETCHES]
     plain = [r for c, r in evaluated if bare_type(c) not in SKETCHES]
     parts += _in_one_pass(df, [*literals, *plain]) + _in_one_pass(df, sketched)
-    for (columns, where), results in grouped.items():
-        rows = df.filter(F.expr(where)) if where else df
-        sizes = rows.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(
-            F.count(F.lit(1)).alias("_n")
-        )
-        parts += _in_one_pass(sizes, results)
+    if grouped:
+        keys = ["slot", "a", "b", "some_missing", "all_missing", "which", "text"]
+        groups = df.select(F.inline(_group_cells(slots))).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        parts += _in_one_pass(groups, grouped)
     found = reduce(lambda a, b: a.unionAll(b), parts) if parts else None
     return _described(df.sparkSession, checks, verdicts, found)
 

@@ -23,6 +23,8 @@ def local_session(cores: int | str = 8, app: str = "tidewright", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # longer methods are never compiled by the JVM; wide aggregates do better as several short ones
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
