@@ -11,8 +11,10 @@ prefixes (the first n - ceil(t * n) + 1 shingles) share a shingle under *every*
    lowest and highest set as partners of all others (a star, not all pairs) where sizes and places still allow the
    similarity. Candidates must also share prefix shingles under the second and third order; what passes is verified on
    whole sets. Links join sets to components.
-4. Lists whose members are in one component are done. The others get a second star around members of their own choice,
-   and in those still open, pairs across components go through the same filters. Nothing is capped, so every component is exact.
+4. Lists whose members are in one component are done. The others get more stars, each round around members of another
+   choice, as long as pairs across components (counted, not kept) far outnumber the sets and rounds still link: most
+   members of a family of near copies come into one component this way, at one pair each. In the lists that are then
+   still open, pairs across components go through the same filters. Nothing is capped, so every component is exact.
 
 Lists of a shingle that the sketch shows as very common are dealt over salts, so no task gets a whole one; the others
 are bounded by their sketch count. Equal sets are one name, so groups of copies cost one member each. Defined results: a null text or one without words has
@@ -26,6 +28,7 @@ Hashes of shingles have 64 bits. Intermediate tables are in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,8 @@ HOT_CLASS = 3
 SALTS = 64
 #: orders of members among which the second round of stars chooses by list
 STAR_ORDERS = 4
+#: stars go on while lists hold more pairs across components than this for each set that was compared so far
+PAIRS_PER_SET = 4
 #: (id, hash) rows that may be broadcast to pick texts; more are joined by a shuffle
 MOST_BROADCAST = 200_000
 ORDERS = (0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127, 0xB492B66FBE98F273)
@@ -264,9 +269,13 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     posting_columns = ("set_id", "n", "place")
     posting = F.struct(*posting_columns)
 
+    made: list[DataFrame] = []
+
     def sets_of(pairs: DataFrame) -> DataFrame:
-        """Whole sets of the paired names, made again from the text of one document each."""
+        """Whole sets of the paired names and of earlier ones, made from the text of one document each, once."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        for earlier in made:
+            wanted = wanted.join(earlier.select("set_id"), "set_id", "left_anti")
         holders = members.join(wanted, "set_id").groupBy("set_id").agg(F.min(F.struct("doc_id", "digest")).alias("held"))
         holders = stored(holders.select("set_id", F.col("held.doc_id").alias("__id"), F.col("held.digest").alias("__digest")), "holders")
         if holders.count() <= MOST_BROADCAST:
@@ -276,7 +285,8 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         sets = texts.select("set_id", "text").mapInArrow(_sets(classes, percent), SETS)
         sets = stored(sets, "sets")
         repeats = sets.groupBy("set_id").count().filter("count > 1").limit(1).count() > 0
-        return stored(sets.dropDuplicates(["set_id"]), "sets") if repeats else sets
+        made.append(stored(sets.dropDuplicates(["set_id"]), "sets") if repeats else sets)
+        return reduce(DataFrame.unionByName, made)
 
     def star_pairs(postings: DataFrame, place) -> DataFrame:
         """Every member of a list with its first and its last one in the order of ``place``."""
@@ -294,24 +304,32 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def links_of(pairs: DataFrame) -> DataFrame:
         links = stored(_verified(pairs, sets_of(pairs), percent, stored), "links")
-        scratch.discard("sets", "holders", "passed")
+        scratch.discard("holders", "passed")
         return links
 
+    def across(postings: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) of members of one list that are in different components, where sizes and places allow a link."""
+        pairs = postings.select("token", F.col("label").alias("l"), posting.alias("x")).join(
+            postings.select("token", F.col("label").alias("h"), posting.alias("y")), "token"
+        )
+        pairs = pairs.filter("l < h").filter(_possible(F.col("x"), F.col("y"), percent))
+        return pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
+
     # one star per list around the same few sets, then, where components remain apart, around a few others
     stars = stored(star_pairs(shared, F.col("set_id")), "stars")
     links = links_of(stars)
-    first = stored(open_lists(shared, stored(connected(links, "a", "b"), "roots")), "open")
-    others = stored(star_pairs(first, F.xxhash64(F.pmod("token", F.lit(STAR_ORDERS)), "set_id")).join(stars, ["a", "b"], "left_anti"), "stars")
-    links, stars = links.unionByName(links_of(others)), stars.unionByName(others)
-    rest = open_lists(first, stored(connected(links, "a", "b"), "roots"))
-    crossing = rest.select("token", F.col("label").alias("l"), posting.alias("x")).join(
-        rest.select("token", F.col("label").alias("h"), posting.alias("y")), "token"
-    )
-    crossing = crossing.filter("l < h").filter(_possible(F.col("x"), F.col("y"), percent))
-    crossing = crossing.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
-    crossing = stored(crossing.join(stars, ["a", "b"], "left_anti"), "crossing")
+    rest = stored(open_lists(shared, stored(connected(links, "a", "b"), "roots")), "open")
+    linked = True
+    while linked and across(rest).count() > PAIRS_PER_SET * sum(m.count() for m in made):
+        order = F.xxhash64(F.pmod("token", F.lit(STAR_ORDERS)), F.lit(len(made)), "set_id")
+        others = stored(star_pairs(rest, order).join(stars, ["a", "b"], "left_anti"), "stars")
+        found = links_of(others)
+        linked = not found.isEmpty()
+        links, stars = links.unionByName(found), stars.unionByName(others)
+        rest = stored(open_lists(rest, stored(connected(links, "a", "b"), "roots")), "open")
+    crossing = stored(across(rest).join(stars, ["a", "b"], "left_anti"), "crossing")
     roots = connected(links.unionByName(links_of(crossing)), "a", "b")
-    scratch.discard("postings", "open", "stars", "crossing", "links", "roots")
+    scratch.discard("postings", "open", "stars", "crossing", "links", "roots", "sets")
 
     classed = members.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "set_id"))
     classed = classed.select("doc_id", "digest", "n", "label")
