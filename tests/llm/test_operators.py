@@ -142,6 +142,26 @@ def test_hot_shingles_are_salted_and_classes_stay_whole(spark, monkeypatch):
     assert {r["component_id"] for r in found.collect()} == {0}
 
 
+def test_star_rounds_keep_every_class(spark, monkeypatch):
+    """Near copies around one text, some too far from all others; rounds of stars, then the rest by pairs."""
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_SET", 2)
+    crossing = []
+    plain = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda p, *a: crossing.append(p.count()) or plain(p, *a))
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 150)]
+    rows = []
+    for i in range(80):
+        words = base.copy()
+        for k in rng.integers(0, 150, rng.integers(0, 7)):
+            words[k] = f"v{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    found = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    expected = plain_classes(rows)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()), key=repr) == expected
+    assert len(crossing) > 2
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = {r["node"]: r["root"] for r in components.connected(edges, "a", "b").collect()}
