@@ -3,8 +3,8 @@
 Vectors are projected to ``dims`` dimensions by a seeded Gaussian (2-stable) matrix: the projected squared distance
 of a point at distance d is d^2 times a chi-square variable of ``dims`` degrees. The projected space is split into
 cells by a kd-tree over a bounded sample; every row is put into its cell, and cells over ``block_rows`` are split
-further by a hash of the id, so a very common vector fills many blocks instead of one. Each block builds its own
-kd-tree of buckets. A query first searches the blocks of the cell it lies in, which bounds its k-th distance, and
+further by a hash of the id. Of equal vectors only those of the k + 1 smallest ids can ever be returned, so no others
+are indexed and a very common vector is as small as any. Each block builds its own kd-tree of buckets. A query first searches the blocks of the cell it lies in, which bounds its k-th distance, and
 then the cells that its stopping radius still reaches. In a block, buckets come in the order of their projected
 distance and their points are verified on the original vectors, until the chi-square test holds: the next bucket lies
 beyond sqrt(chi2.inv(``confidence``)) times the k-th distance found, so a nearer point is left behind with
@@ -12,11 +12,13 @@ probability under 1 - ``confidence`` each.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, have a null id or another length
 than the commonest (the longer one on a tie) take no part; fewer than k candidates are all returned; ties go to the
-smaller id; repeated rows of one id are candidates of their own, and a query never meets rows of its own id; an
-empty table gives an empty table; other columns are left out.
+smaller id; repeated rows of one id are candidates of their own, and a query never meets rows of its own id; of
+several query rows with one id the one with the smallest vector asks; an empty table gives an empty table; other columns are left out.
 
-The sample is the only fit (``sample_rows``, on the driver); all rows are indexed. A task holds one block and a chunk
-of at most ``chunk_rows`` queries; the query set is never broadcast. Results are merged by ranking.
+The sample is the only fit (``sample_rows``, and no more than ``SAMPLE_BYTES``, on the driver); all rows are indexed. A
+task holds one block and a chunk of some ``chunk_rows`` of the queries that visit it: a block is copied once for each
+such chunk, so copies follow the visits and not the table times its queries. The query set is never broadcast. Results
+are merged by ranking.
 """
 
 from __future__ import annotations
@@ -30,9 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import Scratch, join_by_key
+
 DIMS = 8
 CONFIDENCE = 0.999
 SAMPLE_ROWS = 20_000
+SAMPLE_BYTES = 64 << 20
 BLOCK_ROWS = 2048
 CHUNK_ROWS = 512
 BUCKET = 32
@@ -195,6 +200,32 @@ def usable_vectors(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return usable.filter(finite & F.exists("vector", lambda x: x != 0))
 
 
+def returnable(vectors: DataFrame, k: int) -> DataFrame:
+    """The rows that can be in a result: of equal vectors those of the k + 1 smallest ids, each at most k times."""
+    nth = F.row_number().over(Window.partitionBy("vector", "vec_id").orderBy("vec_id"))
+    place = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))
+    rows = vectors.withColumn("nth", nth).filter(F.col("nth") <= k).drop("nth")
+    return rows.withColumn("place", place).filter(F.col("place") <= k + 1).drop("place")
+
+
+def sample_of(vectors: DataFrame, total: int, rows: int, seed: int) -> DataFrame:
+    """The first rows in the order of a hash, so that reruns agree; a cut of the hash keeps most rows from being ranked."""
+    place = F.xxhash64("vec_id", F.lit(seed))
+    share = 2 * rows / total
+    few = vectors if share >= 1 else vectors.filter(place < F.lit(int(share * 2.0**64) - 2**63))
+    return few.select("vector", "vec_id").orderBy(place, "vec_id", "vector").limit(rows).select("vector")
+
+
+def chunks_of(asked: DataFrame, chunk_rows: int) -> DataFrame:
+    """block, chunks: into how many chunks the queries of each asked block fall."""
+    return asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"))
+
+
+def copies_of(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The rows of every asked block, once for each of its chunks."""
+    return blocks.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+
+
 def nearest(
     rows: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding",
     dims: int = DIMS, confidence: float = CONFIDENCE, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS,
@@ -210,8 +241,7 @@ def nearest(
     width, total = widths[0]["width"], widths[0]["n"]
     vectors = vectors.filter(F.size("vector") == width)
     matrix = projection(width, dims, seed)
-    # a bounded sample in the order of a hash, so that reruns agree
-    sample = vectors.select("vector").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id", "vector").limit(sample_rows)
+    sample = sample_of(vectors, total, min(sample_rows, max(1, SAMPLE_BYTES // (8 * width))), seed)
     sampled = np.array([r[0] for r in sample.collect()], np.float64).reshape(-1, width)
     nodes = split_tree(projected(sampled, matrix), min(MOST_CELLS, max(1, math.ceil(total / block_rows))))
     stop = chi_square_quantile(confidence, dims)
@@ -221,18 +251,18 @@ def nearest(
             data = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells_of(nodes, projected(data, matrix)), pa.int32())], names=["vec_id", "vector", "cell"])
 
-    placed = vectors.mapInArrow(locate, "vec_id long, vector array<double>, cell int")
+    scratch = Scratch(spark)
+    cell_rows = "vec_id long, vector array<double>, cell int"
+    placed = scratch.stored(returnable(vectors, k).mapInArrow(locate, cell_rows), "placed")
     # cells over the block size are split by a hash of the id: one row per cell, at most MOST_CELLS
     sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = {c: max(1, math.ceil(n / block_rows)) for c, n in sizes.items()}
     first = dict(zip(parts, np.cumsum([0, *parts.values()]).tolist(), strict=False))
-    n_queries = vectors.filter(is_query).count()
-    chunks = max(1, math.ceil(n_queries / chunk_rows))
     cell_part = F.element_at(F.create_map(*[F.lit(x) for c, n in parts.items() for x in (c, n)]), F.col("cell"))
     cell_first = F.element_at(F.create_map(*[F.lit(int(x)) for c, n in first.items() for x in (c, n)]), F.col("cell"))
     blocks = placed.withColumn("block", (cell_first + F.pmod(F.xxhash64("vec_id", "vector"), cell_part)).cast("int")).select("vec_id", "vector", "block")
-    queries = placed.filter(is_query).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))
-    copies = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    asking = vectors.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    queries = asking.mapInArrow(locate, cell_rows)
 
     def search(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -246,17 +276,21 @@ def nearest(
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
     def visit(asked: DataFrame) -> DataFrame:
-        found = asked.groupBy("block", "chunk").cogroup(copies.groupBy("block", "chunk")).applyInPandas(search, FOUND)
+        chunks = chunks_of(asked, chunk_rows)
+        asked = join_by_key(asked, chunks, ["block"], ["vec_id"], "inner")
+        asked = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).drop("chunks")
+        copies = copies_of(blocks, chunks).groupBy("block", "chunk")
+        found = asked.groupBy("block", "chunk").cogroup(copies).applyInPandas(search, FOUND)
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     home = queries.withColumn("part", F.explode(F.sequence(F.lit(0), cell_part - 1)))
-    home = home.select("vec_id", "vector", "chunk", F.lit(float("inf")).alias("bound"), (cell_first + F.col("part")).cast("int").alias("block"))
-    near = visit(home)
+    home = home.select("vec_id", "vector", F.lit(float("inf")).alias("bound"), (cell_first + F.col("part")).cast("int").alias("block"))
+    near = scratch.stored(visit(home), "near")
     reached = near.groupBy("query_id").agg(F.max("score").alias("bound"), F.count(F.lit(1)).alias("n"))
     bound = F.when(F.col("n") >= k, F.col("bound")).otherwise(F.lit(float("inf")))
     asked = queries.join(reached, queries["vec_id"] == reached["query_id"], "left").select(
-        "vec_id", "vector", "chunk", "cell", F.coalesce(bound, F.lit(float("inf"))).alias("bound")
+        "vec_id", "vector", "cell", F.coalesce(bound, F.lit(float("inf"))).alias("bound")
     )
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,18 +298,18 @@ def nearest(
         for b in batches:
             points = projected(np.asarray(b.column(1).flatten(), np.float64).reshape(-1, width), matrix)
             rows_out, to = [], []
-            for i, (cell, far) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+            for i, (cell, far) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 for c in reach(nodes, points[i], far * math.sqrt(stop) if far < math.inf else math.inf):
                     if c != cell and c in parts:
                         rows_out += [i] * parts[c]
                         to += range(first[c], first[c] + parts[c])
             taken = b.take(pa.array(rows_out, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [taken.column(0), taken.column(1), taken.column(2), taken.column(4), pa.array(to, pa.int32())],
-                names=["vec_id", "vector", "chunk", "bound", "block"],
+                [taken.column(0), taken.column(1), taken.column(3), pa.array(to, pa.int32())],
+                names=["vec_id", "vector", "bound", "block"],
             )
 
-    beyond = visit(asked.mapInArrow(spread, "vec_id long, vector array<double>, chunk int, bound double, block int"))
+    beyond = visit(asked.mapInArrow(spread, "vec_id long, vector array<double>, bound double, block int"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     both = near.select("query_id", "vec_id", "score").unionByName(beyond.select("query_id", "vec_id", "score"))
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
