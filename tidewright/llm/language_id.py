@@ -2,10 +2,11 @@
 
 Each language has a raw-content zstandard dictionary made of a bounded sample of its labelled texts
 (``sample_rows`` different texts of at most ``sample_chars`` characters each, in the order of a hash of the text, joined
-up to ``dictionary_bytes``). Whole texts, in lower case and with all but letters turned into single spaces, are
-encoded with every dictionary in chunks of ``chunk_bytes``; a text under ``SHORT_BYTES`` is repeated up to that length
-first, or the encoder would store it as it is. The language with the smallest total wins, ties going to the first in code-point order. The score is the relative margin
-1 - best / second; below ``least_margin`` the operator rejects the answer (``confident`` is false).
+up to ``dictionary_bytes``). Whole texts, in lower case and with all but letters and their marks turned into single
+spaces, are encoded with every dictionary in chunks of ``chunk_bytes``; a text under ``SHORT_BYTES`` is repeated up to
+that length first, or the encoder would store it as it is. The language with the smallest total wins, ties going to
+the first in code-point order. The score is the relative margin 1 - best / second; below ``least_margin`` the operator
+rejects the answer (``confident`` is false).
 
 Defined results: a null text and a text without letters get ``und``, score 0, not confident; with no labelled
 text at all every row gets ``und``; with one language its score is 0; a null id is never held out and never
@@ -18,10 +19,10 @@ dictionaries are the only state.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,10 @@ CHUNK_BYTES = 4096
 LEVEL = 3
 LEAST_MARGIN = 0.01
 SHORT_BYTES = 512
-LETTER = re.compile(r"[^\W\d_]")
-OTHERS = re.compile(r"[\W\d_]+")
+#: hashes over which the texts of a language are ranked before they are ranked together
+SAMPLE_SALTS = 64
+LETTER = regex.compile(r"\p{L}")
+OTHERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def learn_dictionaries(
@@ -45,8 +48,11 @@ def learn_dictionaries(
     rows = labelled.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang).alias("lang"), F.substring(text, 1, sample_chars).alias("text"), F.xxhash64(text).alias("place")
     )
+    # first within salts, so that one task ranks at most SAMPLE_SALTS * sample_rows hashes of a language
+    places = rows.select("lang", "place").distinct().withColumn("salt", F.pmod("place", F.lit(SAMPLE_SALTS)))
+    places = places.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("place"))).filter(F.col("nth") <= sample_rows)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    chosen = rows.select("lang", "place").distinct().withColumn("nth", nth).filter(F.col("nth") <= sample_rows)
+    chosen = places.select("lang", "place").withColumn("nth", nth).filter(F.col("nth") <= sample_rows)
     # as few rows as the sample that is collected; whole copies are one text
     texts = rows.join(F.broadcast(chosen), ["lang", "place"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
     sample: dict[str, dict[str, None]] = {}
