@@ -3,12 +3,14 @@
 import hashlib
 import html
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidewright.llm import (
@@ -168,6 +170,29 @@ def test_components_of_a_chain(spark):
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+HELPERS = ["__salt", "__s", "__k0", "__kept", "__flagged", "__host", "__digest", "__hash", "__id", "__key", "__times", "__copy", "__source"]
+
+
+def test_columns_named_like_helpers_pass_through(spark):
+    line = "a line that stands on every page of this host"
+    words = " ".join(f"word{i}" for i in range(40))
+    texts = [(i, f"{line}\n{words} number{i} " + " ".join(f"own{i}x{k}" for k in range(60)), "a") for i in range(12)] + [(20, "too short", "a")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    docs = docs.select("*", *[F.concat(F.lit(c), "doc_id").alias(c) for c in HELPERS])
+
+    def same(out, ids):
+        rows = by_id(out)
+        assert set(rows) == set(ids) and all(rows[i][c] == f"{c}{i}" for i in rows for c in HELPERS)
+        return rows
+
+    rows = same(line_dedup.drop_boilerplate_lines(docs), [*range(12), 20])
+    assert line not in rows[3]["text"] and rows[3]["n_dropped"] == 1
+    same(quality_rules.keep_judged(docs), range(12))
+    same(ngram_join.keep_one_of_each(docs.filter("doc_id < 3")), range(3))
+    pages = docs.filter("doc_id < 3").withColumn("__html", F.concat(F.lit("__html"), "doc_id")).withColumnRenamed("text", "html")
+    same(html_extract.extract_pages(pages), range(3))
+
+
 # --- language
 
 
@@ -196,6 +221,41 @@ def test_copies_do_not_fill_the_sample(spark):
     assert learned["en"].count(b"of its own") == 10
 
 
+def test_letters_are_letters_and_keep_their_marks(spark, hard):
+    learned = language_id.learn_dictionaries(hard)
+    odd = spark.createDataFrame([(1, "½ ²"), (2, "12 ٣ ²"), (3, "a½"), (4, "__")], "doc_id long, text string")
+    rows = by_id(language_id.identify(odd, learned))
+    assert [rows[i]["lang_pred"] == "und" for i in (1, 2, 3, 4)] == [True, True, False, True]
+    assert language_id.letters("हिन्दी में 12²") == "हिन्दी में"
+
+
+def test_prediction_equals_plain_compression(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").orderBy("doc_id").limit(300)
+    learned = language_id.learn_dictionaries(docs)
+    assert list(learned) == sorted(learned) and len(learned) > 1
+    options = zstandard.ZstdCompressionParameters.from_level(
+        language_id.LEVEL, window_log=17, hash_log=17, chain_log=16, search_log=2, min_match=3, strategy=zstandard.STRATEGY_LAZY,
+        write_content_size=0, write_checksum=0, write_dict_id=0,
+    )
+    found = by_id(language_id.identify(docs, learned))
+    for r in docs.collect():
+        words = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (r["text"] or "").lower()).split()
+        data = " ".join(words).encode() + b" "
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert found[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        while len(data) < language_id.SHORT_BYTES:
+            data = (" ".join(words).encode() + b" ") * (len(data) // (len(" ".join(words).encode()) + 1) + 1)
+        sizes = {}
+        for lang, content in learned.items():
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(compression_params=options)
+            one = zstandard.ZstdCompressor(dict_data=held, compression_params=options)
+            sizes[lang] = sum(len(one.compress(data[i : i + language_id.CHUNK_BYTES])) for i in range(0, len(data), language_id.CHUNK_BYTES))
+        first, second = sorted(sizes.items(), key=lambda x: (x[1], x[0]))[:2]
+        assert (found[r["doc_id"]]["lang_pred"], found[r["doc_id"]]["score"]) == (first[0], 1 - first[1] / second[1])
+
+
 # --- repeated passages
 
 
@@ -284,6 +344,42 @@ def test_main_text_of_odd_pages(spark):
     assert html_extract.extract_pages(rows.filter("false")).count() == 0
 
 
+LONG = "This is a long paragraph of the article with a good many words in it, so that its ratio is high. " * 3
+LONG = LONG.strip()
+
+
+@pytest.mark.parametrize(("page", "expected"), [
+    (f"<body><div class='content no-sidebar'><h1>T</h1><p>{LONG}</p><p>short</p></div><div class=sidebar><p>side</p></div></body>", f"T\n{LONG}\nshort"),
+    (f"<body><nav>x</nav><div>one</div><div>two b</div><div>three</div><div>four d</div><div>{LONG}</div></body>", f"one\ntwo b\nthree\nfour d\n{LONG}"),
+    (f"<main><h1>T</h1><article><p>{LONG}</p></article><article><p>tiny note</p></article></main><p>out</p>", f"T\n{LONG}\ntiny note"),
+    (f"<article><p>{LONG}</p><p class='social-history'>He was well.</p><p class=ad>Buy.</p></article>", f"{LONG}\nHe was well."),
+    (f"<body><ul><li><a href=a>A long entry of a menu, long as it can be</a></li><li><a href=b>Another long entry of that menu</a></li></ul>"
+     f"<div class=post><h1>Title</h1><ul><li>a</li><li>b</li></ul><p>{LONG}</p></div></body>", f"Title\na\nb\n{LONG}"),
+    (f"<body><div><a href=a>A long entry of a menu, long as it can be</a></div><div>{LONG}</div><div><a href=b>Another entry</a></div></body>", LONG),
+    (f"<body><div class='widget-body'><p>{LONG}</p><p>{LONG}</p></div><div>hi</div></body>", f"{LONG}\n{LONG}"),
+    (f"<body><div class=post><p>short one of it</p></div><div id=comments><p>{LONG}</p><p>{LONG}</p></div></body>", "short one of it"),
+    (f"<body><div id=content><h1>T</h1><div class=text><p>{LONG}</p></div></div><div>Copyright</div></body>", f"T\n{LONG}"),
+])
+def test_density_and_growth_select_the_content(page, expected):
+    assert html_extract.main_text(page) == expected
+
+
+def test_smoothing_and_threshold_decide():
+    page = f"<body><div class=a><p>{LONG}</p></div><div class=b>in the middle of it</div><div class=c><p>{LONG}</p></div><div class=d><ul>" + (
+        "<li>x y</li>" * 12
+    ) + "</ul></div></body>"
+    alone = f"<body><div class=a>{LONG}</div><p><b>Near</b> it</p><div class=d><ul>{'<li>x y</li>' * 12}</ul></div></body>"
+    assert html_extract.main_text(page) == f"{LONG}\nin the middle of it\n{LONG}"
+    assert "Near it" in html_extract.main_text(alone) and "x y" not in html_extract.main_text(alone)
+    assert "Near it" not in html_extract.main_text(alone, radius=0)
+    assert "x y" in html_extract.main_text(alone, level=0.0)
+
+
+def test_long_and_deep_pages_are_read_whole():
+    whole = html_extract.main_text("<article>" + "<p>some words of text</p>" * 50_000)
+    assert whole.count("\n") == 49_999 and len(html_extract.main_text("<div>" * 20_000 + "deep")) == 4
+
+
 # --- quality
 
 
@@ -351,6 +447,45 @@ def test_ties_of_equal_vectors_go_to_the_smaller_ids(spark):
             assert sorted(found[q]) == [(n + 1, i, 0.0) for n, i in enumerate(expected)]
 
 
+def test_copied_rows_follow_the_visits(spark, monkeypatch):
+    """Each visited block goes once to every chunk of its own visitors; searching the home cells so is linear in the rows."""
+    seen = []
+    plain_chunks, plain_copies = projection_ann.chunks_of, projection_ann.copies_of
+
+    def chunks_of(asked, chunk_rows):
+        seen.append([asked.count()])
+        return plain_chunks(asked, chunk_rows)
+
+    def copies_of(blocks, chunks):
+        out = plain_copies(blocks, chunks)
+        seen[-1] += [out.count(), chunks.count(), blocks.groupBy("block").count().agg(F.max("count")).first()[0]]
+        return out
+
+    monkeypatch.setattr(projection_ann, "chunks_of", chunks_of)
+    monkeypatch.setattr(projection_ann, "copies_of", copies_of)
+    rng = np.random.default_rng(8)
+    home = []
+    for n in (2000, 4000, 8000):
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((n, 8)))], "vec_id long, embedding array<double>")
+        seen.clear()
+        assert projection_ann.nearest(table, "vec_id % 10 = 0", block_rows=100, chunk_rows=4).count() == n // 10 * 10
+        for visits, copied, blocks, largest in seen:
+            assert copied <= largest * (visits / 4 + blocks)
+        home.append(seen[0][1])
+    assert home[1] < 2.5 * home[0] and home[2] < 2.5 * home[1]
+
+
+def test_repeated_vectors_and_ids_are_ranked_exactly(spark):
+    same = [float(x) for x in range(1, 5)]
+    rows = [(i, same) for i in range(40)] + [(0, same)] * 30 + [(1, same)] * 3 + [(100, [9.0, 9.0, 9.0, 9.0])] * 2
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in projection_ann.nearest(table, k=3).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"]))
+    assert {q: sorted(f) for q, f in found.items()} == {0: [(1, 1), (2, 1), (3, 1)], 100: [(1, 0), (2, 0), (3, 0)]}
+    assert projection_ann.returnable(table.select("vec_id", F.col("embedding").alias("vector")), 3).count() == 3 + 3 + 2 + 2
+
+
 # --- mixing
 
 

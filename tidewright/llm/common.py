@@ -12,7 +12,6 @@ from tidewright.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SALT = "__salt"
 
 
 def word_count(text: Column) -> Column:
@@ -32,15 +31,17 @@ def join_by_key(
     Each key of ``small`` is repeated ``salts`` times and ``rows`` are dealt over the salts by a hash
     of the columns ``spread``, so a key with a third of all rows is many tasks' work even where the
     side is too large for a broadcast. The salt is a function of the row, so retried tasks agree.
+    Names of the helper columns are chosen apart from those of either side.
     """
-    left = rows.withColumn(SALT, F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int"))
-    right = small.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__s",
+    salt, dealt, *ends = unused([*rows.columns, *small.columns], "__salt", "__s", *[f"__k{i}" for i in range(len(keys))])
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int"))
+    right = small.withColumn(dealt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = right.select(*[F.col(k).alias(end) for k, end in zip(keys, ends, strict=True)], dealt,
                          *[c for c in small.columns if c not in keys])
-    on = F.col(SALT) == F.col("__s")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return left.join(right, on, how).drop(SALT, "__s", *[f"__k{i}" for i in range(len(keys))])
+    on = F.col(salt) == F.col(dealt)
+    for k, end in zip(keys, ends, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(end))
+    return left.join(right, on, how).drop(salt, dealt, *ends)
 
 
 def unused(columns: Sequence[str], *labels: str) -> list[str]:

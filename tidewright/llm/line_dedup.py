@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import BLANKS, join_by_key
+from tidewright.llm.common import BLANKS, join_by_key, unused
 
 RATIO = 0.1
 MIN_PAGES = 5
@@ -68,15 +68,17 @@ def drop_boilerplate_lines(
     """``docs`` with boilerplate lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``."""
     flagged = boilerplate(docs, host, text, ratio, min_pages, distinct_texts)
     spread = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
-    joined = join_by_key(docs, flagged.withColumnRenamed("__host", host), [host], spread, "left")
+    bad, left = unused(docs.columns, "__flagged", "__kept")
+    flagged = flagged.select(F.col("__host").alias(host), F.col("__flagged").alias(bad))
+    joined = join_by_key(docs, flagged, [host], spread, "left")
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__flagged"), fingerprint(x)))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(bad), fingerprint(x)))
     return (
-        joined.withColumn("__kept", F.when(F.col("__flagged").isNull(), lines).otherwise(kept))
+        joined.withColumn(left, F.when(F.col(bad).isNull(), lines).otherwise(kept))
         .withColumn("n_lines", F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long"))
-        .withColumn("n_dropped", (F.col("n_lines") - F.coalesce(F.when(F.col(text).isNotNull(), F.size("__kept")), F.lit(0))).cast("long"))
-        .withColumn(text, F.array_join("__kept", "\n"))
-        .drop("__kept", "__flagged")
+        .withColumn("n_dropped", (F.col("n_lines") - F.coalesce(F.when(F.col(text).isNotNull(), F.size(left)), F.lit(0))).cast("long"))
+        .withColumn(text, F.array_join(left, "\n"))
+        .drop(left, bad)
     )
 
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import Scratch
+from tidewright.llm.common import Scratch, unused
 from tidewright.llm.components import connected
 
 WORDS_PER_SHINGLE = 5
@@ -347,8 +347,8 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     named = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), document)), F.min(document))
     kept = linked.filter("class_key is not null").groupBy("class_key").agg(named.alias("held")).select("held.doc_id", "held.text_hash")
     alone = linked.filter("class_key is null").select("doc_id", "text_hash").distinct()
-    kept = kept.unionByName(alone).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__digest"))
-    digest = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    rows = docs.withColumn("__hash", digest)
-    stay = rows.join(kept, rows[doc_id].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__digest")), "left_semi")
-    return stay.dropDuplicates([doc_id, "__hash"]).drop("__hash")
+    name, whole, own = unused(docs.columns, "__id", "__digest", "__hash")
+    kept = kept.unionByName(alone).select(F.col("doc_id").alias(name), F.col("text_hash").alias(whole))
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce(docs[text], F.lit(""))))
+    stay = rows.join(kept, rows[doc_id].eqNullSafe(F.col(name)) & (F.col(own) == F.col(whole)), "left_semi")
+    return stay.dropDuplicates([doc_id, own]).drop(own)

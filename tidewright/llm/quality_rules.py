@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WORD, join_by_key
+from tidewright.llm.common import WORD, join_by_key, unused
 from tidewright.session import scratch_path
 
 MIN_WORDS = 10
@@ -149,9 +149,10 @@ def judge_documents(
 def keep_judged(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep; the verdict is a function of host and text."""
     rejected = judge_documents(docs, doc_id, host, text, **limits).filter(~F.col("kept"))
-    rejected = rejected.select(F.col("host").alias("__host"), F.col("text_hash").alias("__digest")).distinct()
+    at, whole = unused(docs.columns, "__host", "__digest")
+    rejected = rejected.select(F.col("host").alias(at), F.col("text_hash").alias(whole)).distinct()
     digest = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    return docs.join(rejected, docs[host].cast("string").eqNullSafe(F.col("__host")) & (digest == F.col("__digest")), "left_anti")
+    return docs.join(rejected, docs[host].cast("string").eqNullSafe(F.col(at)) & (digest == F.col(whole)), "left_anti")
 
 
 QUERY_SQL = rf"""
