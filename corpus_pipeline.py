@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import line_dedup, ngram_join, piece_sampling, quality_rules, source_mixing
+from tidewright.llm.common import unused
 from tidewright.session import scratch_path
 
 
@@ -33,15 +34,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, as often as the mix takes them, so that each source comes to its target in words."""
     digest = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    keyed = docs.withColumn("__key", F.struct("doc_id", digest.alias("digest")))
-    mixed = source_mixing.take_documents(keyed, doc_id="__key").filter("times > 0")
-    mixed = mixed.groupBy("doc_id", "source").agg(F.max("times").alias("__times"))
-    mixed = mixed.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.digest").alias("__digest"), F.col("source").alias("__source"), "__times")
-    same = (
-        docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source"))
-        & (digest == F.col("__digest"))
-    )
-    taken = docs.join(mixed, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    key, name, whole, origin, times, copy = unused(docs.columns, "__key", "__id", "__digest", "__source", "__times", "__copy")
+    keyed = docs.withColumn(key, F.struct("doc_id", digest.alias("digest")))
+    mixed = source_mixing.take_documents(keyed, doc_id=key).filter("times > 0")
+    mixed = mixed.groupBy("doc_id", "source").agg(F.max("times").alias(times))
+    mixed = mixed.select(F.col("doc_id.doc_id").alias(name), F.col("doc_id.digest").alias(whole), F.col("source").alias(origin), times)
+    same = docs["doc_id"].eqNullSafe(F.col(name)) & docs["source"].eqNullSafe(F.col(origin)) & (digest == F.col(whole))
+    taken = docs.join(mixed, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return taken.select(*docs.columns)
 
 
