@@ -34,7 +34,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField,
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 SEED = "pieces-1"
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 LONG_WORD = 64
 MARK = "▁"
 WORDS = re.compile(rb" *[^ \n]+|\n| +")
