@@ -164,6 +164,28 @@ def test_star_rounds_keep_every_class(spark, monkeypatch):
     assert len(crossing) > 2
 
 
+def test_long_lists_meet_through_their_pivot(spark, monkeypatch):
+    """A family with many members just too far from all others: the same classes from few of its pairs, at other thresholds too."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 150)]
+    rows = [(1000, " ".join(base[:75] * 2))]
+    for i in range(300):
+        words = base.copy()
+        for k in rng.integers(0, 150, rng.integers(1, 8)):
+            words[k] = f"v{rng.integers(0, 40 if i % 3 else 10**6)}"
+        rows.append((i, " ".join(words[: 150 - i % 4])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compared = []
+    plain = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda p, *a: compared.append(p.count()) or plain(p, *a))
+    for percent, longest in ((75, 100), (60, 3)):
+        monkeypatch.setattr(ngram_join, "LONG_LIST", longest)
+        compared.clear()
+        found = ngram_join.link_documents(docs, percent=percent)
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()), key=repr) == plain_classes(rows, percent)
+        assert sum(compared) < 12 * len(rows)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = {r["node"]: r["root"] for r in components.connected(edges, "a", "b").collect()}

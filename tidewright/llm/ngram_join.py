@@ -11,10 +11,15 @@ prefixes (the first n - ceil(t * n) + 1 shingles) share a shingle under *every*
    lowest and highest set as partners of all others (a star, not all pairs) where sizes and places still allow the
    similarity. Candidates must also share prefix shingles under the second and third order; what passes is verified on
    whole sets. Links join sets to components.
-4. Lists whose members are in one component are done. The others get more stars, each round around members of another
-   choice, as long as pairs across components (counted, not kept) far outnumber the sets and rounds still link: most
-   members of a family of near copies come into one component this way, at one pair each. In the lists that are then
-   still open, pairs across components go through the same filters. Nothing is capped, so every component is exact.
+4. Lists whose members are in one component are done. The other short ones get more stars, each round around members of
+   another choice, as long as pairs across components (counted, not kept) far outnumber the sets and rounds still link.
+   In the short lists that are then still open, pairs across components go through the same filters.
+5. Long lists that are still open (families of near copies with members just too far from all others) never make all
+   their pairs. The set with the fewest rare shingles is the pivot p of its lists, and each member a is compared with it:
+   gone(a) = p - a, extra(a) = a - p, D(a) = both. As |a & b| = |p| - |gone(a)| - |gone(b)| + |D(a) & D(b)|, members in
+   different components link only if their differences share as many shingles as the sizes lack. So differences meet by
+   prefixes once more: |D| less the least number lacking towards any member of another component, plus 1. Nothing is
+   capped, so every component is exact.
 
 Lists of a shingle that the sketch shows as very common are dealt over salts, so no task gets a whole one; the others
 are bounded by their sketch count. Equal sets are one name, so groups of copies cost one member each. Defined results: a null text or one without words has
@@ -46,6 +51,10 @@ SKETCH_BLOCK = 1 << 14
 #: shingles of this class or above are posted over SALTS salts
 HOT_CLASS = 3
 SALTS = 64
+#: members of a list that is compared through its pivot
+LONG_LIST = 200
+#: shingles of pivots that may be broadcast; more are joined by a shuffle
+MOST_PIVOT_SHINGLES = 1_000_000
 #: orders of members among which the second round of stars chooses by list
 STAR_ORDERS = 4
 #: stars go on while lists hold more pairs across components than this for each set that was compared so far
@@ -149,8 +158,8 @@ def frequency_classes(blocks: DataFrame) -> np.ndarray:
     return np.where(excess < 1, 0, 1 + np.floor(np.log2(np.maximum(excess, 1)))).astype(np.uint8)
 
 
-POSTING = ("token", "salt", "set_id", "n", "place")
-POSTING_TYPES = "token long, salt int, set_id long, n int, place int"
+POSTING = ("token", "salt", "set_id", "n", "place", "common")
+POSTING_TYPES = "token long, salt int, set_id long, n int, place int, common int"
 
 
 def _post(classes, percent: int):
@@ -163,12 +172,13 @@ def _post(classes, percent: int):
                     first = prefix(own, classes.value, ORDERS[0], percent)
                     name = xxhash.xxh3_64_intdigest(own.tobytes()) - 2**63
                     salt = np.where(classes.value[cells(first)] >= HOT_CLASS, name % SALTS + 1, 0)
-                    parts.append((first, salt, np.full(len(first), name), np.full(len(first), len(own)), np.arange(len(first))))
+                    common = np.count_nonzero(classes.value[cells(own)])
+                    parts.append((first, salt, *[np.full(len(first), x) for x in (name, len(own))], np.arange(len(first)), np.full(len(first), common)))
             if parts:
-                token, salt, name, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+                token, salt, name, n, place, common = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(token)), pa.array(salt.astype(np.int32)), pa.array(name.astype(np.int64)),
-                     pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names=list(POSTING),
+                     *[pa.array(x.astype(np.int32)) for x in (n, place, common)]], names=list(POSTING),
                 )
 
     return run
@@ -219,6 +229,32 @@ def _sets(classes, percent: int):
     return run
 
 
+DIFFERENCES = "pivot long, pivot_n long, pivot_label long, set_id long, n long, label long, gone int, differing array<long>"
+
+
+def _differences(classes):
+    """Ordered differences of a set from its pivot: what it has besides, rare shingles first, then what it lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for side in ("extra", "gone"):
+                lists = batch.column(batch.schema.get_field_index(side))
+                tokens = lists.flatten().to_numpy().view(np.uint64)
+                kind = classes.value[cells(tokens)] if side == "extra" else np.full(len(tokens), 255, np.uint8)
+                columns.append((np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()), kind, tokens))
+            row, kind, tokens = (np.concatenate(x) for x in zip(*columns, strict=True))
+            offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=batch.num_rows))].astype(np.int32)
+            tokens = tokens[np.lexsort((mixed(tokens ^ np.uint64(ORDERS[0])), kind, row))]
+            gone = batch.column(batch.schema.get_field_index("gone")).value_lengths()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:6], gone, pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(tokens)))],
+                names=["pivot", "pivot_n", "pivot_label", "set_id", "n", "label", "gone", "differing"],
+            )
+
+    return run
+
+
 def _possible(a, b, percent: int):
     """Sizes allow the similarity, and so do the places of a shared token: what stands before the first is not common."""
     rest = F.least(a["n"] - a["place"], b["n"] - b["place"]).cast("long")
@@ -298,9 +334,10 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def open_lists(postings: DataFrame, roots: DataFrame) -> DataFrame:
         """The postings, with labels, of lists whose members are in several components."""
-        labelled = postings.select("token", *posting_columns).join(roots, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "set_id"))
-        tokens = labelled.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("token")
-        return labelled.join(tokens, "token").select("token", "label", *posting_columns)
+        own = ("token", *posting_columns, "common")
+        labelled = postings.select(*own).join(roots, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "set_id"))
+        tokens = labelled.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("members"))
+        return labelled.join(tokens.filter("l < h").select("token", "members"), "token").select(*own, "label", "members")
 
     def links_of(pairs: DataFrame) -> DataFrame:
         links = stored(_verified(pairs, sets_of(pairs), percent, stored), "links")
@@ -315,21 +352,63 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = pairs.filter("l < h").filter(_possible(F.col("x"), F.col("y"), percent))
         return pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
-    # one star per list around the same few sets, then, where components remain apart, around a few others
+    def through_pivots(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of long lists: the links (a, b) of members with their pivots, and the other pairs across components that may link."""
+        member = F.struct((F.col("n") - F.col("common")).alias("rare"), "set_id", "n", "label")
+        pivots = postings.groupBy("token").agg(F.min(member).alias("p"))
+        pivots = pivots.select("token", F.col("p.set_id").alias("pivot"), F.col("p.n").cast("long").alias("pivot_n"), F.col("p.label").alias("pivot_label"))
+        groups = postings.join(pivots, "token").select("pivot", "pivot_n", "pivot_label", "set_id", F.col("n").cast("long").alias("n"), "label")
+        groups = stored(groups.distinct(), "groups")
+        sets = sets_of(groups.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")))
+        scratch.discard("holders")
+        centres = groups.select("pivot", "pivot_n").distinct()
+        few = (centres.agg(F.sum("pivot_n")).first()[0] or 0) <= MOST_PIVOT_SHINGLES
+        near = F.broadcast if few else lambda side: side
+        centres = sets.join(near(centres.select("pivot")), F.col("set_id") == F.col("pivot")).select("pivot", F.col("tokens").alias("theirs"))
+        compared = groups.join(sets.select("set_id", "tokens"), "set_id").join(near(centres), "pivot")
+        compared = compared.select("pivot", "pivot_n", "pivot_label", "set_id", "n", "label", F.array_except("tokens", "theirs").alias("extra"),
+                                   F.array_except("theirs", "tokens").alias("gone"))
+        found = stored(compared.mapInArrow(_differences(classes), DIFFERENCES), "differences")
+        whole = 100 + percent
+        bound = whole * (F.col("pivot_n") - F.col("gone")) >= percent * (F.col("pivot_n") + F.col("n"))
+        # who links with the pivot is in its component, whatever was known before
+        found = found.withColumn("label", F.when(bound, F.col("pivot_label")).otherwise(F.col("label")))
+        found = found.withColumn("cost", percent * F.col("n") + whole * F.col("gone"))
+        links = found.filter(bound).filter("pivot != set_id").select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"))
+        # a pair lacks (cost + cost) / whole - pivot_n shared differences; the pivot has the least cost of all
+        others = found.filter("label != pivot_label").groupBy("pivot").agg(F.min("cost").alias("other"))
+        cheapest = F.when(F.col("label") == F.col("pivot_label"), F.col("other")).otherwise(percent * F.col("pivot_n"))
+        lacking = F.ceil((F.col("cost") + cheapest - whole * F.col("pivot_n")) / whole)
+        posted = found.join(near(others), "pivot").withColumn("size", F.size("differing"))
+        length = F.greatest(F.least(F.col("size") - lacking + 1, F.col("size")), F.lit(0)).cast("int")
+        posted = posted.withColumn("first", F.slice("differing", F.lit(1), length))
+        posted = posted.select("pivot", "pivot_n", "set_id", "label", "cost", "size", F.posexplode("first").alias("at", "token"))
+        posted = stored(posted.select("pivot", "token", "pivot_n", "set_id", "label", "cost", (F.col("size") - F.col("at")).alias("left")), "differences")
+        x, y = (posted.select("pivot", "token", F.struct("pivot_n", "set_id", "label", "cost", "left").alias(end)) for end in ("x", "y"))
+        enough = whole * (F.least("x.left", "y.left") + F.col("x.pivot_n")) >= F.col("x.cost") + F.col("y.cost")
+        pairs = x.join(y, ["pivot", "token"]).filter(F.col("x.label") < F.col("y.label")).filter(enough)
+        return links, pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
+
+    # one star per list around the same few sets, then, where components of short lists remain apart, around a few others
     stars = stored(star_pairs(shared, F.col("set_id")), "stars")
     links = links_of(stars)
     rest = stored(open_lists(shared, stored(connected(links, "a", "b"), "roots")), "open")
-    linked = True
-    while linked and across(rest).count() > PAIRS_PER_SET * sum(m.count() for m in made):
+    short, linked = rest.filter(F.col("members") <= LONG_LIST), True
+    while linked and across(short).count() > PAIRS_PER_SET * sum(m.count() for m in made):
         order = F.xxhash64(F.pmod("token", F.lit(STAR_ORDERS)), F.lit(len(made)), "set_id")
-        others = stored(star_pairs(rest, order).join(stars, ["a", "b"], "left_anti"), "stars")
+        others = stored(star_pairs(short, order).join(stars, ["a", "b"], "left_anti"), "stars")
         found = links_of(others)
         linked = not found.isEmpty()
         links, stars = links.unionByName(found), stars.unionByName(others)
         rest = stored(open_lists(rest, stored(connected(links, "a", "b"), "roots")), "open")
-    crossing = stored(across(rest).join(stars, ["a", "b"], "left_anti"), "crossing")
+        short = rest.filter(F.col("members") <= LONG_LIST)
+    candidates, long = across(short), rest.filter(F.col("members") > LONG_LIST)
+    if not long.isEmpty():
+        to_pivots, distant = through_pivots(long)
+        links, candidates = links.unionByName(to_pivots), candidates.unionByName(distant).distinct()
+    crossing = stored(candidates.join(stars, ["a", "b"], "left_anti"), "crossing")
     roots = connected(links.unionByName(links_of(crossing)), "a", "b")
-    scratch.discard("postings", "open", "stars", "crossing", "links", "roots", "sets")
+    scratch.discard("postings", "open", "stars", "groups", "differences", "crossing", "links", "roots", "sets")
 
     classed = members.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("label", F.coalesce("root", "set_id"))
     classed = classed.select("doc_id", "digest", "n", "label")
