@@ -82,6 +82,23 @@ def test_a_level_of_keys_is_two_scans(spark, monkeypatch):
     assert [n for n, _ in calls].count("_estimates") <= 3 and len(calls) <= 6 and max(k for _, k in calls) > 50
 
 
+def test_sets_with_repeats_are_not_counted_for_keys_only(spark, monkeypatch):
+    """Near-unique sets fall by repeats in one part of their tuples; the keys are those of counting every set."""
+    counted = []
+    plain = keys._distinct
+    monkeypatch.setattr(keys, "_distinct", lambda *a: counted.append(len(a[1])) or plain(*a))
+    rng = random.Random(3)
+    rows = [(i // 2, *[rng.randrange(150) for _ in range(5)], i % 2) for i in range(4000)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} int" for i in range(7))).coalesce(1)
+
+    def found(**options):
+        counted.clear()
+        return sorted((r["columns"], r["distinct_count"]) for r in key_candidates(df, **options).collect() if r["is_unique"]), sum(counted)
+
+    (every, many), (quick, few) = found(), found(count_repeated=False)
+    assert quick == every and ("c0,c6", 4000) in every and few < many / 2
+
+
 def test_foreign_keys_are_found_by_sketches_then_measured(spark):
     ids = spark.range(30_000).select("id", (F.col("id") + 29_990).alias("late"), F.col("id").cast("string").alias("code"))
     facts = spark.range(60_000).select(

@@ -18,6 +18,8 @@ MIN_GAP = 0.05
 SKETCH_LG_K = 12
 #: an estimate this far below the row count rules a set out: over ten standard errors (1.04 / sqrt(2**12)) of the sketch
 SURE = 0.17
+#: one of so many parts of the tuples, chosen by their hash, is searched for repeats first
+PARTS = 16
 #: sketches in one aggregate
 SKETCHES = 512
 
@@ -60,6 +62,17 @@ def _estimates(hashed: DataFrame, sets: Sequence[tuple[int, ...]]) -> dict[tuple
     return found
 
 
+def _repeated(hashed: DataFrame, sets: Sequence[tuple[int, ...]]) -> set[tuple[int, ...]]:
+    """Sets with a repeat among the tuples of one part: proof that they are no keys, for a fraction of the shuffle."""
+    each = []
+    for k, s in enumerate(sets):
+        a = F.xxhash64(*[F.col(f"a{i}") for i in s])
+        b = F.xxhash64(*[F.col(f"b{i}") for i in s])
+        each.append(F.struct(F.lit(k).alias("k"), a.alias("a"), F.when(F.pmod(a, F.lit(PARTS)) == 0, b).alias("b")))
+    groups = hashed.select(F.inline(F.array(*each))).filter("b is not null").groupBy("k", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return {sets[r["k"]] for r in groups.filter("n > 1").select("k").distinct().collect()}
+
+
 def _distinct(hashed: DataFrame, sets: Sequence[tuple[int, ...]], rows: int) -> dict[tuple[int, ...], int]:
     """Exact distinct counts of all sets in one scan and one shuffle of (set, 128-bit hash of the tuple)."""
     each = [
@@ -76,6 +89,7 @@ def key_candidates(
     columns: Sequence[str] | None = None,
     max_width: int = 3,
     exact_counts: bool = False,
+    count_repeated: bool = True,
 ) -> DataFrame:
     """Column sets that identify a row, up to ``max_width`` columns, each marked minimal or not.
 
@@ -83,15 +97,20 @@ def key_candidates(
     Sets whose parts cannot have enough combinations of values are ruled out by the counts of the levels below; the others
     are estimated together, and only those within ``SURE`` of the row count are counted, together again. So a level is
     two scans whatever its sets. ``distinct_count`` is exact for counted sets and an estimate for others;
-    ``exact_counts`` counts every set that is not ruled out.
+    ``exact_counts`` counts every set that is not ruled out. Without ``count_repeated``, for callers that want the keys
+    only, sets of several columns in which one part of the tuples holds a repeat are known to be no keys and keep their
+    estimate (one scan more); the keys are the same. Tables that few tasks read are spread over the cores first.
     """
     names = [c for c in (columns or df.columns) if _hashable(df.schema[c].dataType)]
-    facts = df.agg(
-        F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c_{i}") for i, c in enumerate(names)]
+    read = df.select(F.spark_partition_id().alias("task"), *[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(names)])
+    facts = read.agg(
+        F.count(F.lit(1)).alias("n"), F.size(F.collect_set("task")).alias("tasks"),
+        *[F.count(f"c_{i}").alias(f"c_{i}") for i in range(len(names))],
     ).first()
-    rows = facts["n"]
+    rows, cores = facts["n"], df.sparkSession.sparkContext.defaultParallelism
     complete = [c for i, c in enumerate(names) if facts[f"c_{i}"] == rows]
-    hashed = _hashed(df, complete)
+    spread = df.select(*[F.col(f"`{c}`") for c in complete])
+    hashed = _hashed(spread.repartition(cores) if facts["tasks"] < cores else spread, complete)
     found: list[tuple] = []
     unique: list[tuple[int, ...]] = []
     known: dict[tuple[int, ...], int] = {}
@@ -121,6 +140,10 @@ def key_candidates(
             for s in possible:
                 if s not in near:
                     found.append((s, known[s], False, "estimated far below the row count"))
+        if near and width > 1 and not (exact_counts or count_repeated):
+            repeated = _repeated(hashed, near)
+            found += [(s, known[s], False, "duplicates found") for s in near if s in repeated]
+            near = [s for s in near if s not in repeated]
         if near:
             known.update(_distinct(hashed, near, rows))
         for s in near:
