@@ -30,6 +30,23 @@ def test_profile_error_bound(spark):
     assert exact["s"].max_length == 5 and exact["m"].maximum == 96.0
 
 
+def test_exact_quantiles_come_from_ranges(spark, monkeypatch):
+    """The same quantiles as by one aggregate, which holds all values of a column; here no task sorts more than a range."""
+    rng = random.Random(7)
+    rows = [(None if i % 7 == 0 else rng.gauss(0, 50), rng.choice([1, 1, 1, 5, -3]), "x" * rng.randrange(30), None, float("nan") if i % 3 else 0.5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b int, c string, d double, e double").repartition(5)
+    found = profile_columns(df, exact=True)
+    assert "percentile(" not in found._jdf.queryExecution().analyzed().toString()
+    by = {r.column_name: r for r in found.collect()}
+    shares = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    for c in "abde":
+        expected = df.agg(F.percentile(F.col(c).cast("double"), list(shares.values()))).first()[0] or [None] * 5
+        assert repr([by[c][k] for k in shares]) == repr(list(expected)), c
+    assert by["c"].median_length == df.agg(F.percentile(F.length("c"), 0.5)).first()[0]
+    one = profile_columns(df.filter("c = 'xx'").limit(1).select("b", "c"), exact=True).collect()
+    assert {r.column_name: r.median_length for r in one}["c"] == 2.0
+
+
 def test_patterns(spark):
     df = spark.createDataFrame([("AB-12",), ("CD-34",), ("EF-5",), ("XY-99",), ("QQ-00",)], "v string")
     assert patterns(df).first().pattern == "AA-NN"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,9 @@ from tidewright.quality.drift import cells
 # Quantiles of a numeric profile and the accuracy of their sketch.
 QUANTILES = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 ACCURACY = 10000
+# Ranges of distinct values that exact quantiles are looked up in, and the accuracy of their bounds.
+RANGES = 128
+RANGE_ACCURACY = 1000
 DISTINCT_LISTED = 50
 TOP_LISTED = 20
 
@@ -59,16 +62,58 @@ def _moments(c: Column, dtype: T.DataType) -> dict[str, Column]:
     }
 
 
-def _quantiles(c: Column, dtype: T.DataType, exact: bool) -> dict[str, Column]:
+def _measured(c: Column, dtype: T.DataType) -> tuple[Column, dict[str, float]] | None:
+    """What quantiles of a column are taken of, and the shares wanted."""
     if isinstance(dtype, T.NumericType):
-        v, wanted = c.cast("double"), QUANTILES
-    elif isinstance(dtype, T.StringType):
-        v, wanted = F.length(c), {"median_length": 0.5}
-    else:
+        return c.cast("double"), QUANTILES
+    if isinstance(dtype, T.StringType):
+        return F.length(c), {"median_length": 0.5}
+    return None
+
+
+def _quantiles(c: Column, dtype: T.DataType) -> dict[str, Column]:
+    measured = _measured(c, dtype)
+    if measured is None:
         return {}
-    shares = list(wanted.values())
-    found = F.percentile(v, shares) if exact else F.percentile_approx(v, shares, ACCURACY)
-    return {name: F.get(found, i) for i, name in enumerate(wanted)}
+    found = F.percentile_approx(measured[0], list(measured[1].values()), ACCURACY)
+    return {name: F.get(found, i) for i, name in enumerate(measured[1])}
+
+
+def _exact_quantiles(df: DataFrame, measured: dict[str, tuple[Column, dict[str, float]]]) -> DataFrame:
+    """(column_name, fact, value) rows: interpolated quantiles of all columns, without a column's values in one task.
+
+    Distinct values are counted in one grouping and fall into ranges of about as many of them. Counts of ranges tell
+    which ranges hold the wanted places, and only those are sorted, each by a task of its own.
+    """
+    held = [F.struct(F.lit(i).alias("i"), v.cast("double").alias("number")) for i, (v, _) in enumerate(measured.values())]
+    counts = df.select(F.inline(F.array(*held))).filter("number is not null").groupBy("i", "number").agg(F.count(F.lit(1)).alias("n"))
+    # the condition on n keeps the grouping the same in all its uses, so that it is made once
+    counted = F.when(F.col("n") > 0, F.col("number"))
+    bounds = counts.groupBy("i").agg(F.percentile_approx(counted, [k / RANGES for k in range(1, RANGES)], RANGE_ACCURACY).alias("bounds"))
+    placed = counts.join(F.broadcast(bounds), "i").select(
+        "i", "number", "n", F.size(F.filter("bounds", lambda b: b < F.col("number"))).alias("range")
+    )
+    column = Window.partitionBy("i")
+    totals = placed.groupBy("i", "range").agg(F.sum("n").alias("held"))
+    totals = totals.withColumn("upto", F.sum("held").over(column.orderBy("range"))).withColumn("total", F.sum("held").over(column))
+    shares = F.array(*[
+        F.array(*[F.struct(F.lit(fact).alias("fact"), F.lit(share).alias("share")) for fact, share in wanted.items()])
+        for _, wanted in measured.values()
+    ])
+    places = totals.select("*", F.inline(F.get(shares, "i"))).withColumn("at", F.col("share") * (F.col("total") - 1))
+    places = places.withColumn("place", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    places = places.filter("place < upto and place >= upto - held").select("i", "range", "fact", "at", "place", (F.col("upto") - F.col("held")).alias("before"))
+    ranges = places.select("i", "range", "before").distinct()
+    sorted_ = placed.join(F.broadcast(ranges), ["i", "range"])
+    last = F.col("before") + F.sum("n").over(Window.partitionBy("i", "range").orderBy("number"))
+    sorted_ = sorted_.select("i", "range", "number", (last - F.col("n")).alias("first"), last.alias("end"))
+    found = sorted_.join(F.broadcast(places), ["i", "range"]).filter("place >= first and place < end")
+    ends = found.groupBy("i", "fact", "at").agg(F.min("number").alias("low"), F.max("number").alias("high"))
+    between = (F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high")
+    names = F.array(*[F.lit(c) for c in measured])
+    return ends.select(
+        F.get(names, "i").alias("column_name"), "fact", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("value")
+    )
 
 
 def _groupable(dtype: T.DataType) -> bool:
@@ -109,7 +154,7 @@ def profile_columns(
 
     Sketches are used for distinct counts, quantiles and median lengths; distinct floating numbers are
     always counted. ``exact=True`` counts all distinct values, in one grouping for all columns, and takes
-    exact quantiles, whose memory grows with the distinct values of a column.
+    exact quantiles from another one, in ranges of values; its shuffle is used again, not made again.
     """
     names = list(columns or df.columns)
     col = {n: F.col(f"`{n}`") for n in names}
@@ -122,7 +167,10 @@ def profile_columns(
         parts.append(_distinct_counts(df, counted))
     sketched = {n: {"distinct_count": F.approx_count_distinct(col[n])} for n in countable if n not in counted}
     # sketches are not compiled with the plain aggregates, so they get a pass of their own
-    parts += _facts(df, {n: _quantiles(col[n], dtype[n], exact) | sketched.get(n, {}) for n in names})
+    parts += _facts(df, {n: ({} if exact else _quantiles(col[n], dtype[n])) | sketched.get(n, {}) for n in names})
+    measured = {n: m for n in names if exact and (m := _measured(col[n], dtype[n])) is not None}
+    if measured:
+        parts.append(_exact_quantiles(df, measured))
     facts = reduce(lambda a, b: a.unionAll(b), parts)
 
     def fact(name: str) -> Column:
