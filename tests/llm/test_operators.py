@@ -6,9 +6,12 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -186,6 +189,48 @@ def test_long_lists_meet_through_their_pivot(spark, monkeypatch):
         assert sum(compared) < 12 * len(rows)
 
 
+def test_join_tasks_hand_over_parts_of_a_batch():
+    """A batch of 8 MB of text becomes rows in parts of a few MB, and sketches in packed blocks; nothing is lost."""
+    rng = np.random.default_rng(3)
+    texts = [None, "", "few words", *(" ".join(f"w{i}" for i in rng.integers(0, 10**6, 300)) for _ in range(4000))]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts)], names=["doc_id", "digest", "text"])
+    classes = SimpleNamespace(value=np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8))
+    plain = [ngram_join.shingles(t and t.encode()) for t in texts]
+
+    def whole(batches, most=4 << 20):
+        batches = list(batches)
+        assert max(b.nbytes for b in batches) < most and len(batches) > 1
+        return pa.Table.from_batches(batches)
+
+    named = whole(ngram_join._name_sets(iter([batch])))
+    documents = named.filter(pc.is_null(named["block"]))
+    assert documents["doc_id"].to_pylist() == list(range(n)) and documents["n"].to_pylist() == [len(p) for p in plain]
+    posted = whole(ngram_join._post(classes, 75)(iter([batch.select(["text"])])))
+    assert posted.num_rows == sum(ngram_join.prefix_size(len(p)) for p in plain if len(p))
+    sets = whole(ngram_join._sets(classes, 75)(iter([batch.select(["doc_id", "text"])])))
+    assert sets["tokens"].to_pylist() == [ngram_join.signed(p).tolist() for p in plain]
+    groups = pa.RecordBatch.from_arrays(
+        [*[pa.array(range(n))] * 6, *[pa.array(x, pa.list_(pa.int64())) for x in (sets["tokens"].to_pylist(), [[i] for i in range(n)])]],
+        names=["pivot", "pivot_n", "pivot_label", "set_id", "n", "label", "extra", "gone"],
+    )
+    differing = whole(ngram_join._differences(classes)(iter([groups])))
+    assert differing["set_id"].to_pylist() == list(range(n))
+    assert list(map(sorted, differing["differing"].to_pylist())) == [sorted([*ngram_join.signed(p).tolist(), i]) for i, p in enumerate(plain)]
+
+    blocks = named.filter(pc.is_valid(named["block"])).select(["block", "counts"])
+    common = np.zeros(ngram_join.SKETCH_BLOCK, np.uint32)
+    common[7] = 300  # counts of another width
+    more = pa.table({"block": pa.array([0], pa.int32()), "counts": [ngram_join.packed(common)]})
+    summed = whole(ngram_join._sum_blocks(iter(pa.concat_tables([blocks, blocks, more]).combine_chunks().to_batches())), 1 << 20)
+    expected = 2 * np.bincount(np.concatenate([ngram_join.cells(p) for p in plain]), minlength=1 << ngram_join.SKETCH_BITS)
+    expected[7] += 300
+    found = np.zeros_like(expected)
+    for block, counts in zip(summed["block"].to_pylist(), summed["counts"].to_pylist(), strict=True):
+        found[block * ngram_join.SKETCH_BLOCK : (block + 1) * ngram_join.SKETCH_BLOCK] = ngram_join.unpacked(counts)
+    assert (found == expected).all()
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     found = {r["node"]: r["root"] for r in components.connected(edges, "a", "b").collect()}

@@ -27,7 +27,9 @@ an empty set, links with nothing and is its own class; repeated rows are linked
 cannot matter, as classes are named by their smallest doc_id; null ids never name a class unless all are null; an
 empty table gives an empty table; other columns are left out.
 
-Hashes of shingles have 64 bits. Intermediate tables are in the shared folder.
+Hashes of shingles have 64 bits. Intermediate tables are in the shared folder. Tasks turn texts, lists and blocks of the
+sketch into rows in parts of about ``PART_BYTES``, however large Spark's batches are: neither a worker nor its executor's
+JVM holds what a whole batch becomes (a posting list of a text is larger than the text).
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +51,10 @@ WORDS_PER_SHINGLE = 5
 PERCENT = 75
 SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 14
+#: blocks of a sketch that a task hands over at once
+BLOCKS_AT_ONCE = 16
+#: bytes of texts, or of lists of hashes, that a task turns into rows at once
+PART_BYTES = 1 << 20
 #: shingles of this class or above are posted over SALTS salts
 HOT_CLASS = 3
 SALTS = 64
@@ -109,11 +116,43 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows with about PART_BYTES of texts, or of lists of hashes, in these columns."""
+    for batch in batches:
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in map(batch.column, columns):
+            length, unit = (pc.list_value_length, 8) if pa.types.is_list(column.type) else (pc.binary_length, 1)
+            sizes += unit * pc.fill_null(length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + PART_BYTES, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts of a block in the smallest unsigned type that holds them all."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def unpacked(counts: bytes | pa.Buffer) -> np.ndarray:
+    return np.frombuffer(counts, f"u{len(memoryview(counts)) // SKETCH_BLOCK}")
+
+
+def packed_blocks(blocks: dict[int, np.ndarray]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Numbers and packed counts of the blocks, BLOCKS_AT_ONCE at a time."""
+    numbers = list(blocks)
+    for at in range(0, len(numbers), BLOCKS_AT_ONCE):
+        some = numbers[at : at + BLOCKS_AT_ONCE]
+        yield pa.array(some, pa.int32()), pa.array([packed(blocks[b]) for b in some], pa.binary())
+
+
 def _name_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents (id, digest, set, size), then the task's sketch in blocks."""
     names = ["doc_id", "digest", "set_id", "n", "block", "counts"]
     sketch, id_type = np.zeros(1 << SKETCH_BITS, np.uint32), None
-    for batch in batches:
+    for batch in parts_of(batches, 2):
         ids, sizes, id_type = [], [], batch.schema.field(0).type
         for text in binaries(batch.column(2)):
             tokens = shingles(text)
@@ -126,24 +165,23 @@ def _name_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=names,
         )
     if id_type is not None:
-        full = [b for b in range(0, len(sketch), SKETCH_BLOCK) if sketch[b : b + SKETCH_BLOCK].any()]
-        n = len(full)
-        counts = [sketch[b : b + SKETCH_BLOCK].tobytes() for b in full]
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, id_type), *[pa.nulls(n, pa.int64())] * 3, pa.array([b // SKETCH_BLOCK for b in full], pa.int32()), pa.array(counts, pa.binary())],
-            names=names,
-        )
+        full = {b: counts for b, counts in enumerate(sketch.reshape(-1, SKETCH_BLOCK)) if counts.any()}
+        for block, counts in packed_blocks(full):
+            n = len(block)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), *[pa.nulls(n, pa.int64())] * 3, block, counts], names=names)
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(counts, np.uint32).astype(np.uint64) if len(counts) == 4 * SKETCH_BLOCK else np.frombuffer(counts, np.uint64)
-            held[block] = held[block] + part if block in held else part
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(held), pa.int32()), pa.array([h.tobytes() for h in held.values()], pa.binary())], names=["block", "counts"]
-    )
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            part = unpacked(counts.as_buffer())
+            if block in held:
+                held[block] += part
+            else:
+                held[block] = part.astype(np.uint64)
+    for block, counts in packed_blocks(held):
+        yield pa.RecordBatch.from_arrays([block, counts], names=["block", "counts"])
 
 
 def frequency_classes(blocks: DataFrame) -> np.ndarray:
@@ -152,7 +190,7 @@ def frequency_classes(blocks: DataFrame) -> np.ndarray:
     summed = summed.repartition("block").mapInArrow(_sum_blocks, "block int, counts binary")
     sketch = np.zeros(1 << SKETCH_BITS, np.uint64)
     for r in summed.collect():
-        sketch[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] += np.frombuffer(r["counts"], np.uint64)
+        sketch[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] += unpacked(r["counts"])
     usual = float(np.median(sketch))
     excess = (sketch.astype(np.float64) - usual) / (3 * np.sqrt(usual) + 3)
     return np.where(excess < 1, 0, 1 + np.floor(np.log2(np.maximum(excess, 1)))).astype(np.uint8)
@@ -164,7 +202,7 @@ POSTING_TYPES = "token long, salt int, set_id long, n int, place int, common int
 
 def _post(classes, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, 0):
             parts: list[tuple[np.ndarray, ...]] = []
             for text in binaries(batch.column(0)):
                 own = shingles(text)
@@ -217,7 +255,7 @@ def _sets(classes, percent: int):
             offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype), *parts])))
 
-        for batch in batches:
+        for batch in parts_of(batches, 1):
             sets = [shingles(text) for text in binaries(batch.column(1))]
             seconds = [[prefix(s, classes.value, o, percent).astype(np.uint32).view(np.int32) for s in sets] for o in ORDERS[1:]]
             yield pa.RecordBatch.from_arrays(
@@ -236,7 +274,7 @@ def _differences(classes):
     """Ordered differences of a set from its pivot: what it has besides, rare shingles first, then what it lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, 6, 7):
             columns = []
             for side in ("extra", "gone"):
                 lists = batch.column(batch.schema.get_field_index(side))
