@@ -40,6 +40,7 @@ CLASH = "doc_id long, text string, lang string, source string, n_chars long, n_l
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
+    con.execute("set lambda_syntax = 'ENABLE_SINGLE_ARROW'")  # the twins' spelling, which DuckDB 2 refuses by default
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
