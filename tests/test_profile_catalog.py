@@ -116,6 +116,32 @@ def test_sets_with_repeats_are_not_counted_for_keys_only(spark, monkeypatch):
     assert quick == every and ("c0,c6", 4000) in every and few < many / 2
 
 
+def test_large_counts_shuffle_rows_and_leave_no_files(spark, monkeypatch):
+    """Counts of large tables, forced here: exact with a heavy value too, rows are dealt instead of tuples, no shuffle file stays."""
+    for name, value in (("AT_ONCE", 0), ("SCANS", 2), ("MANY", 500)):
+        monkeypatch.setattr(keys, name, value)
+    rng = random.Random(11)
+    rows = [(7 if i % 3 else i, i // 2, rng.randrange(1500), rng.choice("xyz")) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d string").repartition(4)
+    sets = [(0, 1), (0, 3), (1, 2), (0, 2, 3), (0, 1, 3), (1, 2, 3)]
+    brute = {s: len({tuple(r[i] for i in s) for r in rows}) for s in sets}
+    sizes = {i: len({r[i] for r in rows}) for i in range(4)}
+    table = keys._Rows(df.toDF("c0", "c1", "c2", "c3"), keys._hashed(df, df.columns), len(rows), sizes)
+    assert keys._distinct(table, sets) == brute and table.heavy[0]
+    repeated = keys._repeated(table, sets)
+    assert repeated and repeated <= {s for s, n in brute.items() if n < len(rows)}
+    kept = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f.getName() for f in (kept.getAllFiles().apply(i) for i in range(kept.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+
+    before, ids = files(), spark.range(0, 4000, 1, 4).select("id", (F.col("id") % 61).alias("m"), (F.col("id") * 7 % 4000).alias("n"))
+    doubled = ids.union(ids.withColumn("m", F.col("m") + 61))
+    found = key_candidates(doubled, count_repeated=False).collect()
+    assert {r["columns"] for r in found if r["is_unique"]} == {"id,m", "m,n"}
+    assert not files() - before and spark.conf.get(keys.CLEANUP, None) is None
+
+
 def test_foreign_keys_are_found_by_sketches_then_measured(spark):
     ids = spark.range(30_000).select("id", (F.col("id") + 29_990).alias("late"), F.col("id").cast("string").alias("code"))
     facts = spark.range(60_000).select(
