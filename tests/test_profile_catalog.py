@@ -118,7 +118,7 @@ def test_sets_with_repeats_are_not_counted_for_keys_only(spark, monkeypatch):
 
 def test_large_counts_shuffle_rows_and_leave_no_files(spark, monkeypatch):
     """Counts of large tables, forced here: exact with a heavy value too, rows are dealt instead of tuples, no shuffle file stays."""
-    for name, value in (("AT_ONCE", 0), ("SCANS", 2), ("MANY", 500)):
+    for name, value in (("AT_ONCE", 0), ("SCANS", 1), ("MANY", 500), ("TOGETHER", 4)):
         monkeypatch.setattr(keys, name, value)
     rng = random.Random(11)
     rows = [(7 if i % 3 else i, i // 2, rng.randrange(1500), rng.choice("xyz")) for i in range(3000)]

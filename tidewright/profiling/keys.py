@@ -35,6 +35,8 @@ SPREAD = 1 << 26
 SLOTS = 256
 #: scans per anchor, so that at most this part of a table's rows is in shuffle files at a time
 SCANS = 3
+#: sets whose tuples are made in one shuffle; the JVM does not compile the code for many more
+TOGETHER = 24
 #: tuples in a task
 HELD = 1 << 19
 #: values of an anchor fall into so many buckets; one with more than a HEAVY-th of the rows is not dealt
@@ -147,6 +149,8 @@ def _repeats(table: _Rows, sets: Sequence[tuple[int, ...]], first: int, last: in
     and the tuples are made and grouped where they meet: the shuffle holds rows, not tuples. Rows of heavy buckets would
     meet in few tasks; their tuples are shuffled by hash instead, and their slot is that of the tuple.
     """
+    if len(sets) > TOGETHER:
+        return sum((_repeats(table, sets[i : i + TOGETHER], first, last) for i in range(0, len(sets), TOGETHER)), Counter())
     by = _anchors(table, sets)
     _find_heavy(table, list(by))
     used = sorted({i for s in sets for i in s})
@@ -225,7 +229,7 @@ def key_candidates(
     Sets whose parts cannot have enough combinations of values are ruled out by the counts of the levels below; the others
     are estimated together, and only those within ``SURE`` of the row count are counted, together again. So a level is
     two scans, plus one per further ``SKETCHES`` sets. Above ``AT_ONCE`` tuples (rows times sets) counting shuffles rows
-    instead, in ``SCANS`` scans per anchor column, each of whose shuffle files go before the next.
+    instead, in ``SCANS`` scans per anchor column and ``TOGETHER`` sets, each of whose shuffle files go before the next.
     ``distinct_count`` is exact for counted sets and an estimate for others;
     ``exact_counts`` counts every set that is not ruled out. Without ``count_repeated``, for callers that want the keys
     only, sets of several columns in which one part of the tuples holds a repeat are known to be no keys and keep their
